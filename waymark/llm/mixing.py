@@ -75,7 +75,7 @@ def slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     t = targets.withColumn("n", F.ceil(F.col("source_size") / block)).withColumn("m", F.round(F.col("target") / block).cast("long")).where("n > 0 and m > 0")
     t = t.withColumn("base", F.sum("m").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).withColumn("all", F.sum("m").over(Window.partitionBy()))
     t = t.select("skey", "rank", "n", "m", "base", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK))).alias("chunk"))
-    t = t.repartition("skey", "chunk")
+    t = t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "chunk")  # a given number is not coalesced: rows are few here, and many below
     t = t.select("skey", "rank", "n", "base", "all", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("m")) - 1)).alias("i"))
     seat = permuted(F.col("base") + F.col("i"), F.col("all"), F.lit(1))
     return t.select("skey", "i", permuted(F.col("i") % F.col("n"), F.col("n"), F.col("rank")).alias("block"), F.floor(seat / SHARD_SLOTS).alias("shard"), (seat % SHARD_SLOTS).alias("seat"))
@@ -87,7 +87,7 @@ def pieces(rows: DataFrame, slot_rows: DataFrame, block: int = BLOCK) -> DataFra
     low, high = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     cut = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(low, high))))
     cut = cut.withColumn("low", F.greatest(F.col("block") * block - F.col("at"), F.lit(0))).withColumn("high", F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")))
-    return cut.join(times, ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return cut.join(times.hint("merge"), ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
