@@ -1,0 +1,36 @@
+"""Structured Streaming forms of the job stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """Rows of Parquet files as they arrive in a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """Monotone counters for each visitor."""
+    return events.groupBy("visitor").agg(F.max("position").alias("last_position"), F.count("*").alias("events"))
+
+
+def monthly_usage(events: DataFrame, most: int = 4500) -> DataFrame:
+    """Calls of each calendar month, up to the quota. A month is no window duration, so it is a plain key."""
+    return events.groupBy(F.date_trunc("month", F.col("created_at").cast("timestamp")).alias("month")).agg(F.least(F.count("*"), F.lit(most)).alias("used"))
+
+
+def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Events of each status by window of event time, late rows dropped after the watermark. An addition to the job stream."""
+    timed = events.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy(F.window("at", width).alias("w"), "status").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "status", "events")
+
+
+def published(batches: DataFrame, target: str, checkpoint: str):
+    """Append each completed batch to a table exactly once: a batch's folder is named by its id and replaced on a retry."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
