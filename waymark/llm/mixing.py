@@ -99,3 +99,23 @@ def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: s
     cols = ["doc_id", "size", "source_size", "target", "taken"]
     empty = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return full.select(*cols).unionByName(empty.select(*cols))
+
+
+def mixed_texts(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs once for each time a row is taken: its text where all its words are, else the taken words with single spaces.
+
+    The n-th row of a document holds the words of its blocks that the mix takes n times or more.
+    """
+    spread = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    # ids of rows would differ if they were made anew, so the table that carries them is stored
+    spread = stored(spread, "rows")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = spread.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), "mix_row")
+    rows, slot_rows = plan(stored(narrow, "sizes"), block)
+    cut = pieces(rows.where("size > 0"), slot_rows, block).where("times > 0").select("mix_row", "size", "low", "high", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("turn"))
+    taken = cut.groupBy("mix_row", "size", "turn").agg(F.sum(F.col("high") - F.col("low")).alias("n"), F.array_sort(F.collect_list(F.struct("low", "high"))).alias("parts"))
+    taken = taken.select("mix_row", "turn", (F.col("n") == F.col("size")).alias("whole"), F.when(F.col("n") < F.col("size"), F.col("parts")).alias("parts"))
+    found = spread.join(taken, "mix_row")
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    some = F.flatten(F.transform("parts", lambda p: F.slice(words, (p.low + 1).cast("int"), (p.high - p.low).cast("int"))))
+    return found.withColumn(text_col, F.when(F.col("whole"), F.col(text_col)).otherwise(F.array_join(some, " "))).select(*docs.columns)
