@@ -7,12 +7,15 @@
    least `MATCHES` coordinates. Collisions are looked for by prefix: with a node's postings ordered from
    the rarest to the most frequent, two such nodes share one of their first COORDS - MATCHES + 1, so the
    long lists of frequent shingles are skipped, and postings under a value of one node are dropped.
-3. In a list, every node is first held against three leaders of its size class and the two beside it (the
-   smallest and largest node and one by hash), which is linear in the list. Links are confirmed on whole
-   sets. Nodes that are then connected need no more comparison: only pairs of different components that
-   still share a list are compared, all of them. So no pair within a group of near copies is listed, and no
-   link between components is lost.
-4. Components come from alternating star joins over the confirmed links, cut by stored tables.
+3. Whole sets are read again for the nodes that meet another one. A shingle of only one of these sets is common to
+   no pair, so the count of the others bounds every intersection: nodes and pairs that cannot reach the
+   similarity go, among them those that only share a passage with many.
+4. In a list, every node is first held against `LEADERS` leaders of its size class and the two beside it (the
+   one with the smallest share of lone shingles, the rest by a hash of node and list), which is linear in the list.
+   Links are confirmed on whole sets. Nodes that are then connected need no more comparison: only pairs of
+   different components that still share a list are compared, all of them. So no pair within a group of near
+   copies is listed, and no link between components is lost.
+5. Components come from alternating star joins over the confirmed links, cut by stored tables.
 
 With J >= 0.8 a pair has 25.6 collisions of 32 on average; fewer than 15 has a chance of about 2e-6.
 
@@ -35,7 +38,7 @@ from pyspark.sql.window import Window
 from .common import by_bytes, small_batches, stored
 from .tokens import mix, windows, words
 
-COORDS, MATCHES, SIMILAR = 32, 15, 80
+COORDS, MATCHES, SIMILAR, LEADERS = 32, 15, 80, 4
 BITS = 22
 #: Nodes without an id get numbers from here up.
 NO_ID = 1 << 62
@@ -131,10 +134,10 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(edges.where("u <> v").distinct(), "edges")
 
 
-def _fits(a: str | Column, b: str | Column, similar: int) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return 100 * F.least(a, b) >= similar * F.greatest(a, b)
+def _fits(n: str, m: str, n2: str, m2: str, similar: int) -> Column:
+    """Whether sets of n and n2 shingles, of which m and m2 may be common, can be similar enough."""
+    common = F.least(m, m2)
+    return 100 * common >= similar * (F.col(n) + F.col(n2) - common)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,14 +158,6 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     posts = posts.withColumn("place", F.row_number().over(own.orderBy("often", "key")) + COORDS - F.count("*").over(own)).where(F.col("place") <= COORDS - MATCHES + 1)
     posts = stored(posts.select("key", "node", "n", "size"), "postings")
 
-    beside = F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias("size")
-    me = F.struct("node", "n")
-    leaders = posts.groupBy("key", "size").agg(F.min(me).alias("x"), F.max(me).alias("y"), F.min(F.struct(F.xxhash64("node"), F.col("node"), F.col("n"))).alias("z"))
-    leaders = leaders.select("key", "size", F.explode(F.array_distinct(F.array("x", "y", F.struct("z.node", "z.n")))).alias("lead"))
-    stars = posts.select("key", "node", "n", beside).join(leaders, ["key", "size"])
-    stars = stars.where((F.col("node") != F.col("lead.node")) & _fits("n", F.col("lead.n"), similar))
-    stars = stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-
     # whole sets, only of nodes that meet another one
     meet = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = classes.select("node", "bit").join(posts.join(meet, "key", "left_semi").select("node").distinct(), "node", "left_semi")
@@ -174,6 +169,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     sets = sets.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     sets = stored(classes.select("set_id", "node", "n", "sig").join(sets, "set_id").select("node", "n", "sig", "shingles"), "sets")
 
+    # shingles that no other of these sets has cannot be common: m, the others, bounds every intersection
+    lone = sets.select("node", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    able = sets.select("node", "n").join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m")).where(100 * F.col("m") >= similar * F.col("n"))
+    posts = stored(posts.join(able, "node"), "postings")
+
+    beside = F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias("size")
+    me = ("node", "n", "m")
+    leads = [F.max(F.struct(F.col("m") / F.col("n"), *me)).alias("x0")] + [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), *me)).alias(f"x{i}") for i in range(1, LEADERS)]
+    leaders = posts.groupBy("key", "size").agg(*leads)
+    leaders = leaders.select("key", "size", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"x{i}.{c}") for c in me)) for i in range(LEADERS))))).alias("lead"))
+    stars = posts.select("key", *me, beside).join(leaders, ["key", "size"])
+    stars = stars.where((F.col("node") != F.col("lead.node")) & _fits("n", "m", "lead.n", "lead.m", similar))
+    stars = stars.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         brief = sets.select("node", "sig")
         near = pairs.join(brief.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(brief.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
@@ -187,9 +196,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     labelled = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     labelled = stored(labelled.join(mixed, "key", "left_semi"), "mixed")
-    one = labelled.select("key", "size", F.col("node").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
-    two = labelled.select("key", beside, F.col("node").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"))
-    cross = one.join(two, ["key", "size"]).where((F.col("cp") < F.col("cq")) & _fits("np", "nq", similar))
+    one = labelled.select("key", "size", F.col("node").alias("p"), F.col("n").alias("np"), F.col("m").alias("mp"), F.col("component").alias("cp"))
+    two = labelled.select("key", beside, F.col("node").alias("q"), F.col("n").alias("nq"), F.col("m").alias("mq"), F.col("component").alias("cq"))
+    cross = one.join(two, ["key", "size"]).where((F.col("cp") < F.col("cq")) & _fits("np", "mp", "nq", "mq", similar))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(confirmed(cross), "links")
     if not more.isEmpty():
