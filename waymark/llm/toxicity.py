@@ -29,7 +29,8 @@ from .tokens import hash_spans, words
 
 SAMPLE, FOLDS, VOTERS, LEAST = 4000, 5, 200, 4
 PREFIXES = (4, 5, 6)
-TRUST = 0.95
+#: What share of the labels is taken to be right, and the correlation from which voters share their weight.
+TRUST, BOUND = 0.95, 0.4
 _PUNCT = np.ones(256, bool)
 _PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 PATTERNS = ("marks", "capitals", "repeats", "symbols", "short")
@@ -118,7 +119,8 @@ def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tupl
             part = votes - rates[y]
             cov = (part * mass[y][:, None]).T @ part / max(mass[y].sum(), 1)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            together = np.maximum(together, np.clip(cov / np.outer(sd, sd), 0, 1))
+            both = cov / np.outer(sd, sd)
+            together = np.maximum(together, np.where(both > BOUND, np.clip(both, 0, 1), 0))
         np.fill_diagonal(together, 1)
         share = 1 / together.sum(1)
         ratio = share * (np.log(rates[1]) - np.log(rates[0]))
@@ -183,9 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     best = counts.where(F.col("toxic") >= LEAST).withColumn("worth", odds * F.sqrt("toxic")).where((odds > 2) & (F.col("toxic") >= 8 * F.col("clean") * len(toxic) / len(clean)))
     lexicon = np.sort(np.array([r.term for r in best.orderBy(F.col("worth").desc(), "term").limit(VOTERS).collect()], np.int64).view(np.uint64))
     rows = docs.mapInArrow(_sampled(toxic, clean, lexicon), "toxic boolean, x binary").collect()  # at most 2 * sample rows of VOTERS numbers
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float).reshape(len(rows), -1)
-    if not len(x):
+    if not rows:
         return None
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float)
     # voters with few rows to judge them by stay, but share their weight with those they go with
     marked = np.array([r.toxic for r in rows])
     votes = x[:, : len(lexicon) + len(PATTERNS)]
