@@ -111,7 +111,7 @@ def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tupl
     """
     gold = np.where(marked, 1, -1) * np.log(TRUST / (1 - TRUST))
     posterior = 1 / (1 + np.exp(-gold))
-    for _ in range(rounds):
+    for r in range(rounds):
         mass = np.stack([1 - posterior, posterior])
         rates = (mass @ votes + 0.1) / (mass.sum(1, keepdims=True) + 1)
         together = np.zeros((votes.shape[1], votes.shape[1]))
@@ -122,7 +122,8 @@ def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tupl
             both = cov / np.outer(sd, sd)
             together = np.maximum(together, np.where(both > BOUND, np.clip(both, 0, 1), 0))
         np.fill_diagonal(together, 1)
-        share = 1 / together.sum(1)
+        # classes that are still mixed make voters look alike, so the first rounds take them as independent
+        share = 1 / together.sum(1) if 3 * r >= rounds else np.ones(len(together))
         ratio = share * (np.log(rates[1]) - np.log(rates[0]))
         off = share * (np.log1p(-np.minimum(rates[1], 1 - 1e-9)) - np.log1p(-np.minimum(rates[0], 1 - 1e-9)))
         balance = np.log(mass[1].sum() + 1) - np.log(mass[0].sum() + 1)
