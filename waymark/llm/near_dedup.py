@@ -13,8 +13,10 @@
 4. In a list, every node is first held against `LEADERS` leaders of its size class and the two beside it (the
    one with the smallest share of lone shingles, the rest by a hash of node and list), which is linear in the list.
    Links are confirmed on whole sets. Nodes that are then connected need no more comparison: only pairs of
-   different components that still share a list are compared, all of them. So no pair within a group of near
-   copies is listed, and no link between components is lost.
+   different components that still share a list are, all of them. Of the nodes in such lists, two either share a
+   shingle of at most `RARE` of these nodes, and are paired under it, or have only more frequent ones in common,
+   whose count then bounds their intersection. So no pair within a group of near copies is listed, frequent lists
+   give pairs only where that bound allows a link, and no link between components is lost.
 5. Components come from alternating star joins over the confirmed links, cut by stored tables.
 
 With J >= 0.8 a pair has 25.6 collisions of 32 on average; fewer than 15 has a chance of about 2e-6.
@@ -38,7 +40,7 @@ from pyspark.sql.window import Window
 from .common import by_bytes, small_batches, stored
 from .tokens import mix, windows, words
 
-COORDS, MATCHES, SIMILAR, LEADERS = 32, 15, 80, 4
+COORDS, MATCHES, SIMILAR, LEADERS, RARE = 32, 15, 80, 4, 16
 BITS = 22
 #: Nodes without an id get numbers from here up.
 NO_ID = 1 << 62
@@ -196,11 +198,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     labelled = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     labelled = stored(labelled.join(mixed, "key", "left_semi"), "mixed")
-    one = labelled.select("key", "size", F.col("node").alias("p"), F.col("n").alias("np"), F.col("m").alias("mp"), F.col("component").alias("cp"))
-    two = labelled.select("key", beside, F.col("node").alias("q"), F.col("n").alias("nq"), F.col("m").alias("mq"), F.col("component").alias("cq"))
-    cross = one.join(two, ["key", "size"]).where((F.col("cp") < F.col("cq")) & _fits("np", "mp", "nq", "mq", similar))
-    cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(confirmed(cross), "links")
+    left = labelled.select("node", "n", "m", "component").distinct()
+    spread = stored(sets.select("node", "shingles").join(left, "node").select("node", "n", "m", "component", F.explode("shingles").alias("x")), "spread")
+    counts = stored(spread.groupBy("x").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("c > 1"), "counts")
+
+    def crossed(lists: DataFrame, on: list[str], m: str, two: DataFrame) -> DataFrame:
+        one = lists.select(*on, F.col("node").alias("p"), F.col("n").alias("np"), F.col(m).alias("mp"), F.col("component").alias("cp"))
+        two = two.select(*on, F.col("node").alias("q"), F.col("n").alias("nq"), F.col(m).alias("mq"), F.col("component").alias("cq"))
+        pairs = one.join(two, on).where((F.col("cp") < F.col("cq")) & _fits("np", "mp", "nq", "mq", similar))
+        return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+    rare = spread.join(counts.where((F.col("c") <= RARE) & (F.col("low") < F.col("high"))).select("x"), "x")
+    hot = spread.join(counts.where(F.col("c") > RARE).select("x"), "x").groupBy("node").agg(F.count("*").alias("h"))
+    hot = labelled.join(hot.where("h > 0"), "node").where(100 * F.col("h") >= similar * F.col("n"))
+    cross = crossed(rare, ["x"], "m", rare).unionByName(crossed(hot, ["key", "size"], "h", hot.select("key", "node", "n", "h", "component", beside))).distinct()
+    more = stored(confirmed(cross.join(stars, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
