@@ -177,12 +177,13 @@ def test_toxicity_without_labels(docs, labels):
 def test_label_model_outvotes_a_poor_voter():
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.3
-    good = np.stack([np.where(rng.random(2000) < 0.9, y, ~y) for _ in range(4)], 1)
+    good = np.stack([rng.random(2000) < np.where(y, 0.6, 0.03) for _ in range(10)], 1)
+    good = np.concatenate([good, ~good.any(1, keepdims=True)], 1)
     poor = rng.random((2000, 2)) < 0.5
     marked = np.where(rng.random(2000) < 0.85, y, ~y)  # a tenth and more of the labels are wrong
     posterior, rates, _ = toxicity.label_model(np.concatenate([good, poor], 1).astype(float), marked)
     assert ((posterior > 0.5) == y).mean() > max(0.93, (marked == y).mean())
-    assert (rates[1, :4] > 0.7).all() and (np.abs(rates[1, 4:] - rates[0, 4:]) < 0.1).all()
+    assert (rates[1, :10] > 0.5).all() and (rates[0, :10] < 0.1).all() and (np.abs(rates[1, 11:] - rates[0, 11:]) < 0.1).all()
 
 
 # --- 3

@@ -1,7 +1,7 @@
 """Operator 2: toxicity by weak supervision.
 
-Voters are lexicon voters (a word, or the first 4 to 6 bytes of words, occurs in the text) and pattern voters (runs of
-marks, shares of capitals, repeated words). The lexicon is mined from labelled rows. A generative label model has,
+Voters are lexicon voters (a word, or the first 4 to 10 bytes of words, occurs in the text) and pattern voters (runs of
+marks, shares of capitals, repeated words, no lexicon voter at all). The lexicon is mined from labelled rows. A generative label model has,
 for each class, every voter's rate of firing; expectation-maximisation estimates them together with the class
 balance from the votes alone, and voters that fire together within a class share their weight, so that correlated
 ones are not counted twice. A linear classifier is then trained on the posterior labels.
@@ -27,10 +27,12 @@ from .common import by_bytes, fold, small_batches
 from .quality import repeated, sums
 from .tokens import hash_spans, words
 
-SAMPLE, FOLDS, VOTERS, LEAST = 4000, 5, 200, 4
-PREFIXES = (4, 5, 6)
+SAMPLE, FOLDS, VOTERS, LEAST = 4000, 5, 300, 4
+PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 #: What share of the labels is taken to be right, and the correlation from which voters share their weight.
 TRUST, BOUND = 0.95, 0.4
+#: Least log odds of a lexicon term between toxic and clean rows.
+ODDS = 3.0
 _PUNCT = np.ones(256, bool)
 _PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 PATTERNS = ("marks", "capitals", "repeats", "symbols", "short")
@@ -88,7 +90,7 @@ class Model:
 
 
 def features(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
-    """Voters' votes, the log of all lexicon hits, and 1."""
+    """The votes of lexicon, patterns and of no lexicon hit, the log of all lexicon hits, and 1."""
     found, at, patterns = terms(texts)
     n, k = len(texts), len(lexicon)
     votes = np.zeros((n, k))
@@ -101,12 +103,13 @@ def features(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
             hit = lexicon[place] == h[near]
             np.add.at(votes, (np.searchsorted(at, near[hit], "right") - 1, place[hit]), 1)
     hits = np.log1p(votes.sum(1))
-    return np.column_stack([votes > 0, patterns, hits, np.ones(n)]).astype(float)
+    return np.column_stack([votes > 0, patterns, hits == 0, hits, np.ones(n)]).astype(float)
 
 
 def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row, firing rates by class (2 x voters), and each voter's share of weight.
 
+    A voter that does not fire abstains, which says nothing: most insults of one language never occur in another.
     The training labels are one more voter, right in TRUST of all rows; it keeps the classes what they should be.
     """
     gold = np.where(marked, 1, -1) * np.log(TRUST / (1 - TRUST))
@@ -125,9 +128,8 @@ def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tupl
         # classes that are still mixed make voters look alike, so the first rounds take them as independent
         share = 1 / together.sum(1) if 3 * r >= rounds else np.ones(len(together))
         ratio = share * (np.log(rates[1]) - np.log(rates[0]))
-        off = share * (np.log1p(-np.minimum(rates[1], 1 - 1e-9)) - np.log1p(-np.minimum(rates[0], 1 - 1e-9)))
         balance = np.log(mass[1].sum() + 1) - np.log(mass[0].sum() + 1)
-        posterior = 1 / (1 + np.exp(-np.clip(votes @ ratio + (1 - votes) @ off + balance + gold, -30, 30)))
+        posterior = 1 / (1 + np.exp(-np.clip(votes @ ratio + balance + gold, -30, 30)))
     return posterior, rates, share
 
 
@@ -183,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return None
     counts = docs.mapInArrow(_counts_of(toxic, clean), "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (len(toxic) + 1)) - F.log((F.col("clean") + 0.5) / (len(clean) + 1))
-    best = counts.where(F.col("toxic") >= LEAST).withColumn("worth", odds * F.sqrt("toxic")).where((odds > 2) & (F.col("toxic") >= 8 * F.col("clean") * len(toxic) / len(clean)))
+    best = counts.where(F.col("toxic") >= LEAST).withColumn("worth", odds * F.sqrt("toxic")).where(odds > ODDS)
     lexicon = np.sort(np.array([r.term for r in best.orderBy(F.col("worth").desc(), "term").limit(VOTERS).collect()], np.int64).view(np.uint64))
     rows = docs.mapInArrow(_sampled(toxic, clean, lexicon), "toxic boolean, x binary").collect()  # at most 2 * sample rows of VOTERS numbers
     if not rows:
@@ -191,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float)
     # voters with few rows to judge them by stay, but share their weight with those they go with
     marked = np.array([r.toxic for r in rows])
-    votes = x[:, : len(lexicon) + len(PATTERNS)]
+    votes = x[:, : len(lexicon) + len(PATTERNS) + 1]
     posterior, _, _ = label_model(votes, marked)
     return Model(lexicon, linear(x, posterior))
 
