@@ -34,7 +34,7 @@ ALPHA, ORDER, FOLDS = 0.1, 2, 10
 #: The share of the shorter context: near the optimum for held-out text at every count from 1 to 2^18.
 MU, GAMMA = 8.0, 0.3
 #: Bytes of text in a block: the smallest, and the largest that a worker holds at once.
-BLOCK, MOST = 16 << 20, 256 << 20
+BLOCK, MOST = 8 << 20, 256 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0x9E3779B97F4A7C15)
 

@@ -113,9 +113,10 @@ def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tupl
     The training labels are one more voter, right in TRUST of all rows; it keeps the classes what they should be.
     """
     gold = np.where(marked, 1, -1) * np.log(TRUST / (1 - TRUST))
-    posterior = 1 / (1 + np.exp(-gold))
+    posterior = belief = 1 / (1 + np.exp(-gold))
     for r in range(rounds):
-        mass = np.stack([1 - posterior, posterior])
+        held = (posterior + belief) / 2  # half of every row's weight stays with its label, so that classes cannot drift
+        mass = np.stack([1 - held, held])
         rates = (mass @ votes + 0.1) / (mass.sum(1, keepdims=True) + 1)
         together = np.zeros((votes.shape[1], votes.shape[1]))
         for y in (0, 1):  # correlations within a class
