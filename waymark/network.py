@@ -64,8 +64,13 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_rows(table(spark, sf_dir, "events"))
+
+
+def job_rows(events: DataFrame) -> DataFrame:
+    """Job rows of events, in a table or a stream."""
     kinds = F.create_map(*(F.lit(x) for pair in (("view", "queued"), ("click", "running"), ("purchase", "completed"), ("signup", "cancelled"), ("error", "failed")) for x in pair))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.col("ts").alias("created_at"), F.col("user_id").alias("visitor"), kinds[F.col("event_type")].alias("status"), "value")
+    return events.select(F.col("event_id").alias("position"), F.col("ts").alias("created_at"), F.col("user_id").alias("visitor"), kinds[F.col("event_type")].alias("status"), "value")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

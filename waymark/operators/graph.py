@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared checkpoint folder."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/waymark-{uuid.uuid4().hex}"
+    return f"{folder}/waymark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import network as net
+from . import sources, streaming
 from .functions import scalars
-from .operators import graph, jobs, profile, results, spatial, walks
+from .operators import bounded, graph, jobs, profile, results, spatial, walks
 from .plans import prepare
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -704,3 +705,104 @@ def job_invalid_transitions(s, d):
 @query("select position, visitor = 7 as owner, case when visitor = 7 then value end as value from job", "job")
 def job_redacted(s, d):
     return jobs.redacted(net.jobs(s, d), 7).select("position", "owner", "value")
+
+
+# --- bounded discovery
+
+_REACHED = "rp as (select section_id, start_id as root, cast(node as bigint) as node, cast(0 as double) as d, [cast(node as bigint)] as seen from net_start union all select r.section_id, r.root, cast(e.t as bigint), r.d + e.dist, list_append(r.seen, cast(e.t as bigint)) from rp r join net_edge e on e.section_id = r.section_id and e.f = r.node where r.d + e.dist <= 1200 and not list_contains(r.seen, cast(e.t as bigint)))"
+
+
+def _trees(s, d, limit=1200.0):
+    roots = net.starts(s, d).select("section_id", F.col("start_id").alias("root"), "node")
+    return bounded.forest(net.edges(s, d), roots, limit)
+
+
+@query("")
+def shortest_path_forest(s, d):
+    return _trees(s, d).select("section_id", "root", "node", "d")
+
+
+SQL["shortest_path_forest"] = net.with_cte("net_trail net_edge net_start", f", {_REACHED} select section_id, root, node, min(d) as d from rp group by all").replace(")\n, rp", "),\nrp")
+
+
+@query()
+def fundamental_circuits(s, d):
+    return bounded.fundamental_circuits(net.edges(s, d), _trees(s, d)).drop("core_trails")
+
+
+@query()
+def weighted_forest(s, d):
+    """A pass that shuns climbs and roads."""
+    roots = net.starts(s, d).select("section_id", F.col("start_id").alias("root"), "node")
+    return bounded.forest(bounded.passed(net.edges(s, d), 1), roots, 4000.0, "weight").select("section_id", "root", "node", F.round("d", 6).alias("d"))
+
+
+@query("select section_id, circuit, band, row_number() over (partition by section_id order by turn, band, circuit) as place from (select *, row_number() over (partition by section_id, band order by score, circuit) as turn from (select section_id, circuit, cast(floor(distance / 500) as bigint) as band, abs(distance - 1250) + road as score from best))", N_WALK + " circuit best")
+def proposals_interleaved(s, d):
+    best = walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit")
+    rows = best.select("section_id", "circuit", F.floor(F.col("distance") / 500).alias("band"), (F.abs(F.col("distance") - 1250) + F.col("road")).alias("score"))
+    return bounded.interleaved(rows).select("section_id", "circuit", "band", "place")
+
+
+_ENDS = "ends as (select section_id, trail, a as u, b as v, dist from net_trail union all select section_id, trail, b, a, dist from net_trail)"
+
+
+@query("")
+def local_variants(s, d):
+    return bounded.detours(net.trails(s, d))
+
+
+SQL["local_variants"] = f"with net_trail as ({net.CTE['net_trail']}), {_ENDS} select t.section_id, t.trail, cast(e.trail as varchar) as by, e.dist from net_trail t join ends e on e.section_id = t.section_id and e.u = t.a and e.v = t.b and e.trail <> t.trail union all select t.section_id, t.trail, x.trail || ',' || y.trail, x.dist + y.dist from net_trail t join ends x on x.section_id = t.section_id and x.u = t.a join ends y on y.section_id = t.section_id and y.u = x.v and y.v = t.b where t.a <> t.b and x.trail <> t.trail and y.trail <> t.trail and x.trail <> y.trail and x.v <> t.a and x.v <> t.b"
+
+
+@query()
+def stem_tree(s, d):
+    """Ways out of each start on trails that can be walked back."""
+    both = walks.with_reverse(net.edges(s, d)).where("back_dist is not null")
+    roots = net.starts(s, d).select("section_id", F.col("start_id").alias("root"), "node")
+    return bounded.forest(both, roots, 1500.0).select("section_id", "root", "node", "d", F.array_join(F.col("path").cast("array<string>"), ",").alias("stem"))
+
+
+# --- files
+
+
+@query("select section_id, trail, count(*) as points, count(ele) as heights from net_vertex group by section_id, trail", "net_vertex")
+def geometry_round_trip(s, d):
+    """Vertices written as section files, read again for the trails that have some."""
+    v = net.vertices(s, d).withColumn("lon", F.col("seq") * 1.0).withColumn("lat", F.col("trail") * 1.0)
+    folder = graph.shared_folder(s)
+    sources.write_geometry(v, folder)
+    back = sources.read_geometry(s, folder, v.select("section_id", "trail").distinct())
+    return back.select("section_id", "trail", F.size("coordinates").cast("long").alias("points"), F.size(F.filter("coordinates", lambda c: F.size(c) == 3)).cast("long").alias("heights"))
+
+
+@query("select c_custkey as id, 'footway & ' || c_mktsegment || ', x' as name, 4 - c_custkey % 3 as nodes from customer")
+def map_records(s, d):
+    k = F.col("c_custkey").cast("string")
+    refs = F.array_join(F.transform(F.sequence(F.lit(1), (4 - F.col("c_custkey") % 3).cast("int")), lambda i: F.concat(F.lit("n"), i.cast("string"))), ",")
+    line = F.concat(F.lit("w"), k, F.lit(" Thighway=path,name=footway%20%%26%%20%"), F.col("c_mktsegment"), F.lit("%2c%%20%x N"), refs)
+    rows = sources.map_records(net.table(s, d, "customer").select(line.alias("value")))
+    return rows.select("id", F.col("tags")["name"].alias("name"), F.size("nodes").cast("long").alias("nodes"))
+
+
+# --- streams
+
+
+def _job_stream(s, d):
+    schema = net.table(s, d, "events").schema
+    return net.job_rows(streaming.event_stream(s, d, schema, names="events.parquet"))
+
+
+@query("select visitor, max(position) as last_position, count(*) as events from job group by visitor", "job")
+def stream_progress(s, d):
+    return streaming.settled(streaming.progress(_job_stream(s, d)), graph.shared_folder(s))
+
+
+@query("select strftime(created_at, '%Y-%m') as month, least(count(*), 4500) as used from job group by 1", "job")
+def stream_quota(s, d):
+    return streaming.settled(streaming.monthly_usage(_job_stream(s, d)), graph.shared_folder(s)).select(F.date_format("month", "yyyy-MM").alias("month"), "used")
+
+
+@query("select visitor, least(sum(case when status in ('queued', 'running') then 1 else 0 end)::bigint, 2) as admitted from job group by visitor", "job")
+def stream_admission(s, d):
+    return streaming.settled(streaming.admitted(_job_stream(s, d)), graph.shared_folder(s))

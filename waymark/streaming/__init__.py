@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, names: str = "*.parquet") -> DataFrame:
     """Rows of Parquet files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(folder)
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -16,6 +16,11 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("visitor").agg(F.max("position").alias("last_position"), F.count("*").alias("events"))
 
 
+def admitted(events: DataFrame, per_visitor: int = 2) -> DataFrame:
+    """How many of a visitor's active jobs are let in."""
+    return events.groupBy("visitor").agg(F.least(F.count_if(F.col("status").isin("queued", "running")), F.lit(per_visitor)).alias("admitted"))
+
+
 def monthly_usage(events: DataFrame, most: int = 4500) -> DataFrame:
     """Calls of each calendar month, up to the quota. A month is no window duration, so it is a plain key."""
     return events.groupBy(F.date_trunc("month", F.col("created_at").cast("timestamp")).alias("month")).agg(F.least(F.count("*"), F.lit(most)).alias("used"))
@@ -34,3 +39,13 @@ def published(batches: DataFrame, target: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def settled(stream: DataFrame, folder: str):
+    """Run a complete-mode aggregate over all that is there now; its last state as a table."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/state")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/state")
