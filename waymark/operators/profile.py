@@ -69,3 +69,16 @@ def exposure(profile: DataFrame, above: float, window: float = WINDOW) -> DataFr
     per = runs.groupBy(*key, "run").agg(F.sum(F.col("to") - F.col("from")).alias("metres"))
     found = per.groupBy(*key).agg(F.sum("metres").alias("total"), F.max("metres").alias("longest"))
     return ends.join(found, key, "left").select(*key, F.when(F.col("known"), F.coalesce("total", F.lit(0.0))).alias("total"), F.when(F.col("known"), F.coalesce("longest", F.lit(0.0))).alias("longest"))
+
+
+def grades_at(profile: DataFrame, places: DataFrame, window: float = WINDOW) -> DataFrame:
+    """section_id, trail, grade (per cent) over the window around each place, clipped at the ends; null with an unknown height in it."""
+    key = ["section_id", "trail"]
+    length = profile.groupBy(*key).agg(F.max("d").alias("length"))
+    span = places.join(length, key).withColumn("lo", F.greatest(F.col("at") - window / 2, F.lit(0.0))).withColumn("hi", F.least(F.col("at") + window / 2, F.col("length")))
+    asked = span.select(*key, F.col("lo").alias("at")).unionByName(span.select(*key, F.col("hi").alias("at"))).distinct()
+    h = heights_at(profile, asked)
+    span = span.join(h.withColumnsRenamed({"at": "lo", "height": "h_lo"}), [*key, "lo"]).join(h.withColumnsRenamed({"at": "hi", "height": "h_hi"}), [*key, "hi"])
+    unknown = profile.where("h is null").select(*key, "d").join(span.select(*key, "lo", "hi"), key).where("d between lo and hi").select(*key, F.lit(True).alias("unknown")).distinct()
+    grade = 100 * (F.col("h_hi") - F.col("h_lo")) / (F.col("hi") - F.col("lo"))
+    return span.join(unknown, key, "left").select(*key, F.when(F.col("unknown").isNull(), grade).alias("grade"))

@@ -74,3 +74,26 @@ def bilinear(points: DataFrame, pixels: DataFrame, *keys: str) -> DataFrame:
     w = w.withColumn("weight", share(F.col("r"), F.col("k.i")) * share(F.col("c"), F.col("k.j"))).where(F.col("weight") > 1e-12)
     w = w.join(pixels, ["row", "col"], "left")
     return w.groupBy(*keys).agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("weight") * F.col("value"))).alias("height"))
+
+
+def within(points: DataFrame, others: DataFrame, metres: float, cell: float, keys: list[str]) -> DataFrame:
+    """points beside the others (lon2, lat2) within a distance. `cell`, in degrees, must be at least as wide as that distance."""
+    grid = lambda df: df.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    spread = grid(points).withColumn("k", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("k.i")).withColumn("cy", F.col("cy") + F.col("k.j")).drop("k")
+    held = grid(others).select(*keys, "cx", "cy", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    return spread.join(held, [*keys, "cx", "cy"]).drop("cx", "cy").where(haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")) <= metres)
+
+
+def ring_errors(rings: DataFrame) -> DataFrame:
+    """id, error of drawn rings (id, points): null for a sound one. A ring has 128 points at most, so its edges meet in pairs."""
+    seq = rings.select(F.col("id").alias("area"), F.size("points").alias("n"))
+    numbered = rings.where(F.size("points").between(3, 128)).select(F.col("id").alias("area"), F.posexplode(F.arrays_zip(F.col("points").alias("p"), F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1)).alias("q"))).alias("i", "e"))
+    e = numbered.join(seq, "area").select("area", "n", "i", *(F.col(f"e.{a}.{c}").alias(f"{c}{k}") for a, k in (("p", 1), ("q", 2)) for c in "xy"))
+    f = e.select("area", *(F.col(c).alias(f"{c}_") for c in ("i", "x1", "y1", "x2", "y2")))
+    side = lambda ax, ay, bx, by, px, py: F.signum((F.col(bx) - F.col(ax)) * (F.col(py) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(px) - F.col(ax)))
+    cross = (side("x1", "y1", "x2", "y2", "x1_", "y1_") * side("x1", "y1", "x2", "y2", "x2_", "y2_") < 0) & (side("x1_", "y1_", "x2_", "y2_", "x1", "y1") * side("x1_", "y1_", "x2_", "y2_", "x2", "y2") < 0)
+    crossed = e.join(f, "area").where("i_ > i").groupBy("area").agg(F.bool_or(cross).alias("crossed"))
+    rows = rings.select(F.col("id").alias("area"), "points", F.size("points").alias("n"), F.size(F.array_distinct("points")).alias("u"), signed_area("points").alias("turn")).join(crossed, "area", "left")
+    error = F.when(~F.col("n").between(3, 128), "needs 3 to 128 points").when(F.col("u") < F.col("n"), "repeats a point").when(F.col("crossed"), "crosses itself").when(F.abs("turn") <= TOLERANCE, "has no area")
+    return rows.select(F.col("area").alias("id"), error.alias("error"))

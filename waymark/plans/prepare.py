@@ -71,3 +71,14 @@ def segment_counts(trails: DataFrame, nodes: DataFrame, areas: DataFrame, most:
     held = at.join(cells.select("area_id", "west", "south", "east", "north", "cx", "cy"), ["cx", "cy"]).where("lon >= west and lon < east and lat >= south and lat < north")
     rows = held.select("area_id", "section_id", F.col("node").alias("a")).join(trails.select("section_id", "a"), ["section_id", "a"])
     return rows.groupBy("area_id").agg(F.count("*").alias("segments")).withColumn("fits", F.col("segments") <= most)
+
+
+def access_name(rank: str | Column) -> Column:
+    rank = F.col(rank) if isinstance(rank, str) else rank
+    return F.when(rank == 0, "public").when(rank == 1, "unknown").otherwise("prohibited")
+
+
+def start_kinds(starts: DataFrame) -> DataFrame:
+    """One start for each node: the best kind, its name, and whether any of them is open."""
+    kind = F.when(F.min("kind_rank") == 0, "trailhead").when(F.min("kind_rank") == 1, "parking").otherwise("road-contact")
+    return starts.groupBy("section_id", "node").agg(kind.alias("kind"), F.min_by("name", F.struct("kind_rank", "start_id")).alias("name"), F.bool_or(F.col("access") == "public").alias("open"))

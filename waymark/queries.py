@@ -806,3 +806,87 @@ def stream_quota(s, d):
 @query("select visitor, least(sum(case when status in ('queued', 'running') then 1 else 0 end)::bigint, 2) as admitted from job group by visitor", "job")
 def stream_admission(s, d):
     return streaming.settled(streaming.admitted(_job_stream(s, d)), graph.shared_folder(s))
+
+
+# --- more of profiles, areas and names
+
+
+@query(_sample_sql("""select t.section_id, t.trail, round(100 * (h_hi - h_lo) / (hi - lo), 6) + case when exists (select 1 from sample x where x.section_id = t.section_id and x.trail = t.trail and x.h is null and x.d between t.lo and t.hi) then null else 0 end as grade from (select section_id, trail, dist, greatest(dist / 2 - 50, 0) as lo, least(dist / 2 + 50, dist) as hi from net_trail) t
+ join lateral (select h0 + (h1 - h0) * (t.lo - d0) / (d1 - d0) as h_lo from iv where iv.section_id = t.section_id and iv.trail = t.trail and t.lo between d0 and d1 order by seq limit 1) a on true
+ join lateral (select h0 + (h1 - h0) * (t.hi - d0) / (d1 - d0) as h_hi from iv where iv.section_id = t.section_id and iv.trail = t.trail and t.hi between d0 and d1 order by seq limit 1) b on true""").replace("select t.section_id, t.trail, round(100", ", iv as (select * from (select section_id, trail, seq, lag(d) over w as d0, lag(h) over w as h0, d as d1, h as h1 from sample window w as (partition by section_id, trail order by seq)) where d1 > d0) select t.section_id, t.trail, round(100"))
+def grade_at(s, d):
+    """Per cent over 100 m around the middle of each trail, clipped at its ends; null with an unknown height."""
+    t = net.trails(s, d)
+    places = t.select("section_id", "trail", (F.col("dist") / 2).alias("at"))
+    return profile.grades_at(graph.stored(_samples(s, d)), places).select("section_id", "trail", F.round("grade", 6).alias("grade"))
+
+
+@query(_sample_sql("select section_id, trail, count(*) as samples, case when count(h) = count(*) then max(h) - min(h) end as relief from sample where d between 100 and 300 group by all"))
+def profile_selection(s, d):
+    known = F.count("h") == F.count("*")
+    return _samples(s, d).where("d between 100 and 300").groupBy("section_id", "trail").agg(F.count("*").alias("samples"), F.when(known, F.max("h") - F.min("h")).alias("relief"))
+
+
+@query("select section_id, start_id, itinerary, cast(len(trails) as bigint) as steps, cast(stem_steps as bigint) as first_repeat from walk", N_WALK)
+def first_repeat(s, d):
+    """The place of the node that a walk comes back to first."""
+    return all_walks(s, d).select("section_id", "start_id", "itinerary", F.size("trails").cast("long").alias("steps"), F.col("stem_steps").cast("long").alias("first_repeat"))
+
+
+#: Rings by id: a sound one, one that crosses itself, one with equal points, one of no area, one with too few points.
+RINGS = {
+    0: ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)),
+    1: ((0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)),
+    2: ((0.0, 0.0), (4.0, 0.0), (4.0, 0.0), (0.0, 4.0)),
+    3: ((0.0, 0.0), (2.0, 0.0), (4.0, 0.0)),
+    4: ((0.0, 0.0), (4.0, 0.0)),
+}
+
+
+@query("select cast(id as bigint) as id, error from (values (0, null), (1, 'crosses itself'), (2, 'repeats a point'), (3, 'has no area'), (4, 'needs 3 to 128 points')) r(id, error)")
+def boundary_error(s, d):
+    rings = s.createDataFrame([(k, list(v)) for k, v in RINGS.items()], "id long, points array<struct<x:double,y:double>>")
+    return spatial.ring_errors(rings)
+
+
+@query("select section_id, u, v, case max(case access when 'public' then 0 else 1 end) when 0 then 'public' else 'unknown' end as access from (select section_id, least(a, b) as u, greatest(a, b) as v, access from net_trail) group by section_id, u, v", "net_trail")
+def combine_access(s, d):
+    rows = net.trails(s, d).groupBy("section_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(prepare.combined("access").alias("rank"))
+    return rows.select("section_id", "u", "v", prepare.access_name("rank").alias("access"))
+
+
+@query("select section_id, node, case min(kind_rank) when 0 then 'trailhead' when 1 then 'parking' else 'road-contact' end as kind, min_by(name, (kind_rank, start_id)) as name, bool_or(access = 'public') as open from net_start group by section_id, node", "net_start")
+def start_kind(s, d):
+    return prepare.start_kinds(net.starts(s, d))
+
+
+@query("select p_partkey as id, case when b >= 1e9 then b else b end as bytes, cast(round(b / 1e3) as bigint) || ' kB' as shown from (select p_partkey, p_partkey * 37 as b from part)")
+def bytes_text(s, d):
+    return net.table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37).alias("bytes"), scalars.bytes_text(F.col("p_partkey") * 37).alias("shown"))
+
+
+@query("select section_id, name, count(*) as segments, sum(dist) as metres from net_trail where name is not null group by all", "net_trail")
+def drawing_groups(s, d):
+    return net.trails(s, d).where("name is not null").groupBy("section_id", "name").agg(F.count("*").alias("segments"), F.sum("dist").alias("metres"))
+
+
+@query("select c_mktsegment as attribution, min(c_custkey) as first_seen from customer group by 1")
+def compose_attribution(s, d):
+    """Distinct attributions in the order of first appearance."""
+    return net.table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("attribution")).agg(F.min("c_custkey").alias("first_seen"))
+
+
+@query("select s.section_id, s.start_id, count(*) as near from net_start s join net_node n1 on n1.section_id = s.section_id and n1.node = s.node join net_node n2 on n2.section_id = s.section_id and abs(n2.lon - n1.lon) <= 2e-2 and abs(n2.lat - n1.lat) <= 2e-2 where asin(least(1.0, sqrt(pow(sin(radians(n2.lat - n1.lat) / 2), 2) + cos(radians(n1.lat)) * cos(radians(n2.lat)) * pow(sin(radians(n2.lon - n1.lon) / 2), 2)))) * 12742017.6 <= 1500 group by all", "net_start net_node")
+def nodes_beside_starts(s, d):
+    """Nodes within 1500 m of each start: grid cells are the join key, the exact distance the condition."""
+    n = net.nodes(s, d)
+    at = net.starts(s, d).join(n, ["section_id", "node"]).select("section_id", "start_id", "lon", "lat")
+    return spatial.within(at, n, 1500.0, 2e-2, ["section_id"]).groupBy("section_id", "start_id").agg(F.count("*").alias("near"))
+
+
+@query("select coalesce(a.area_id, b.area_id) as area_id, a.name as pinned, b.name as current from net_section a full join (select area_id, case when area_id % 7 = 0 then upper(name) || '!' else name end as name, west from net_section where area_id % 5 <> 0) b on a.area_id = b.area_id where not (a.name is not distinct from b.name)", "net_section")
+def changed_inputs(s, d):
+    """Pinned inputs that the current catalog no longer matches."""
+    pinned = net.sections(s, d).select("area_id", F.col("name").alias("pinned"))
+    now = net.sections(s, d).where("area_id % 5 <> 0").select("area_id", F.when(F.col("area_id") % 7 == 0, F.concat(F.upper("name"), F.lit("!"))).otherwise(F.col("name")).alias("current"))
+    return pinned.join(now, "area_id", "full").where("not (pinned <=> current)")
