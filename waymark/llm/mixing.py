@@ -58,7 +58,7 @@ def placed_words(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
 def plan(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """rows: doc_id, source, size and others. Gives (rows with their place in the stream and target, slots)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    rows = rows.withColumn("skey", key).withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), F.lit(0)))
+    rows = rows.withColumn("skey", key).withColumn("part", F.coalesce(F.pmod(F.col("doc_id"), F.lit(PARTS)), F.lit(0)))
     parts = rows.groupBy("skey", "part").agg(F.sum("size").alias("part_size"), F.first("source").alias("source"))
     targets = source_targets(parts.groupBy("skey").agg(F.first("source").alias("source"), F.sum("part_size").alias("source_size")).drop("skey")).withColumn("skey", key)
     targets = stored(targets, "targets")

@@ -72,6 +72,32 @@ SQL = {
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, t.text_sha256 from t join g using (text_sha256)
+""",
+    "op6_mixing": r"""
+with recursive d as (select doc_id, source, coalesce('s' || source, 'null') as skey, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+s0 as (select skey, source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as rk from d group by skey, source),
+s1 as (select *, cast((rk - 1) % 3 + 1 as double) as weight, cast(3 * source_size as double) as most from s0),
+s2 as (select *, (sum(source_size) over () - coalesce(sum(most) over (order by most / weight, rk rows between unbounded preceding and 1 preceding), 0))
+ / (sum(weight) over () - coalesce(sum(weight) over (order by most / weight, rk rows between unbounded preceding and 1 preceding), 0)) as level from s1),
+sh as (select level as share from s2 where most >= level * weight order by most / weight, rk limit 1),
+src as (select s2.*, least(most, share * weight) as target, cast(ceil(source_size / 32) as bigint) as n, cast(round(least(most, share * weight) / 32) as bigint) as m from s2 cross join sh),
+slot as (select skey, n, rk, case when n % 104729 <> 0 then 104729 when n % 104723 <> 0 then 104723 else 104717 end as p, unnest(range(0, m)) as i from src where n > 0 and m > 0),
+times as (select skey, (p * (((i % n) + rk * 7919) % n) + rk * 15485863) % n as block, count(*) as times from slot group by all),
+placed as (select d.*, sum(size) over (partition by skey order by coalesce(((doc_id % 1024) + 1024) % 1024, 0), doc_id nulls last, size rows unbounded preceding) - size as pos from d),
+cut as (select *, unnest(range(cast(floor(pos / 32) as bigint), cast(floor((pos + size - 1) / 32) as bigint) + 1)) as block from placed where size > 0),
+got as (select c.skey, c.doc_id, c.pos, c.size, sum((least((c.block + 1) * 32 - pos, size) - greatest(c.block * 32 - pos, 0)) * coalesce(t.times, 0)) as taken from cut c left join times t on t.skey = c.skey and t.block = c.block group by all)
+select doc_id, g.size, source_size, target, cast(taken as bigint) as taken from got g join src using (skey)
+union all select doc_id, size, source_size, target, cast(0 as bigint) from d join src using (skey) where size = 0
+""",
+    "op10_near_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+cc(node, c) as (select b, a from link union select l.node, cc.c from cc join (select a as node, b as other from link union all select b, a from link) l on l.other = cc.node),
+low as (select node, min(c) as c from cc group by node)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(low.c, w.doc_id)) as component_id, w.doc_id <= coalesce(low.c, w.doc_id) as kept from w left join n on n.doc_id = w.doc_id left join low on low.node = w.doc_id
 """,
 }
 
