@@ -117,5 +117,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
     taken = taken.select("mix_row", "turn", (F.col("n") == F.col("size")).alias("whole"), F.when(F.col("n") < F.col("size"), F.col("parts")).alias("parts"))
     found = spread.join(taken, "mix_row")
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    some = F.flatten(F.transform("parts", lambda p: F.slice(words, (p.low + 1).cast("int"), (p.high - p.low).cast("int"))))
+    # the words are bound to a lambda's variable, so that they are taken from the text once and not for each part
+    both = F.array(F.struct(words.alias("words"), F.col("parts").alias("parts")))
+    some = F.transform(both, lambda b: F.flatten(F.transform(b.parts, lambda p: F.slice(b.words, (p.low + 1).cast("int"), (p.high - p.low).cast("int")))))[0]
     return found.withColumn(text_col, F.when(F.col("whole"), F.col(text_col)).otherwise(F.array_join(some, " "))).select(*docs.columns)
