@@ -15,7 +15,7 @@
    Links are confirmed on whole sets. Nodes that are then connected need no more comparison: only pairs of
    different components that still share a list are, all of them. Of the nodes in such lists, two either share a
    shingle of at most `RARE` of these nodes, and are paired under it, or have only more frequent ones in common,
-   whose count then bounds their intersection. So no pair within a group of near copies is listed, frequent lists
+   whose counts in `GROUPS` groups by hash then bound their intersection. So no pair within a group of near copies is listed, frequent lists
    give pairs only where that bound allows a link, and no link between components is lost.
 5. Components come from alternating star joins over the confirmed links, cut by stored tables.
 
@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from .common import by_bytes, small_batches, stored
 from .tokens import mix, windows, words
 
-COORDS, MATCHES, SIMILAR, LEADERS, RARE = 32, 15, 80, 4, 16
+COORDS, MATCHES, SIMILAR, LEADERS, RARE, GROUPS = 32, 15, 80, 4, 16, 32
 BITS = 22
 #: Nodes without an id get numbers from here up.
 NO_ID = 1 << 62
@@ -202,16 +202,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     spread = stored(sets.select("node", "shingles").join(left, "node").select("node", "n", "m", "component", F.explode("shingles").alias("x")), "spread")
     counts = stored(spread.groupBy("x").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("c > 1"), "counts")
 
-    def crossed(lists: DataFrame, on: list[str], m: str, two: DataFrame) -> DataFrame:
+    def crossed(lists: DataFrame, on: list[str], m: str, two: DataFrame, common: Column) -> DataFrame:
         one = lists.select(*on, F.col("node").alias("p"), F.col("n").alias("np"), F.col(m).alias("mp"), F.col("component").alias("cp"))
         two = two.select(*on, F.col("node").alias("q"), F.col("n").alias("nq"), F.col(m).alias("mq"), F.col("component").alias("cq"))
-        pairs = one.join(two, on).where((F.col("cp") < F.col("cq")) & _fits("np", "mp", "nq", "mq", similar))
+        pairs = one.join(two, on).where((F.col("cp") < F.col("cq")) & (100 * common >= similar * (F.col("np") + F.col("nq") - common)))
         return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
     rare = spread.join(counts.where((F.col("c") <= RARE) & (F.col("low") < F.col("high"))).select("x"), "x")
-    hot = spread.join(counts.where(F.col("c") > RARE).select("x"), "x").groupBy("node").agg(F.count("*").alias("h"))
-    hot = labelled.join(hot.where("h > 0"), "node").where(100 * F.col("h") >= similar * F.col("n"))
-    cross = crossed(rare, ["x"], "m", rare).unionByName(crossed(hot, ["key", "size"], "h", hot.select("key", "node", "n", "h", "component", beside))).distinct()
+    # frequent shingles are counted in GROUPS by hash: the lesser counts of all groups bound what two sets have in common
+    hot = spread.join(counts.where(F.col("c") > RARE).select("x"), "x")
+    hot = hot.groupBy("node").agg(F.count("*").alias("all"), F.array(*(F.count_if(F.pmod("x", F.lit(GROUPS)) == g) for g in range(GROUPS))).alias("h"))
+    hot = labelled.join(hot, "node").where(100 * F.col("all") >= similar * F.col("n"))
+    frequent = F.aggregate(F.zip_with("mp", "mq", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, b: a + b)
+    cross = crossed(rare, ["x"], "m", rare, F.least("mp", "mq"))
+    cross = cross.unionByName(crossed(hot, ["key", "size"], "h", hot.select("key", "node", "n", "h", "component", beside), frequent)).distinct()
     more = stored(confirmed(cross.join(stars, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
