@@ -32,6 +32,46 @@ def test_lollipop_counts_the_stem_back_once(lollipop):
         assert r.repetition == pytest.approx(100 / 380)
 
 
+def brute_walks(edges, start, most, climb):
+    """Itineraries of all walks from a start: depth first, no limit of steps."""
+    by_trail = {(e.trail, e.reverse): e for e in edges}
+    found = set()
+
+    def grow(nodes, steps):
+        for e in edges:
+            if e.f != nodes[-1] or e.trail in {s.trail for s in steps}:
+                continue
+            now = [*steps, e]
+            if sum(s.dist for s in now) > most or sum(s.gain for s in now) > climb:
+                continue
+            if e.t not in nodes:
+                grow([*nodes, e.t], now)
+                continue
+            back = [by_trail.get((s.trail, not s.reverse)) for s in now[: nodes.index(e.t)]]
+            if None not in back and sum(s.dist for s in now + back) <= most and sum(s.gain for s in now + back) <= climb:
+                found.add(",".join(f"{s.trail}{'-' if s.reverse else '+'}" for s in now))
+
+    grow([start], [])
+    return found
+
+
+def test_walks_have_no_limit_of_steps(spark):
+    """A 3 x 4 lattice with a stem: loops of four to ten steps, lollipops around cells."""
+    rows, n = two_way(0, 100, 0, 90.0), 1
+    for i in range(12):
+        for j in (i + 1,) * (i % 4 < 3) + (i + 4,) * (i < 8):
+            rows += two_way(n, i, j, 100.0 + n, gain=float(n % 3))[: 1 if n == 5 else 2]
+            n += 1
+    edges = spark.createDataFrame(rows, EDGE)
+    starts = spark.createDataFrame([(0, 7, 0, "x", "public", 0), (0, 8, 100, "y", "public", 0)], "section_id long, start_id long, node long, name string, access string, kind_rank long")
+    q = walks.Query(max_distance=1150.0, max_gain=9.0, max_road=None, max_road_share=None)
+    found = walks.closed_walks(edges, starts, q).collect()
+    held = edges.collect()
+    for start, node in ((7, 0), (8, 100)):
+        assert sorted(r.itinerary for r in found if r.start_id == start) == sorted(brute_walks(held, node, 1150.0, 9.0))
+    assert max(len(r.trails) for r in found) > 6 and any(r.stem_steps and len(r.core_trails) == 4 for r in found)
+
+
 def test_one_way_stem_is_no_stem(spark, lollipop):
     edges, starts = lollipop
     assert walks.closed_walks(edges.where("not (trail = 0 and reverse)"), starts, walks.Query(max_road=None, max_road_share=None)).count() == 0

@@ -2,7 +2,8 @@
 
 A walk is a simple path (the stem), a simple circuit of distinct trails from its end, and the stem back by its reverse
 edges. Paths grow by one equi-join on (section_id, node) for each step, with the upper limits in the join's
-condition, so what cannot qualify is dropped before the next shuffle.
+condition, so what cannot qualify is dropped before the next shuffle. Without a limit of steps they grow until no path is
+left, and each round is stored in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 MILE = 1609.344
 
 
@@ -28,7 +31,7 @@ class Query:
     max_stem: float | None = None
     max_repetition: float | None = 1.0
     include_unknown: bool = True
-    max_steps: int = 4
+    max_steps: int | None = None
 
     def __post_init__(self):
         for low, high in ((self.min_distance, self.max_distance), (self.min_gain, self.max_gain)):
@@ -39,7 +42,7 @@ class Query:
         for share in (self.max_road_share, self.max_repetition):
             if share is not None and not 0 <= share <= 1:
                 raise ValueError("a share lies between 0 and 1")
-        if self.max_steps < 1:
+        if self.max_steps is not None and self.max_steps < 1:
             raise ValueError("a walk has steps")
 
 
@@ -71,16 +74,21 @@ def closed_walks(edges: DataFrame, starts: DataFrame, q: Query) -> DataFrame:
     step = F.struct(*(F.col(c) for c in ("trail", "reverse", "dist", "gain", "connector", "access", "back_dist", "back_gain"))).alias("step")
     e = with_reverse(allowed(edges, q)).select("section_id", "f", "t", step)
     path = starts.select("section_id", "start_id", F.col("access").alias("start_access"), "kind_rank", F.col("node").alias("at"), F.array("node").alias("nodes"), F.array().cast(e.select(F.array("step")).schema[0].dataType).alias("steps"), F.lit(0.0).alias("d"), F.lit(0.0).alias("g"))
-    closed = None
-    for _ in range(q.max_steps):
+    closed, n = None, 0
+    while q.max_steps is None or n < q.max_steps:
+        n += 1
         # one join serves both: an unused trail back to the path closes a circuit, one to a new node extends it
         grown = path.join(e.withColumnRenamed("f", "at"), ["section_id", "at"]).where(~F.exists("steps", lambda s: s.trail == F.col("step.trail")))
         grown = grown.withColumn("steps", F.concat("steps", F.array("step"))).withColumn("d", F.col("d") + F.col("step.dist")).withColumn("g", F.col("g") + F.col("step.gain"))
         grown = grown.where((F.col("d") <= q.max_distance) & (F.col("g") <= q.max_gain))
+        if q.max_steps is None:
+            grown = stored(grown)
         place = F.array_position("nodes", F.col("t"))
         done = grown.where(place > 0).withColumn("stem_steps", (place - 1).cast("int"))
         closed = done if closed is None else closed.unionByName(done)
         path = grown.where(place == 0).withColumn("nodes", F.concat("nodes", F.array("t"))).withColumn("at", F.col("t")).drop("t", "step")
+        if q.max_steps is None and path.isEmpty():
+            break
     before = F.greatest(F.col("stem_steps"), F.lit(0))  # filters on the stem may be evaluated before open paths are dropped
     stem = F.slice("steps", F.lit(1), before)
     core = F.slice("steps", before + 1, F.size("steps"))

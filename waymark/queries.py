@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ SQL: dict[str, str] = {}
 
 #: Limits of the registered searches.
 REACH = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None, max_steps=4)
+#: The same limits without one of steps.
+WHOLE = replace(REACH, max_steps=None)
 
 
 def query(sql: str | None = None, cte: str = "") -> Callable[[Run], Run]:
@@ -254,8 +257,8 @@ def best_per_start(s, d):
     return walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit", "start_id").select("circuit", *COLUMNS.split(", "))
 
 
-def _placed_circuits(s, d):
-    best = walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit")
+def _placed_circuits(s, d, q=REACH):
+    best = walks.best_per(with_circuit(all_walks(s, d, q)), "section_id", "circuit")
     return graph.stored(best.withColumn("place", F.row_number().over(Window.partitionBy("section_id").orderBy(*walks.preference(best), "circuit"))).select("section_id", "circuit", "core_trails", "place"))
 
 
@@ -276,7 +279,7 @@ SQL["circuit_similarity"] = net.with_cte(N_WALK + " circuit best", f", {_PAIRS}
 
 @query()
 def distinct_hikes(s, d):
-    c = _placed_circuits(s, d)
+    c = _placed_circuits(s, d, WHOLE)
     pairs = walks.similarity(c, net.trails(s, d).select("section_id", "trail", "dist"))
     return walks.distinct_hikes(c, pairs)
 
@@ -287,6 +290,37 @@ def walk_verifier(s, d):
     return all_walks(s, d).select("section_id", "start_id", "itinerary", n.alias("n_steps"), u.alias("n_trails"), (n == u).alias("sound"))
 
 
+# --- searches without a limit of steps: length and climb alone end them; they have no SQL, tests hold the expansion against brute force
+
+
+@query()
+def loops_in_range_whole(s, d):
+    q = walks.Query(min_distance=800.0, max_distance=2500.0, max_gain=400.0, max_road_share=0.5)
+    return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
+
+
+@query()
+def loops_road_limit_whole(s, d):
+    q = walks.Query(max_distance=2500.0, max_road=500.0)
+    return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
+
+
+@query()
+def loops_public_whole(s, d):
+    q = replace(WHOLE, include_unknown=False)
+    return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
+
+
+@query()
+def lollipops_whole(s, d):
+    return shown(walks.qualified(all_walks(s, d, WHOLE).where("stem_steps > 0"), WHOLE))
+
+
+@query()
+def best_per_circuit_whole(s, d):
+    return walks.best_per(with_circuit(all_walks(s, d, WHOLE)), "section_id", "circuit").select("circuit", *COLUMNS.split(", "))
+
+
 # --- results
 
 _R = N_ROUTE
