@@ -440,6 +440,20 @@ def test_pii_adds_spans_and_keeps_base_ones(spark):
     assert found[100].spans == "secret:13:53" and found[103].spans == found[101].spans == found[102].spans == ""
 
 
+def test_long_secrets_and_addresses_are_whole(spark):
+    import time
+
+    token = hashlib.sha256(b"a").hexdigest() * 12
+    address = "j" * 70 + " (at) " + "mail" * 8 + ".b1.c2.d3.e4.example.com"
+    rows = [(i, t) for i, t in enumerate(PII * 6)] + [(100, f'set token = "{token}" now'), (101, f"write to {address} soon")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == f"secret:13:{13 + len(token)}" and found[101] == f"email:9:{9 + len(address)}"
+    start = time.time()
+    for text in ("token=" * 100_000, "token=" + "a" * 500_000, "a" * 500_000 + " (at) b", "a (at) " + "bb." * 200_000, "a(at)" * 100_000):
+        pii.loose_spans(text)
+    assert time.time() - start < 10
+
+
 # --- 9
 
 

@@ -50,8 +50,8 @@ _EMAIL = re.compile(rf"(?<!{_LOCAL}){_EMAIL_AT.pattern}")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?([^\s\"',;]{6,256})")
-_SPELT = re.compile(rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{{2,24}}){{1,4}}")
+_SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?([^\s\"',;]{6,}+)")
+_SPELT = re.compile(rf"(?i)(?<!{_LOCAL}){_LOCAL}++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{{2,}}+)++")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![\w.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
