@@ -271,6 +271,14 @@ def test_language_held_out(docs, texts):
     assert language.identify(docs).count() == docs.count()
 
 
+def test_language_learns_rare_and_long_languages(spark):
+    rows = [(i, prose("en", 40), "en") for i in range(300)] + [(1000 + i, prose("de", 40), "de") for i in range(8)] + [(2000 + i, prose("fr", 5000), "fr") for i in range(8)]
+    assert min(len(t.encode()) for _, t, x in rows if x == "fr") > language.LONGEST
+    found = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=6).collect()}
+    for lang in ("en", "de", "fr"):
+        assert np.mean([found[i] == lang for i, _, x in rows if x == lang]) > 0.9
+
+
 def test_language_without_labels(docs):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 

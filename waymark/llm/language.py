@@ -6,8 +6,9 @@ of the word: byte 1- to 4-grams with word bounds (so prefixes and suffixes are a
 Forward-backward gives every word's distribution; a text's language is the one with the largest sum over its
 words with letters, and the score is that language's mean.
 
-Training takes at most `SAMPLE` labelled texts of up to `LONGEST` bytes, in the order of a hash of the id, outside
-the held-out fold; every text is labelled whole. Words are scored once for each batch, and the chain runs over all
+Training takes at most `SAMPLE` labelled texts of each language, in the order of a hash of id and text, outside the
+held-out fold; of a text over `LONGEST` bytes it takes the first `LONGEST / 4` characters. So every language with a
+labelled row is learned. Every text is labelled whole. Words are scored once for each batch, and the chain runs over all
 texts of a batch in step.
 
 Null text, and text without a letter, is `und` with score 0. Without labelled rows everything is `und`. Repeated
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, fold, small_batches
 from .tokens import LOWER, Words, hash_spans, mix, words
 
-SAMPLE, LONGEST, FOLDS, HELD_OUT = 1500, 20_000, 4, 2
+SAMPLE, SPREAD, LONGEST, FOLDS, HELD_OUT = 375, 4096, 20_000, 4, 2
 FEATURES, GRAMS, ROUNDS = 1 << 16, 4, 25
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -209,8 +210,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     small_batches(docs.sparkSession)
     held = fold(id_col, FOLDS) == HELD_OUT
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    known = docs.where(~held & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= LONGEST))
-    rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("place")).orderBy("place").limit(sample).collect()  # at most sample * LONGEST bytes
+    span = F.when(F.octet_length(text_col) <= LONGEST, F.col(text_col)).otherwise(F.substring(text_col, 1, LONGEST // 4))
+    known = docs.where(~held & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(span.alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("place"))
+    # the least hash of each of SPREAD classes: bounded for each language, however its rows are dealt
+    least = known.groupBy("lang", F.pmod("place", F.lit(SPREAD))).agg(F.min("place").alias("place")).select("lang", "place").collect()
+    places: dict[str, list[int]] = {}
+    for r in sorted(least):
+        places.setdefault(r.lang, []).append(r.place)
+    picked = docs.sparkSession.createDataFrame([(x, p) for x, some in places.items() for p in some[:sample]], "lang string, place long")
+    rows = known.join(F.broadcast(picked), ["lang", "place"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()  # at most sample * LONGEST bytes for each language
+    rows.sort(key=lambda r: (r.place, r.lang))
     model = train([r.text for r in rows], [r.lang for r in rows])
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_predicted(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
