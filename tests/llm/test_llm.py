@@ -351,6 +351,27 @@ def test_mix_reaches_its_targets(docs, rows):
     assert key(mixing.mix(docs.repartition(2), block=4), "doc_id", "size", "taken") == collections.Counter((r.doc_id, r.size, r.taken) for r in found)
 
 
+def test_shards_are_a_multinomial_draw(docs):
+    parts = mixing.dealt(docs, block=4, shard_slots=64).collect()
+    taken = collections.Counter()
+    for r in parts:
+        taken[r.doc_id] += r.high - r.low
+    wanted = collections.Counter()
+    for r in mixing.mix(docs, block=4).collect():
+        wanted[r.doc_id] += r.taken
+    assert +taken == +wanted
+    slots = {(r.source, r.i): r.shard for r in parts}
+    shards = max(slots.values()) + 1
+    counts = collections.Counter((s, k) for (s, _), k in slots.items())
+    totals = collections.Counter(s for s, _ in slots)
+    assert shards > 20
+    chi = sum((counts[s, k] - n / shards) ** 2 / (n / shards) for s, n in totals.items() if n > 5 * shards for k in range(shards))
+    free = sum(n > 5 * shards for n in totals.values()) * (shards - 1)
+    assert free and abs(chi - free) < 5 * math.sqrt(2 * free)  # neither a lattice nor clustered
+    other = {(r.source, r.i): r.shard for r in mixing.dealt(docs, block=4, shard_slots=64, seed=1).select("source", "i", "shard").distinct().collect()}
+    assert other.keys() == slots.keys() and np.mean([other[k] == slots[k] for k in slots]) < 0.2
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 104729, 104723 * 2])
 def test_permutations_are_bijections(spark, n):
     found = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()

@@ -1,11 +1,11 @@
 """Operator 6: mix sources to target weights, with DataFrame functions only.
 
 Each source's texts, in a fixed order, are one stream of words, packed into blocks of `block` words. A
-source's target in words gives its number of slots; the slots of all sources fill output shards, and
-which slots a shard gets is settled by one pseudorandom permutation of all slots, so that the counts of
-sources in a shard are a multinomial draw, conditioned on the totals. The i-th slot of a source takes
-block perm(i mod n) of its n blocks, where perm is an index permutation of the source; the blocks are
-then joined by their index, and a document's words in a block are taken as often as the block is.
+source's target in words gives its number of slots. Every slot draws its output shard by a seeded hash, so a
+source's counts in the shards are a multinomial draw whose sum is the source's target, and `dealt` gives the words of
+each shard. The i-th slot of a source takes block perm(i mod n) of its n blocks, where perm is an index
+permutation of the source (one affine map, as in the operator's SQL); the blocks are then joined by their index, and a
+document's words in a block are taken as often as the block is.
 
 A hot source is dealt out by (source, part) for running sums and by (source, block) for joins, never by
 the source alone. Null text has no words and is taken 0 times; a null source is a source, placed last.
@@ -55,7 +55,7 @@ def placed_words(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
 
 
-def plan(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def plan(rows: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """rows: doc_id, source, size and others. Gives (rows with their place in the stream and target, slots)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     rows = rows.withColumn("skey", key).withColumn("part", F.coalesce(F.pmod(F.col("doc_id"), F.lit(PARTS)), F.lit(0)))
@@ -67,27 +67,31 @@ def plan(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     inner = Window.partitionBy("skey", "part").orderBy(F.col("doc_id").asc_nulls_last(), "size")
     rows = rows.withColumn("at", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(parts, ["skey", "part"]).withColumn("at", F.col("at") + F.col("part_at")).drop("part", "part_at")
-    return rows, slots(targets, block)
+    return rows, slots(targets, block, shard_slots, seed)
 
 
-def slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row for each slot of the mix: skey, i (slot of the source), block, shard, seat."""
+def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """One row for each slot of the mix: skey, i (slot of the source), block, shard (of shard_slots slots on average)."""
     t = targets.withColumn("n", F.ceil(F.col("source_size") / block)).withColumn("m", F.round(F.col("target") / block).cast("long")).where("n > 0 and m > 0")
-    t = t.withColumn("base", F.sum("m").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).withColumn("all", F.sum("m").over(Window.partitionBy()))
-    t = t.select("skey", "rank", "n", "m", "base", "all", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK))).alias("chunk"))
+    t = t.withColumn("shards", F.ceil(F.sum("m").over(Window.partitionBy()) / shard_slots))
+    t = t.select("skey", "rank", "n", "m", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK))).alias("chunk"))
     t = t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "chunk")  # a given number is not coalesced: rows are few here, and many below
-    t = t.select("skey", "rank", "n", "base", "all", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("m")) - 1)).alias("i"))
-    seat = permuted(F.col("base") + F.col("i"), F.col("all"), F.lit(1))
-    return t.select("skey", "i", permuted(F.col("i") % F.col("n"), F.col("n"), F.col("rank")).alias("block"), F.floor(seat / SHARD_SLOTS).alias("shard"), (seat % SHARD_SLOTS).alias("seat"))
+    t = t.select("skey", "rank", "n", "shards", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("m")) - 1)).alias("i"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "skey", "i"), F.col("shards"))
+    return t.select("skey", "i", permuted(F.col("i") % F.col("n"), F.col("n"), F.col("rank")).alias("block"), shard.alias("shard"))
 
 
 def pieces(rows: DataFrame, slot_rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """rows once for each block they have words in: low, high (words of the row in the block), times."""
     times = slot_rows.groupBy("skey", "block").agg(F.count("*").alias("times"))
+    return cut_rows(rows, block).join(times.hint("merge"), ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+
+
+def cut_rows(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows once for each block they have words in: low, high (words of the row in the block)."""
     low, high = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     cut = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(low, high))))
-    cut = cut.withColumn("low", F.greatest(F.col("block") * block - F.col("at"), F.lit(0))).withColumn("high", F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")))
-    return cut.join(times.hint("merge"), ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return cut.withColumn("low", F.greatest(F.col("block") * block - F.col("at"), F.lit(0))).withColumn("high", F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -101,6 +105,13 @@ def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: s
     return full.select(*cols).unionByName(empty.select(*cols))
 
 
+def dealt(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """shard, source, i, doc_id, low, high: the words of rows that each slot of each output shard takes."""
+    rows, slot_rows = plan(stored(placed_words(docs, id_col, text_col, source_col), "sizes"), block, shard_slots, seed)
+    cut = cut_rows(rows.where("size > 0"), block)
+    return cut.join(slot_rows.hint("merge"), ["skey", "block"]).select("shard", "source", "i", "doc_id", "low", "high")
+
+
 def mixed_texts(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs once for each time a row is taken: its text where all its words are, else the taken words with single spaces.
 
