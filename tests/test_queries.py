@@ -40,3 +40,17 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_slugs_of_whole_texts(spark):
+    import re
+    import unicodedata
+
+    def brute(text):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return re.sub("[^a-z0-9]+", "-", bare.lower()).strip("-")[:150].rstrip("-")
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    found = sorted((r.doc_id, r.slug) for r in QUERIES["slug_whole"](spark, SF).collect())
+    assert found == sorted((r.doc_id, brute(r.text)) for r in rows)
+    assert len({r.lang for r in rows}) > 3 and any(len(s) == 150 for _, s in found) and any(not r.text.isascii() for r in rows)

@@ -48,7 +48,7 @@ def without_marks(text: pd.Series) -> pd.Series:
 def slug(text: str | Column) -> Column:
     """Lower case, runs of anything but letters and digits as one hyphen, at most 150 characters."""
     bare = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(bare, "^-+|-+$", ""), 1, 150)
+    return F.regexp_replace(F.substring(F.regexp_replace(bare, "^-+|-+$", ""), 1, 150), "-+$", "")
 
 
 def gpx_filename(name: str | Column, distance: str | Column, metric: bool = False) -> Column:

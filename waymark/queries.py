@@ -637,6 +637,12 @@ def slug(s, d):
     return net.table(s, d, "documents").where("lang = 'en'").select("doc_id", scalars.slug(F.substring("text", 1, 40)).alias("slug"))
 
 
+@query()
+def slug_whole(s, d):
+    """Slugs of whole texts in every language, without marks."""
+    return net.table(s, d, "documents").select("doc_id", scalars.slug(scalars.without_marks(F.col("text"))).alias("slug"))
+
+
 @query("select c_custkey, case when regexp_matches(x, '^[0-9]') then 'US' || x else x end as ref from (select c_custkey, regexp_replace(upper(regexp_replace(ref, '\\s+', '', 'g')), '^SR', 'WA') as x from (select c_custkey, case c_custkey % 3 when 0 then 'sr ' || c_custkey when 1 then 'i- ' || c_custkey else '' || c_custkey end as ref from customer))")
 def ref_normalise(s, d):
     k = F.col("c_custkey")
