@@ -351,31 +351,63 @@ def test_mix_reaches_its_targets(docs, rows):
     assert key(mixing.mix(docs.repartition(2), block=4), "doc_id", "size", "taken") == collections.Counter((r.doc_id, r.size, r.taken) for r in found)
 
 
-def test_shards_are_a_multinomial_draw(docs):
-    parts = mixing.dealt(docs, block=4, shard_slots=64).collect()
-    taken = collections.Counter()
-    for r in parts:
-        taken[r.doc_id] += r.high - r.low
-    wanted = collections.Counter()
-    for r in mixing.mix(docs, block=4).collect():
-        wanted[r.doc_id] += r.taken
-    assert +taken == +wanted
-    slots = {(r.source, r.i): r.shard for r in parts}
-    shards = max(slots.values()) + 1
-    counts = collections.Counter((s, k) for (s, _), k in slots.items())
-    totals = collections.Counter(s for s, _ in slots)
-    assert shards > 20
-    chi = sum((counts[s, k] - n / shards) ** 2 / (n / shards) for s, n in totals.items() if n > 5 * shards for k in range(shards))
-    free = sum(n > 5 * shards for n in totals.values()) * (shards - 1)
-    assert free and abs(chi - free) < 5 * math.sqrt(2 * free)  # neither a lattice nor clustered
-    other = {(r.source, r.i): r.shard for r in mixing.dealt(docs, block=4, shard_slots=64, seed=1).select("source", "i", "shard").distinct().collect()}
-    assert other.keys() == slots.keys() and np.mean([other[k] == slots[k] for k in slots]) < 0.2
+def scrambled(x, key):
+    h = (x % mixing.P * 48271 + x // mixing.P * 69621 + key * 40692 + 1) % mixing.P
+    h = h * (h + 16807) % mixing.P
+    return h * (h + 271828183) % mixing.P
+
+
+def test_shard_counts_are_the_draws(docs, rows):
+    """Each shard's slots, drawn one by one, and each source's counts scaled to its number of slots."""
+    block, shard_slots = 4, 64
+    slots = {(r.source, r.i): r.shard for r in mixing.dealt(docs, block=block, shard_slots=shard_slots).collect()}
+    names, total = sorted({s for _, _, _, s in rows if s is not None}) + [None], collections.Counter()
+    for _, t, _, s in rows:
+        total[s] += len(WORD.findall(t or ""))
+    targets = {r.source_size: r.target for r in mixing.mix(docs, block=block).collect()}
+    m = {}
+    for s in names:
+        if total[s]:
+            n = -(-total[s] // block)
+            whole = math.floor(targets[total[s]] * n / total[s] + 1e-9)
+            m[s] = whole + (math.floor((targets[total[s]] * n / total[s] - whole) * total[s] / n + 0.5) > 0)
+    every = sum(m.values())
+    bounds = np.cumsum([m.get(s, 0) for s in names]) * (mixing.P / every)
+    drawn = collections.Counter()
+    for d in range(every):
+        drawn[names[int(np.searchsorted(np.floor(bounds), scrambled(d, 11), "right"))], d // shard_slots] += 1
+    want = collections.Counter()
+    for s in names:
+        own = sorted((k, n) for (x, k), n in drawn.items() if x == s)
+        reach = np.floor(np.cumsum([0, *(n for _, n in own)]) * (m.get(s, 0) / max(1, sum(n for _, n in own))) + 1e-9).astype(int)
+        for (k, _), n in zip(own, np.diff(reach), strict=True):
+            want[s, k] += int(n)
+    got = collections.Counter((s, k) for (s, _), k in slots.items())
+    assert got == +want and sum(got.values()) == every and max(slots.values()) > 20
+    free = chi = 0
+    for s, n in m.items():  # neither a lattice nor clustered
+        if n > 5 * every / shard_slots:
+            chi += sum((drawn[s, k] - n * shard_slots / every) ** 2 / (n * shard_slots / every) for k in range(every // shard_slots))
+            free += every // shard_slots * (1 - n / every)
+    assert free and abs(chi - free) < 5 * math.sqrt(2 * free)
+    other = {(r.source, r.i): r.shard for r in mixing.dealt(docs, block=block, shard_slots=shard_slots, seed=1).select("source", "i", "shard").distinct().collect()}
+    assert other.keys() == slots.keys() and np.mean([other[k] == slots[k] for k in slots]) < 0.9
+
+
+def test_small_sources_get_their_words(spark):
+    rows = [(i, prose("en", 300), "big") for i in range(20)] + [(100, "a b c d e", "small"), (101, "x " * 40, "tiny"), (102, None, "void")]
+    found = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found[100].target == found[100].taken == 15 and found[101].target == 120 and abs(found[101].taken - 120) <= 8 and found[102].taken == 0
+    assert abs(sum(found[i].taken for i in range(20)) - found[0].target) <= 32
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 104729, 104723 * 2])
 def test_permutations_are_bijections(spark, n):
-    found = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
-    assert tuple(found) == (n, 0, n - 1)
+    lit = F.lit(n).cast("long")
+    p = spark.range(n).select("id", mixing.permuted(F.col("id"), lit, mixing.mirrors(F.lit(3).cast("long"), lit)).alias("p")).toPandas().sort_values("id").p.to_numpy()
+    assert np.array_equal(np.sort(p), np.arange(n))
+    if n > 100:  # steps between neighbours are many, and nothing keeps its order
+        assert len(np.unique(np.diff(p))) > n / 20 and abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.02
 
 
 def test_mixed_texts_hold_the_words_taken(docs):
@@ -384,6 +416,8 @@ def test_mixed_texts_hold_the_words_taken(docs):
     for r in mixing.mixed_texts(docs, block=4).where("doc_id < 100").collect():
         found[r.doc_id] += len(WORD.findall(r.text))
     assert found == {i: n for i, n in taken.items() if n}
+    clash = docs.withColumns({c: F.lit(c) for c in ("parts", "whole", "turn", "mix_row", "doc", "rank", "skey", "times")})
+    assert mixing.mixed_texts(clash, block=4).columns == clash.columns and key(mixing.mixed_texts(clash, block=4), "doc_id", "text", "turn") == collections.Counter({(*k, "turn"): n for k, n in key(mixing.mixed_texts(docs, block=4), "doc_id", "text").items()})
 
 
 # --- 7

@@ -67,28 +67,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-SQL = {
-    "op9_exact_dedup": r"""
-with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
-g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
-select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, t.text_sha256 from t join g using (text_sha256)
-""",
-    "op6_mixing": r"""
-with recursive d as (select doc_id, source, coalesce('s' || source, 'null') as skey, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+def _mixing_sql() -> str:
+    p = 2147483647
+
+    def h(x: str, key: str) -> str:
+        one = f"((({x}) % {p} * 48271 + ({x}) // {p} * 69621 + ({key}) * 40692 + 1) % {p})"
+        two = f"({one} * ({one} + 16807) % {p})"
+        return f"({two} * ({two} + 271828183) % {p})"
+
+    def key(r: int) -> str:
+        return f"({h(f'rk * 64 + {r}', '2')} * {p} + {h(f'rk * 64 + {r}', '3')}) % n"
+
+    rounds = ["p0 as (select *, ((case when n % 104729 <> 0 then 104729 when n % 104723 <> 0 then 104723 else 104717 end) * (i % n) + k) % n as x from slot)"]
+    for r in range(6):
+        rounds.append(f"y{r} as (select *, (k{r} - x + n) % n as y from p{r})")
+        coin = f"((greatest(x, y) % {p} * 48271 + k{r} % {p}) % {p})"
+        rounds.append(f"p{r + 1} as (select * exclude (x, y), case when {coin} * ({coin} + 16807) % {p} % 2 = 1 then y else x end as x from y{r})")
+    return rf"""
+with d as (select doc_id, source, coalesce('s' || source, 'null') as skey, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
 s0 as (select skey, source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as rk from d group by skey, source),
 s1 as (select *, cast((rk - 1) % 3 + 1 as double) as weight, cast(3 * source_size as double) as most from s0),
 s2 as (select *, (sum(source_size) over () - coalesce(sum(most) over (order by most / weight, rk rows between unbounded preceding and 1 preceding), 0))
  / (sum(weight) over () - coalesce(sum(weight) over (order by most / weight, rk rows between unbounded preceding and 1 preceding), 0)) as level from s1),
 sh as (select level as share from s2 where most >= level * weight order by most / weight, rk limit 1),
-src as (select s2.*, least(most, share * weight) as target, cast(ceil(source_size / 32) as bigint) as n, cast(round(least(most, share * weight) / 32) as bigint) as m from s2 cross join sh),
-slot as (select skey, n, rk, case when n % 104729 <> 0 then 104729 when n % 104723 <> 0 then 104723 else 104717 end as p, unnest(range(0, m)) as i from src where n > 0 and m > 0),
-times as (select skey, (p * (((i % n) + rk * 7919) % n) + rk * 15485863) % n as block, count(*) as times from slot group by all),
-placed as (select d.*, sum(size) over (partition by skey order by coalesce(((doc_id % 1024) + 1024) % 1024, 0), doc_id nulls last, size rows unbounded preceding) - size as pos from d),
-cut as (select *, unnest(range(cast(floor(pos / 32) as bigint), cast(floor((pos + size - 1) / 32) as bigint) + 1)) as block from placed where size > 0),
-got as (select c.skey, c.doc_id, c.pos, c.size, sum((least((c.block + 1) * 32 - pos, size) - greatest(c.block * 32 - pos, 0)) * coalesce(t.times, 0)) as taken from cut c left join times t on t.skey = c.skey and t.block = c.block group by all)
-select doc_id, g.size, source_size, target, cast(taken as bigint) as taken from got g join src using (skey)
-union all select doc_id, size, source_size, target, cast(0 as bigint) from d join src using (skey) where size = 0
+src as (select s2.*, least(most, share * weight) as target from s2 cross join sh),
+t1 as (select *, cast(ceil(source_size / 32) as bigint) as n from src where source_size > 0),
+t2 as (select *, cast(floor(target * n / source_size + 1e-9) as bigint) as whole from t1),
+t3 as (select *, greatest(0, cast(round((target * n / source_size - whole) * source_size / n) as bigint)) as rest from t2),
+t as (select skey, rk, n, whole, rest, whole + case when rest > 0 then 1 else 0 end as m from t3 where whole + rest > 0),
+tot as (select cast(sum(m) as bigint) as ms, greatest(1, cast(ceil(sum(m) / 4096) as bigint)) as shards from t),
+bounds as (select skey, floor((c - m) * ({p} / ms)) as low, case when c = ms then {p} else floor(c * ({p} / ms)) end as high from (select skey, m, cast(sum(m) over (order by rk) as bigint) as c from t), tot),
+draws as (select id // 4096 as shard, {h("id", "11")} as u from (select unnest(range(0, ms)) as id from tot)),
+cnt as (select skey, shard, cast(sum(drawn) as bigint) as drawn from (select skey, shard, count(*) as drawn from draws join bounds on u >= low and u < high group by all
+ union all select skey, {h("rk", "13")} % shards, 0 from t, tot) group by all),
+upto as (select *, cast(sum(drawn) over (partition by skey order by shard) as bigint) as hi, cast(sum(drawn) over (partition by skey) as bigint) as total from cnt),
+rng as (select t.*, shard, case when hi - drawn = 0 then 0 when hi - drawn = total then m else cast(floor((hi - drawn) * (m / greatest(total, 1))) as bigint) end as low,
+ case when hi = total then m else cast(floor(hi * (m / greatest(total, 1))) as bigint) end as high from upto join t using (skey)),
+slot as (select skey, rk, n, whole, rest, shard, {key(6)} as k, {", ".join(f"{key(r)} as k{r}" for r in range(6))}, unnest(range(low, high)) as i from rng where low < high),
+{", ".join(rounds)},
+times as (select skey, x as block, count(*) filter (i < whole or rest = 32) as times, max(rest) filter (i >= whole and rest < 32) as short, min(shard) as first_shard from p6 group by all),
+placed as (select d.*, cast(sum(size) over (partition by skey order by {h("abs(coalesce(doc_id, size) % 2147483647)", "7")} % 1024, doc_id nulls last, size rows unbounded preceding) as bigint) - size as pos from d),
+cut as (select *, unnest(range(pos // 32, (pos + size - 1) // 32 + 1)) as block from placed where size > 0),
+part as (select c.*, greatest(block * 32 - pos, 0) as a, least((block + 1) * 32 - pos, size) as b, coalesce(times, 0) as times, coalesce(short, 0) as short, first_shard from cut c left join times using (skey, block)),
+reached as (select *, greatest(least(short, pos + b - block * 32) - (pos + a - block * 32), 0) as extra from part),
+got as (select skey, doc_id, pos, size, sum((b - a) * times + extra) as taken, min(first_shard) filter (times > 0 or extra > 0) as first_shard from reached group by all)
+select doc_id, g.size, source_size, target, cast(taken as bigint) as taken, first_shard from got g join src using (skey)
+union all select doc_id, size, source_size, target, cast(0 as bigint), null from d join src using (skey) where size = 0
+"""
+
+
+SQL = {
+    "op9_exact_dedup": r"""
+with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
+g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
+select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, t.text_sha256 from t join g using (text_sha256)
 """,
+    "op6_mixing": _mixing_sql(),
     "op10_near_dedup": r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
 g as (select distinct doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from w where len(ws) > 0)),
