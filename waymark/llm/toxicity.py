@@ -1,16 +1,20 @@
 """Operator 2: toxicity by weak supervision.
 
 Voters are lexicon voters (a word, or the first 4 to 10 bytes of words, occurs in the text) and pattern voters (runs of
-marks, shares of capitals, repeated words, no lexicon voter at all). The lexicon is mined from labelled rows. A generative label model has,
-for each class, every voter's rate of firing; expectation-maximisation estimates them together with the class
-balance from the votes alone, and voters that fire together within a class share their weight, so that correlated
-ones are not counted twice. A linear classifier is then trained on the posterior labels.
-
-Labels are read only from rows outside the held-out fold: at most `SAMPLE` rows of each class, in the order of a
-hash of the id, mine the lexicon, start the label model and are its training rows. Nothing but the text enters a score.
-
-Null text counts as empty: no lexicon voter fires. Without toxic labels no voter is learned and scores are 0.
-Labels with null are left out; of repeated labels the largest counts. Repeated rows are scored one by one.
+marks, shares of capitals, repeated words, no lexicon voter at all). The lexicon is mined from labelled rows. A generative label
+model has, for each class, every voter's rate of firing; expectation-maximisation estimates them together with the class
+balance from the votes of labelled and unlabelled rows. Labels start the classes and are one more voter, whose rate of error is
+estimated too; voters that fire together within a class share their weight, so that correlated ones are not counted twice. A
+linear classifier is then trained on the posterior labels of all these rows.
+
+Labels are read only from rows outside the held-out fold. At most `SAMPLE` rows of each class and as many without a label, those of
+the least hashes of the id, mine the lexicon, start the label model and are its training rows. Nothing but the text enters a
+score.
+
+Null text counts as empty: no lexicon voter fires. Without toxic or without clean labels no voter is learned and scores are 0.
+Labels with null are left out; of repeated labels the largest counts; of rows that repeat an id the least text trains.
+Repeated rows are scored one by one, texts of any length whole; an empty table gives no rows, and other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fold, small_batches
+from .common import by_bytes, fold, small_batches, stored
 from .quality import repeated, sums
 from .tokens import hash_spans, words
 
 SAMPLE, FOLDS, VOTERS, LEAST = 4000, 5, 300, 4
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 #: What share of the labels is taken to be right, and the correlation from which voters share their weight.
-TRUST, BOUND = 0.95, 0.4
+TRUST, BOUND = 0.95, 0.7
 #: Least log odds of a lexicon term between toxic and clean rows.
 ODDS = 3.0
 _PUNCT = np.ones(256, bool)
@@ -63,24 +67,16 @@ def terms(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return found, w.at, patterns
 
 
-def _counts_of(toxic: np.ndarray, clean: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            bad = np.isin(ids, toxic)
-            some = (bad | np.isin(ids, clean)) & (ids >= 0)
-            part = batch.filter(pa.array(some))
-            if not len(part):
-                continue
-            found, at, _ = terms(part.column("text"))
-            text = np.tile(np.repeat(np.arange(len(part)), np.diff(at)), len(found))
-            key = np.concatenate(found)
-            pairs = np.unique(np.stack([key.view(np.int64), text], 1)[key != 0], axis=0)
-            unique, where = np.unique(pairs[:, 0], return_inverse=True)
-            hits = bad[some][pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(where, hits, len(unique)).astype(np.int64)), pa.array(np.bincount(where, ~hits, len(unique)).astype(np.int64))], ["term", "toxic", "clean"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches):
+        bad = batch.column("toxic").to_numpy(zero_copy_only=False) == 1
+        found, at, _ = terms(batch.column("text"))
+        text = np.tile(np.repeat(np.arange(len(batch)), np.diff(at)), len(found))
+        key = np.concatenate(found)
+        pairs = np.unique(np.stack([key.view(np.int64), text], 1)[key != 0], axis=0)
+        unique, where = np.unique(pairs[:, 0], return_inverse=True)
+        hits = bad[pairs[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(where, hits, len(unique)).astype(np.int64)), pa.array(np.bincount(where, ~hits, len(unique)).astype(np.int64))], ["term", "toxic", "clean"])
 
 
 @dataclass
@@ -106,18 +102,19 @@ def features(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     return np.column_stack([votes > 0, patterns, hits == 0, hits, np.ones(n)]).astype(float)
 
 
-def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, firing rates by class (2 x voters), and each voter's share of weight.
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Posterior of class 1 for each row, firing rates by class (2 x voters), each voter's share of weight, and how often
+    the labels are right. labels: 1, 0, or -1 for a row without one.
 
-    A voter that does not fire abstains, which says nothing: most insults of one language never occur in another.
-    The training labels are one more voter, right in TRUST of all rows; it keeps the classes what they should be.
+    A voter that does not fire speaks too, with the rate at which it is silent in each class. The labels start the classes
+    and are then one more voter, whose rate of error is estimated like the others'.
     """
-    gold = np.where(marked, 1, -1) * np.log(TRUST / (1 - TRUST))
-    posterior = belief = 1 / (1 + np.exp(-gold))
+    known = labels >= 0
+    trust = TRUST
+    posterior = np.where(known, np.where(labels == 1, trust, 1 - trust), (labels == 1).sum() / max(1, known.sum()))
     for r in range(rounds):
-        held = (posterior + belief) / 2  # half of every row's weight stays with its label, so that classes cannot drift
-        mass = np.stack([1 - held, held])
-        rates = (mass @ votes + 0.1) / (mass.sum(1, keepdims=True) + 1)
+        mass = np.stack([1 - posterior, posterior])
+        rates = np.clip((mass @ votes + 0.1) / (mass.sum(1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
         together = np.zeros((votes.shape[1], votes.shape[1]))
         for y in (0, 1):  # correlations within a class
             part = votes - rates[y]
@@ -128,10 +125,13 @@ def label_model(votes: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tupl
         np.fill_diagonal(together, 1)
         # classes that are still mixed make voters look alike, so the first rounds take them as independent
         share = 1 / together.sum(1) if 3 * r >= rounds else np.ones(len(together))
-        ratio = share * (np.log(rates[1]) - np.log(rates[0]))
+        fires, silent = share * (np.log(rates[1]) - np.log(rates[0])), share * (np.log1p(-rates[1]) - np.log1p(-rates[0]))
         balance = np.log(mass[1].sum() + 1) - np.log(mass[0].sum() + 1)
-        posterior = 1 / (1 + np.exp(-np.clip(votes @ ratio + balance + gold, -30, 30)))
-    return posterior, rates, share
+        gold = np.where(known, np.where(labels == 1, 1, -1) * np.log(trust / (1 - trust)), 0)
+        posterior = 1 / (1 + np.exp(-np.clip(votes @ (fires - silent) + silent.sum() + balance + gold, -30, 30)))
+        agree = np.where(labels == 1, posterior, 1 - posterior)[known]
+        trust = float(np.clip((agree.sum() + TRUST * 10) / (known.sum() + 10), 0.6, 0.98))
+    return posterior, rates, share, trust
 
 
 def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 25) -> np.ndarray:
@@ -149,16 +149,11 @@ def linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 25)
     return w
 
 
-def _sampled(toxic: np.ndarray, clean: np.ndarray, lexicon: np.ndarray):
+def _sampled(lexicon: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            bad = np.isin(ids, toxic)
-            some = (bad | np.isin(ids, clean)) & (ids >= 0)
-            if not some.any():
-                continue
-            x = features(batch.filter(pa.array(some)).column("text"), lexicon).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(bad[some]), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "x"])
+            x = features(batch.column("text"), lexicon).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "x"])
 
     return run
 
@@ -174,34 +169,41 @@ def _scored(model: Model | None):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """docs: doc_id, text. labels: doc_id, toxic."""
-    by_id = labels.where((fold("doc_id", FOLDS) != 0) & F.expr("doc_id is not null and toxic is not null")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, toxic (1, 0, or -1 without a label): at most `sample` rows of each, those of the least hashes of the id."""
+    outside = (fold("doc_id", FOLDS) != 0) & F.col("doc_id").isNotNull()
+    by_id = labels.where(outside & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    ids = docs.where(outside).select("doc_id")
+    least = lambda some: some.select("doc_id", F.xxhash64("doc_id").alias("place")).distinct().orderBy("place", "doc_id").limit(sample).select("doc_id")
+    picked = [least(by_id.where(F.col("toxic") == y)).withColumn("toxic", F.lit(y)) for y in (1, 0)]
+    picked.append(least(ids.join(by_id, "doc_id", "left_anti")).withColumn("toxic", F.lit(-1)))
+    chosen = stored(picked[0].unionByName(picked[1]).unionByName(picked[2]), "sampled")  # 3 * sample rows at most
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def some(y: int) -> np.ndarray:
-        return np.array([r.doc_id for r in by_id.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()], np.int64)
 
-    toxic, clean = some(1), some(0)
-    if not len(toxic) or not len(clean):
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """docs: doc_id, text. labels: doc_id, toxic."""
+    rows = stored(sampled(docs, labels, sample), "rows")
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not sizes.get(1) or not sizes.get(0):
         return None
-    counts = docs.mapInArrow(_counts_of(toxic, clean), "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (len(toxic) + 1)) - F.log((F.col("clean") + 0.5) / (len(clean) + 1))
+    rows = rows.select("toxic", "text").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = rows.where("toxic >= 0").mapInArrow(_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1))
     best = counts.where(F.col("toxic") >= LEAST).withColumn("worth", odds * F.sqrt("toxic")).where(odds > ODDS)
     lexicon = np.sort(np.array([r.term for r in best.orderBy(F.col("worth").desc(), "term").limit(VOTERS).collect()], np.int64).view(np.uint64))
-    rows = docs.mapInArrow(_sampled(toxic, clean, lexicon), "toxic boolean, x binary").collect()  # at most 2 * sample rows of VOTERS numbers
-    if not rows:
-        return None
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], float)
-    # voters with few rows to judge them by stay, but share their weight with those they go with
-    marked = np.array([r.toxic for r in rows])
+    seen = rows.mapInArrow(_sampled(lexicon), "toxic int, x binary").orderBy("toxic", "x").collect()  # 3 * sample rows of VOTERS numbers at most
+    x = np.array([np.frombuffer(r.x, np.float32) for r in seen], float)
     votes = x[:, : len(lexicon) + len(PATTERNS) + 1]
-    posterior, _, _ = label_model(votes, marked)
+    posterior, _, _, _ = label_model(votes, np.array([r.toxic for r in seen]))
     return Model(lexicon, linear(x, posterior))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold(id_col, FOLDS) == 0).alias("held_out"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold(id_col, FOLDS) == 0).alias("held_out"))
     model = fit(own.select("doc_id", "text"), labels, sample)
-    return own.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(_scored(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
