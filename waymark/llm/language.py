@@ -7,17 +7,18 @@ Forward-backward gives every word's distribution; a text's language is the one w
 words with letters, and the score is that language's mean.
 
 Training takes at most `SAMPLE` labelled texts of each language, in the order of a hash of id and text, outside the
-held-out fold; of a text over `LONGEST` bytes it takes the first `LONGEST / 4` characters. So every language with a
-labelled row is learned. Every text is labelled whole. Words are scored once for each batch, and the chain runs over all
-texts of a batch in step.
-
-Null text, and text without a letter, is `und` with score 0. Without labelled rows everything is `und`. Repeated
-rows are predicted one by one; null ids belong to the fold of the empty text.
+held-out fold; for a text over `longest` bytes stand `SPANS` spans spread evenly over the whole of it, `longest / 4`
+characters in all. So every language with a labelled row is learned, from rows whose number and size are bounded. Every text
+is labelled whole. Words are scored once for each batch, and the chain runs over all texts of a batch in step, long ones in
+segments of `SEGMENT` words.
+
+A letter is one of Unicode's letter categories. Null text, and text without a letter, is `und` with score 0. Without labelled rows everything is `und`. Repeated
+rows are predicted one by one; null ids belong to the fold of the empty text. Of equal hashes, the least text is taken for
+training. An empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,11 @@ from .tokens import LOWER, Words, hash_spans, mix, words
 
 SAMPLE, SPREAD, LONGEST, FOLDS, HELD_OUT = 375, 4096, 20_000, 4, 2
 FEATURES, GRAMS, ROUNDS = 1 << 16, 4, 25
+#: Words of a chain that are run one after the other; the segments of longer chains run in step.
+SEGMENT = 2048
+#: Spans that stand for a labelled text over LONGEST bytes.
+SPANS = 10
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -62,7 +66,7 @@ def _lettered(w: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     found = total[end] > total[start]
     other = np.concatenate([[0], np.cumsum(w.data > 127)])
     for i in np.flatnonzero(~found & (other[end] > other[start])).tolist():
-        found[i] = bool(_LETTER.search(w.data[start[i] : end[i]].tobytes().decode(errors="replace")))
+        found[i] = any(map(str.isalpha, w.data[start[i] : end[i]].tobytes().decode(errors="replace")))
     return found
 
 
@@ -102,34 +106,74 @@ def emissions(c: Chains, weights: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def forward_backward(c: Chains, emit: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Each word's distribution over languages, expected moves between languages, and the log partition sum."""
-    size = np.diff(c.at)
+def transfers(word: np.ndarray, begin: np.ndarray, size: np.ndarray, strength: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """For each segment of words, the matrix that takes the message before it to the one after it, scaled to sum 1."""
+    k = len(move)
     order = np.argsort(-size, kind="stable")
-    begin, size = c.at[:-1][order], size[order]
+    begin, size = begin[order], size[order]
+    state = np.tile(np.eye(k, dtype=np.float32) / k, (len(begin), 1, 1))
+    for t in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -t, "left"))
+        now = (state[:n] @ move) * strength[word[begin[:n] + t]][:, None, :]
+        state[:n] = now / now.sum((1, 2), keepdims=True)
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def forward_backward(c: Chains, emit: np.ndarray, moves: np.ndarray, first: np.ndarray, segment: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Each word's distribution over languages, expected moves between languages, and the log partition sum.
+
+    With `segment`, longer chains are cut into segments that run in step: a segment's transfer matrix carries the messages
+    over it, so the distributions are those of the whole chain. The moves over cuts and the sum are left out then.
+    """
     top = emit.max(1, keepdims=True) if len(emit) else emit
     strength = np.exp(emit - top)
     move, start = np.exp(moves).astype(np.float32), np.exp(first).astype(np.float32)
-    ahead = np.empty((len(c.word), emit.shape[1]), np.float32)
+    k = emit.shape[1]
+    whole = np.diff(c.at)
+    pieces = np.maximum(-(-whole // segment), 1) if segment else np.ones(len(whole), np.int64)
+    head = np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)
+    place = np.arange(head[-1]) - np.repeat(head[:-1], pieces)
+    begin = np.repeat(c.at[:-1], pieces) + place * (segment or 0)
+    size = np.minimum(np.repeat(c.at[1:], pieces) - begin, segment) if segment else whole
+    into = np.zeros((len(begin), k), np.float32)  # message before a segment; unused for first ones
+    after = np.ones((len(begin), k), np.float32)  # message behind its last word
+    opens = place == 0
+    for i in np.flatnonzero(pieces > 1).tolist():
+        a, b = head[i], head[i + 1]
+        skip = (place[a:b] == 0).astype(np.int64)  # the first word has its own message
+        matrix = transfers(c.word, begin[a:b] + skip, size[a:b] - skip, strength, move)
+        message = start * strength[c.word[begin[a]]]
+        for j in range(a, b - 1):
+            message = message @ matrix[j - a]
+            message = into[j + 1] = message / message.sum()
+        message = after[b - 1]
+        for j in range(b - 2, a - 1, -1):
+            message = matrix[j + 1 - a] @ message
+            message = after[j] = message / message.sum()
+    order = np.argsort(-size, kind="stable")
+    begin, size, into, after, opens = begin[order], size[order], into[order], after[order], opens[order]
+    ahead = np.empty((len(c.word), k), np.float32)
     longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), "left")  # texts with more than t words
+    live = np.searchsorted(-size, -np.arange(longest), "left")  # segments with more than t words
     log_z = float(top[c.word].sum()) if len(c.word) else 0.0
     state = None
     for t in range(longest):
         n = live[t]
         rows = begin[:n] + t
-        state = (start if t == 0 else state[:n] @ move) * strength[c.word[rows]]
+        state = (np.where(opens[:n, None], start, into[:n] @ move) if t == 0 else state[:n] @ move) * strength[c.word[rows]]
         scale = state.sum(1, keepdims=True)
         state /= scale
         log_z += float(np.log(scale).sum())
         ahead[rows] = state
     expected = np.zeros_like(move, dtype=float)
-    behind = np.ones((0, emit.shape[1]), np.float32)
+    behind = np.ones((0, k), np.float32)
     for t in range(longest - 1, -1, -1):
         n = live[t]
         rows = begin[:n] + t
         if n > len(behind):
-            behind = np.concatenate([behind, np.ones((n - len(behind), emit.shape[1]), np.float32)])
+            behind = np.concatenate([behind, after[len(behind) : n]])
         if t:
             below = behind * strength[c.word[rows]]
             before = ahead[rows - 1]
@@ -184,9 +228,11 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS) -> Model | N
 
 def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     c = chains(texts)
-    marginal, _, _ = forward_backward(c, emissions(c, model.weights), model.moves, model.first)
-    votes = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(np.where(c.letters[c.word][:, None], marginal, 0), 0, dtype=float)])
-    votes = votes[c.at[1:]] - votes[c.at[:-1]]
+    marginal, _, _ = forward_backward(c, emissions(c, model.weights), model.moves, model.first, SEGMENT)
+    votes = np.zeros((len(texts), len(model.langs)))
+    some = np.diff(c.at) > 0
+    if some.any():  # each text is summed by itself, so its score does not depend on the texts beside it
+        votes[some] = np.add.reduceat(np.where(c.letters[c.word][:, None], marginal, 0).astype(float), c.at[:-1][some], axis=0)
     total = votes.sum(1)
     best = votes.argmax(1)
     score = np.where(total > 0.5, votes[np.arange(len(best)), best] / np.maximum(total, 1e-9), 0.0)
@@ -205,12 +251,14 @@ def _predicted(model: Model | None):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of docs."""
     small_batches(docs.sparkSession)
     held = fold(id_col, FOLDS) == HELD_OUT
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    span = F.when(F.octet_length(text_col) <= LONGEST, F.col(text_col)).otherwise(F.substring(text_col, 1, LONGEST // 4))
+    width = max(1, longest // (4 * SPANS))
+    spans = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(F.col(text_col), (1 + i * F.floor((F.char_length(text_col) - width) / (SPANS - 1))).cast("int"), F.lit(width)))
+    span = F.when(F.octet_length(text_col) <= longest, F.col(text_col)).otherwise(F.array_join(spans, " "))
     known = docs.where(~held & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(span.alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("place"))
     # the least hash of each of SPREAD classes: bounded for each language, however its rows are dealt
     least = known.groupBy("lang", F.pmod("place", F.lit(SPREAD))).agg(F.min("place").alias("place")).select("lang", "place").collect()
@@ -218,7 +266,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     for r in sorted(least):
         places.setdefault(r.lang, []).append(r.place)
     picked = docs.sparkSession.createDataFrame([(x, p) for x, some in places.items() for p in some[:sample]], "lang string, place long")
-    rows = known.join(F.broadcast(picked), ["lang", "place"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()  # at most sample * LONGEST bytes for each language
+    rows = known.join(F.broadcast(picked), ["lang", "place"]).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()  # at most sample * longest bytes for each language
     rows.sort(key=lambda r: (r.place, r.lang))
     model = train([r.text for r in rows], [r.lang for r in rows])
     kind = own.schema["doc_id"].dataType.simpleString()
