@@ -1,16 +1,17 @@
 """Operator 7: quality rules with a hashed n-gram log-likelihood ratio.
 
-Byte trigrams of the texts are hashed to `BUCKETS` buckets. Their counts over all documents make the
-raw-corpus multinomial; their counts over trusted documents (labels.quality = 1) make the target
-multinomial. A document's score is the mean, over its trigrams, of log(target / raw): length-normalised.
-One threshold, fixed by the labels, decides every document; base rules are applied first.
+Byte trigrams of the texts are hashed to `BUCKETS` buckets. Their counts over all documents make the raw-corpus
+multinomial; their counts over trusted documents (labels.quality = 1) make the target multinomial. A document's score is
+the mean, over its trigrams, of log(target / raw): length-normalised. One threshold decides every document; base rules are
+applied first. The log ratios are whole numbers of 2^-20, so a score does not depend on the texts beside it.
 
-The trusted rows, and the untrusted ones that the threshold is set with, are bounded samples of
-`LABELLED` ids each, taken in the order of a hash of the id; everything else covers all documents.
+Labelled rows fall into two halves by crc32 of the id: all trusted rows of one half make the target, all labelled rows
+of the other half set the threshold, from a histogram of their scores. Labels meet documents in a join on the id.
 
 Null text has no words and fails the base rules, so it is not kept. Without trusted rows the score is 0
 and the base rules alone decide. Repeated labels count once, a row with both labels as untrusted; labels with
-null in id or quality are left out. Null ids are scored like others but never trusted.
+null in id or quality are left out. Null ids are scored like others but never trusted. Repeated rows are judged one by one,
+a text of any length in one piece; an empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, stored
+from .common import by_bytes, fold, small_batches, stored
 from .tokens import SPACE, flat, mix, windows, words
 
-BUCKETS, LABELLED, BINS = 1 << 15, 20_000, 2000
+BUCKETS, BINS, UNIT = 1 << 15, 2000, 1 << 20
 #: What rejecting a trusted document costs, as a multiple of keeping an untrusted one.
 COST = 20
+#: The rules that are applied first.
+BASE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-_RULE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+_RULE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,25 +49,21 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of values over the spans between the offsets."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    """Sums of whole values over the spans between the offsets."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[np.minimum(at[1:], len(values))] - total[np.minimum(at[:-1], len(values))]
 
 
-def _counted(trusted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in by_bytes(batches):
-            data, at = flat(batch.column("text"))
-            bucket, within = grams(data, at)
-            raw += np.bincount(bucket[within], minlength=BUCKETS)
-            ids = batch.column("doc_id").fill_null(-1).to_numpy()
-            chosen = np.repeat(np.isin(ids, trusted) & (ids >= 0), np.diff(at))[: len(bucket)]
-            target += np.bincount(bucket[within & chosen], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in by_bytes(batches):
+        data, at = flat(batch.column("text"))
+        bucket, within = grams(data, at)
+        raw += np.bincount(bucket[within], minlength=BUCKETS)
+        chosen = np.repeat(batch.column("target").to_numpy(zero_copy_only=False), np.diff(at))[: len(bucket)]
+        target += np.bincount(bucket[within & chosen], minlength=BUCKETS)
+    some = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
 
 def dup_lines(text: bytes) -> int:
@@ -97,67 +96,82 @@ def rules(texts: pa.Array, ratio: np.ndarray | None) -> tuple[np.ndarray, ...]:
     score = np.zeros(len(texts))
     if ratio is not None:
         bucket, within = grams(w.data, w.text_at)
-        score = sums(np.where(within, ratio[bucket], 0.0), w.text_at) / np.maximum(np.diff(w.text_at) - 2, 1)
+        score = sums(np.where(within, ratio[bucket], 0), w.text_at) / (np.maximum(np.diff(w.text_at) - 2, 1) * UNIT)
     return n, sums(chars & ~SPACE[w.data], w.text_at), sums(SYMBOL[w.data], w.text_at), lines, repeated(w.hashes(), w.at), score
 
 
-def _scored(ratio: np.ndarray | None):
+def _scored(ratio: np.ndarray | None, names: list[str], text_col: str, floor: float | None = None):
+    """Batches with the rules' columns beside those named; with a floor, only the columns named, of the rows that stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *(x.split()[0] for x in _RULE.split(", ")[1:])]
-        for batch in by_bytes(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.asarray(x)) for x in rules(batch.column("text"), ratio))], names)
+        for batch in by_bytes(batches, text_col):
+            found = rules(batch.column(text_col), ratio)
+            if floor is not None:
+                n, repeats, score = found[0], found[4], found[5]
+                yield batch.filter(pa.array((n >= 50) & (100 * repeats <= 50 * n) & (score >= floor)))
+            else:
+                own = [x.split()[0] for x in _RULE.split(", ")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(np.asarray(x)) for x in found)], [*names, *own])
 
     return run
 
 
-def labelled_ids(labels: DataFrame, least: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of trusted and of untrusted rows, at most `least` each, in the order of a hash."""
-    by_id = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-
-    def some(q: int) -> np.ndarray:
-        return np.array([r.doc_id for r in by_id.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(least).collect()], np.int64)
+def marked(docs: DataFrame, labels: DataFrame, how: str) -> DataFrame:
+    """docs (doc_id, text) with good (quality 1 and no other label) and half (0 sets the target, 1 the threshold)."""
+    by_id = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    return docs.join(by_id.withColumn("half", fold("doc_id", 2)), "doc_id", how)
 
-    return some(1), some(0)
 
-
-def log_ratio(docs: DataFrame, trusted: np.ndarray) -> np.ndarray | None:
-    """log(target / raw) of each bucket; None without trusted documents."""
-    counts = docs.mapInArrow(_counted(trusted), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
+def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
+    """log(target / raw) of each bucket in units of 1 / UNIT; None without trusted documents."""
+    rows = marked(docs, labels, "left").select("text", F.coalesce(F.col("good") & (F.col("half") == 0), F.lit(False)).alias("target"))
+    counts = rows.mapInArrow(_counted, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return None
     smooth = 1.0
-    return np.log((target + smooth) / (target.sum() + smooth * BUCKETS)) - np.log((raw + smooth) / (raw.sum() + smooth * BUCKETS))
+    ratio = np.log((target + smooth) / (target.sum() + smooth * BUCKETS)) - np.log((raw + smooth) / (raw.sum() + smooth * BUCKETS))
+    return np.round(ratio * UNIT).astype(np.int64)
 
 
-def threshold(scores: DataFrame, trusted: np.ndarray, untrusted: np.ndarray) -> float:
+def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray) -> float:
     """The score below which documents go: the one of least cost on the labelled rows that pass the base rules."""
-    spark = scores.sparkSession
-    marks = spark.createDataFrame([(int(x), 1) for x in trusted] + [(int(x), 0) for x in untrusted], "doc_id long, good int")
-    best = scores.join(F.broadcast(marks), "doc_id").where("not base_failed")  # 2 * LABELLED rows at most
-    spread = best.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    rows = marked(docs, labels, "inner").where("half = 1").select("text", "good")
+    rows = stored(rows.mapInArrow(_scored(ratio, ["good"], "text"), f"good boolean, {_RULE}").where(f"not ({BASE})").select("good", "score"), "scores")
+    spread = rows.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
     if spread.low is None or spread.low == spread.high:
         return -np.inf
     width = (spread.high - spread.low) / BINS
     table = np.zeros((2, BINS + 1))
-    for r in best.groupBy("good", F.floor((F.col("score") - spread.low) / width).alias("bin")).count().collect():
-        table[r.good, min(r.bin, BINS)] += r["count"]
+    for r in rows.groupBy("good", F.floor((F.col("score") - spread.low) / width).alias("bin")).count().collect():  # 2 * BINS rows at most
+        table[int(r.good), min(r.bin, BINS)] += r["count"]
     lost = np.concatenate([[0], np.cumsum(table[1])]) / max(1, table[1].sum())
     stay = 1 - np.concatenate([[0], np.cumsum(table[0])]) / max(1, table[0].sum())
     cost = COST * lost + stay
     tied = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return spread.low + width * float(tied[0] + tied[-1]) / 2
+    return float(spread.low + width * float(tied[0] + tied[-1]) / 2)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray | None, float]:
+    """The log ratios and the threshold."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    trusted, untrusted = labelled_ids(labels, labelled)
-    ratio = log_ratio(docs, trusted)
-    scores = docs.mapInArrow(_scored(ratio), _RULE)
-    scores = stored(scores.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "scores")
-    least = threshold(scores, trusted, untrusted) if ratio is not None else -np.inf
-    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float(least))))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ratio = log_ratio(own, labels)
+    return ratio, -np.inf if ratio is None else threshold(own, labels, ratio)
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept."""
+    ratio, least = fit(docs, labels, id_col, text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    scores = own.mapInArrow(_scored(ratio, ["doc_id"], "text"), f"doc_id {kind}, {_RULE}").withColumn("base_failed", F.expr(BASE))
+    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least)))
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that judged keeps, each by its own verdict, with all their columns."""
+    ratio, least = fit(docs, labels, id_col, text_col)
+    return docs.mapInArrow(_scored(ratio, docs.columns, text_col, least), docs.schema)
