@@ -5,11 +5,14 @@ patterns: keys and passwords after a cue, written-out addresses, identity and ac
 Labelers judge every candidate, base spans too, with yes, no or no vote: a regex labeler (strict form or checksum), a
 gazetteer labeler (known domains, prefixes and placeholder values), context labelers (cue words before it, what adjoins
 it) and two of shape. Expectation-maximisation over the counts of all vote patterns of the corpus (at most 7 * 3^6 rows
-reach the driver) estimates each labeler's reliability by class, and a linear span classifier is trained on the
-posterior labels. A candidate that it accepts, and that no span before it overlaps, is added.
-
-All patterns run in time linear in the text. Null text is empty and has no spans; the digest is then that of
-the empty string. Repeated rows and null ids are read row by row.
+reach the driver) estimates each labeler's reliability by class. A linear span classifier is then trained on the
+posterior labels: beside the votes it sees the span itself (its kind, length, make-up and entropy) and its context (the
+words before it, hashed), from at most `SAMPLES` spans of each vote pattern, those of the least hashes. A candidate that it
+accepts, and that no span before it overlaps, is added.
+
+All patterns run in time linear in the text, and overlaps are found by bisection. Null text is empty and has no spans; the
+digest is then that of the empty string. Repeated rows and null ids are read row by row, texts of any length whole; an empty
+table gives no rows, and other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, small_batches
 from .toxicity import linear
 
+#: Spans of each vote pattern that train the classifier, and places for the hashed words before a span.
+SAMPLES, CONTEXT = 32, 32
 KINDS = ("email", "ip", "card", "phone", "secret", "id", "account")
 LABELERS = 6
 #: Cue words before a value, top-level domains, and values that stand for none.
@@ -125,16 +132,30 @@ def votes(text: str, span: Span, base: bool) -> tuple[int, ...]:
         known = -1 if len(set(number)) < 3 else 0
     cue = 1 if any(c in left for c in CUES[kind]) else 0
     joined = -1 if (a and text[a - 1].isalnum()) or after.isalnum() or after in ("_", "/") and after else 1
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    shape = (1 if entropy > 2.5 and number and re.search("[A-Za-z]", value) else -1) if kind == "secret" else (1 if entropy > 1.5 else -1)
+    shape = (1 if entropy(value) > 2.5 and number and re.search("[A-Za-z]", value) else -1) if kind == "secret" else (1 if entropy(value) > 1.5 else -1)
     size = 1 if 7 <= len(value) <= 80 else -1
     return strict, known, cue, joined, shape, size
 
 
-def spread(pattern: tuple[int, ...]) -> np.ndarray:
-    """A vote pattern as 0/1 columns (yes, no of each labeler) and a constant."""
+def entropy(value: str) -> float:
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def described(text: str, span: Span, pattern: tuple[int, ...]) -> np.ndarray:
+    """What the classifier sees: the votes (yes, no of each labeler), the span, its context and a constant."""
+    kind, a, b = span
+    value, n = text[a:b], b - a
+    out = np.zeros(2 * LABELERS + len(KINDS) + 6 + CONTEXT + 1)
     p = np.array(pattern)
-    return np.concatenate([p > 0, p < 0, [True]]).astype(float)
+    out[: 2 * LABELERS] = np.concatenate([p > 0, p < 0])
+    out[2 * LABELERS + KINDS.index(kind)] = 1
+    at = 2 * LABELERS + len(KINDS)
+    letters, upper, figures = sum(map(str.isalpha, value)), sum(map(str.isupper, value)), len(digits(value))
+    out[at : at + 6] = math.log1p(n) / 4, letters / n, upper / n, figures / n, (n - letters - figures) / n, entropy(value) / 4
+    for word in text[max(0, a - 32) : a].lower().split()[-3:]:
+        out[at + 6 + zlib.crc32(word.encode()) % CONTEXT] = 0.5
+    out[-1] = 1
+    return out
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -152,27 +173,52 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> n
     return posterior
 
 
-def trained(tally: list[tuple[str, int]]) -> np.ndarray:
-    """Weights of the span classifier. tally: votes as text, their count."""
-    if not tally:
-        return np.zeros(2 * LABELERS + 1)
+def trained(tally: list[tuple[str, int]], samples: list[tuple[str, bytes]]) -> np.ndarray | None:
+    """Weights of the span classifier. tally: votes as text, their count. samples: votes, what the classifier sees of a span."""
+    if not samples:
+        return None
     patterns = np.array([[int(v) for v in p.split()] for p, _ in tally])
     counts = np.array([float(n) for _, n in tally])
-    posterior = label_model(patterns, counts)
-    x = np.array([spread(tuple(p)) for p in patterns])
-    weight = np.sqrt(np.log1p(counts))[:, None]  # rare patterns count too
-    return linear(np.concatenate([x * weight, x * 0.5]), np.concatenate([posterior, posterior]), penalty=0.05)
+    posterior = dict(zip((p for p, _ in tally), label_model(patterns, counts), strict=True))
+    many, seen = dict(tally), Counter(p for p, _ in samples)
+    x = np.array([np.frombuffer(v, np.float32) for _, v in samples], float)
+    y = np.array([posterior[p] for p, _ in samples])
+    weight = np.sqrt([(np.log1p(many[p]) + 1) / seen[p] for p, _ in samples])  # rare patterns count too
+    return linear(x * weight[:, None], y, penalty=0.05)
+
+
+def free(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
+    """The spans that overlap none of the taken ones, which are in order and apart."""
+    starts, ends = [a for a, _ in taken], [b for _, b in taken]
+    out = []
+    for span in spans:
+        i = bisect_right(ends, span[1])
+        if i == len(starts) or starts[i] >= span[2]:
+            out.append(span)
+    return out
 
 
-def accepted(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as ordered spans without overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def accepted(text: str, base: list[Span], weights: np.ndarray | None) -> list[Span]:
     """The base spans and the candidates the classifier takes, in order."""
-    taken = sorted((a, b) for _, a, b in base)
     out = list(base)
-    for span in loose_spans(text):
-        _, a, b = span
-        if not any(a < y and x < b for x, y in taken) and spread(votes(text, span, False)) @ weights > 0:
-            out.append(span)
-            taken.append((a, b))
+    found = loose_spans(text) if weights is not None else []
+    while found:  # spans of one kind follow each other and do not overlap
+        kind = found[0][0]
+        n = next((i for i, s in enumerate(found) if s[0] != kind), len(found))
+        same, found = found[:n], found[n:]
+        same = [s for s in free(same, apart([(a, b) for _, a, b in out])) if described(text, s, votes(text, s, False)) @ weights > 0]
+        out += same
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -181,16 +227,28 @@ def joined(spans: list[Span]) -> str:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[str] = Counter()
+    """Votes, their count, and for each vote pattern and place by hash the span of the least hash as the classifier sees it."""
+    n: Counter[str] = Counter()
+    least: dict[tuple[str, int], tuple[int, bytes]] = {}
     for batch in by_bytes(batches):
         for text in batch.column("text").to_pylist():
             if text:
                 for base, spans in ((True, base_spans(text)), (False, loose_spans(text))):
-                    found.update(" ".join(map(str, votes(text, s, base))) for s in spans)
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
-
-
-def _found(weights: np.ndarray):
+                    for span in spans:
+                        pattern = votes(text, span, base)
+                        name = " ".join(map(str, pattern))
+                        n[name] += 1
+                        h = int.from_bytes(hashlib.blake2b(text[max(0, span[1] - 32) : span[2] + 32].encode(), digest_size=6).digest(), "big")
+                        place = (name, h % SAMPLES)
+                        if place not in least or h < least[place][0]:
+                            least[place] = h, described(text, span, pattern).astype(np.float32).tobytes()
+    rows = [(v, -1, m, 0, b"") for v, m in n.items()] + [(v, k, 0, h, x) for (v, k), (h, x) in least.items()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["votes", "place", "n", "h", "seen"])
+
+
+def _found(weights: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             rows = []
@@ -208,7 +266,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row for each row of docs."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tally = docs.select("text").mapInArrow(_tally, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # 3^6 rows at most
-    weights = trained([(r.votes, r.n) for r in tally])
+    rows = docs.select("text").mapInArrow(_tally, "votes string, place int, n long, h long, seen binary")
+    rows = rows.groupBy("votes", "place").agg(F.sum("n").alias("n"), F.min(F.struct("h", "seen")).alias("least")).orderBy("votes", "place").collect()  # (SAMPLES + 1) * 3^6 rows at most
+    weights = trained([(r.votes, r.n) for r in rows if r.place < 0], [(r.votes, bytes(r.least.seen)) for r in rows if r.place >= 0])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_found(weights), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
