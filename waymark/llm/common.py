@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,11 +34,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
-        found = spark.sparkContext.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found
 
 
@@ -48,6 +48,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a Bloom filter: at least, at most, and for each value.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 27, 16
+
+
+def bloom_bits(value: bytes, bits: int) -> tuple[int, int]:
+    """Two places in a Bloom filter."""
+    h = int.from_bytes(hashlib.blake2b(value, digest_size=16).digest(), "big")
+    return h % bits, (h >> 64) % bits
+
+
+def _places(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.unique(np.array([b for x in batch.column("value").to_pylist() for b in bloom_bits(x, bits)], np.int64))
+            word, at = np.unique(places >> 5, return_index=True)
+            marks = np.bitwise_or.reduceat(np.int64(1) << (places & 31), at) if len(at) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(marks)], ["word", "bits"])
+
+    return run
+
+
+def bloom(values: DataFrame) -> np.ndarray:
+    """Bytes of a Bloom filter of a column of binary values; its size follows their number, up to MOST_BITS.
+
+    It sifts texts before a shuffle; the join behind it must be exact, so a full filter costs shuffle only.
+    """
+    values = values.toDF("value")
+    n, bits = values.count(), LEAST_BITS
+    while bits < min(MOST_BITS, BITS_EACH * n):
+        bits *= 2
+    filled = values.mapInArrow(_places(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # MOST_BITS / 32 rows at most
+    words = np.zeros(bits >> 5, "<u4")
+    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy()
+    return words.view(np.uint8)
+
+
+def in_bloom(sieve: np.ndarray, value: bytes) -> bool:
+    return all(sieve[b >> 3] >> (b & 7) & 1 for b in bloom_bits(value, 8 * len(sieve)))
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts

@@ -16,20 +16,23 @@
    different components that still share a list are, all of them. Of the nodes in such lists, two either share a
    shingle of at most `RARE` of these nodes, and are paired under it, or have only more frequent ones in common,
    whose counts in `GROUPS` groups by hash then bound their intersection. So no pair within a group of near copies is listed, frequent lists
-   give pairs only where that bound allows a link, and no link between components is lost.
+   give pairs only where that bound allows a link, and no link between components is lost. A long list is dealt out in
+   shares of `SHARE` nodes, each held against the whole list in its own task.
 5. Components come from alternating star joins over the confirmed links, cut by stored tables.
 
 With J >= 0.8 a pair has 25.6 collisions of 32 on average; fewer than 15 has a chance of about 2e-6.
 
 Null text, and text without words, has an empty set and is linked with nothing. With fewer words than
 a shingle has, the whole sequence is its one shingle. Rows with a null id are compared like others;
-component_id is the smallest id reachable, null if there is none. Repeated rows are of one class.
+component_id is the smallest id reachable, null if there is none. Repeated rows are of one class. Ids are integers, texts
+are of any length, an empty table gives no rows, and other columns, whatever their names, are not looked at; those named in
+`carry` are given back. A Bloom filter, sized by the number of sets to compare, sifts texts before the second pass is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, small_batches, stored
+from .common import bloom, by_bytes, in_bloom, small_batches, stored
 from .tokens import mix, windows, words
 
 COORDS, MATCHES, SIMILAR, LEADERS, RARE, GROUPS = 32, 15, 80, 4, 16, 32
-BITS = 22
+#: Nodes of a list that one task holds against the whole list.
+SHARE = 512
 #: Nodes without an id get numbers from here up.
 NO_ID = 1 << 62
 _RNG = np.random.default_rng(20240229)
@@ -77,17 +81,13 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def bit_of(set_id: bytes) -> int:
-    return int.from_bytes(set_id[-4:], "big") % (1 << BITS)
-
-
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
     body = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(body.view(np.int64)))
 
 
-def _signed(n: int):
+def _signed(n: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             sets = shingle_sets(batch.column("text"), n)
@@ -97,21 +97,20 @@ def _signed(n: int):
                 for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                     sig[i] = row
             ids = [digest(x) if len(x) else None for x in sets]
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([None if x is None else bit_of(x) for x in ids], pa.int32()), _lists(sig)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set_id", "bit", "sig"])
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()), _lists(sig)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "n", "set_id", "sig"])
 
     return run
 
 
-def _sets(n: int, bitmap: np.ndarray):
+def _sets(n: int, sieve: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             seen = {}
             for x in shingle_sets(batch.column("text"), n):
                 if len(x):
                     set_id = digest(x)
-                    bit = bit_of(set_id)
-                    if bitmap[bit >> 3] >> (bit & 7) & 1:
+                    if in_bloom(sieve, set_id):
                         seen[set_id] = x
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), _lists(list(seen.values()))], ["set_id", "shingles"])
@@ -142,15 +141,18 @@ def _fits(n: str, m: str, n2: str, m2: str, similar: int) -> Column:
     return 100 * common >= similar * (F.col(n) + F.col(n2) - common)
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, component (its number, also where ids are null) and the columns in carry:
+    one row for each row of docs."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(docs.mapInArrow(_signed(shingle), "doc_id long, n long, set_id binary, bit int, sig array<long>"), "signatures")
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("bit").alias("bit"), F.first("sig").alias("sig"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"own_{c}") for c in carry))
+    carried = [f"own_{c}" for c in carry]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    rows = stored(docs.mapInArrow(_signed(shingle, ["doc_id", *carried]), f"{schema}, n long, set_id binary, sig array<long>"), "signatures")
+    classes = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     node = F.coalesce("head", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_id"), 2))
     step = F.log(F.lit(100 / similar))
-    classes = stored(classes.select("set_id", node.alias("node"), "n", F.floor(F.log(F.col("n")) / step).cast("int").alias("size"), "bit", "sig"), "classes")
+    classes = stored(classes.select("set_id", node.alias("node"), "n", F.floor(F.log(F.col("n")) / step).cast("int").alias("size"), "sig"), "classes")
 
     # postings of each node, rarest first, cut to the prefix
     posts = classes.select("node", "n", "size", F.explode("sig").alias("key"))
@@ -162,14 +164,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
 
     # whole sets, only of nodes that meet another one
     meet = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    wanted = classes.select("node", "bit").join(posts.join(meet, "key", "left_semi").select("node").distinct(), "node", "left_semi")
-    marks = wanted.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, bit & 31))").alias("bits")).collect()  # 2^17 rows at most
-    bitmap = np.zeros(1 << (BITS - 5), "<u4")
-    for row in marks:
-        bitmap[row.word] = row.bits
-    sets = docs.select("text").mapInArrow(_sets(shingle, bitmap.view(np.uint8)), "set_id binary, shingles array<long>")
+    wanted = classes.select("node", "set_id").join(posts.join(meet, "key", "left_semi").select("node").distinct(), "node", "left_semi")
+    wanted = stored(wanted, "wanted")
+    sets = docs.select("text").mapInArrow(_sets(shingle, bloom(wanted.select("set_id"))), "set_id binary, shingles array<long>")
     sets = sets.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    sets = stored(classes.select("set_id", "node", "n", "sig").join(sets, "set_id").select("node", "n", "sig", "shingles"), "sets")
+    sets = stored(classes.select("set_id", "node", "n", "sig").join(wanted.select("set_id"), "set_id", "left_semi").join(sets, "set_id").select("node", "n", "sig", "shingles"), "sets")
 
     # shingles that no other of these sets has cannot be common: m, the others, bounds every intersection
     lone = sets.select("node", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("lone"))
@@ -203,6 +202,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     counts = stored(spread.groupBy("x").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("c > 1"), "counts")
 
     def crossed(lists: DataFrame, on: list[str], m: str, two: DataFrame, common: Column) -> DataFrame:
+        # a long list is dealt out: each of its shares meets the whole list in a task of its own
+        parts = lists.groupBy(*on).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
+        lists = lists.join(parts, on).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        two = two.join(parts, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        on = [*on, "part"]
         one = lists.select(*on, F.col("node").alias("p"), F.col("n").alias("np"), F.col(m).alias("mp"), F.col("component").alias("cp"))
         two = two.select(*on, F.col("node").alias("q"), F.col("n").alias("nq"), F.col(m).alias("mq"), F.col("component").alias("cq"))
         pairs = one.join(two, on).where((F.col("cp") < F.col("cq")) & (100 * common >= similar * (F.col("np") + F.col("nq") - common)))
@@ -219,9 +223,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     more = stored(confirmed(cross.join(stars, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
-    linked = rows.where("n_shingles > 0").join(named, "set_id").drop("set_id")
-    alone = rows.where("n_shingles = 0").drop("set_id").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
+    named = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id", *carried)
+    linked = rows.where("n_shingles > 0").join(named, "set_id").drop("set_id").withColumn("component_id", F.when(F.col("component") < NO_ID, F.col("component")))
+    alone = rows.where("n_shingles = 0").drop("set_id").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    every = linked.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return every.select("doc_id", "n_shingles", "component_id", "kept", "component", *(F.col(f"own_{c}").alias(c) for c in carry))
