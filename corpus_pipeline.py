@@ -14,26 +14,44 @@ from waymark.llm.common import documents, labels, stored
 from waymark.llm.queries import tokenizer_path
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is kept; rows repeated in every column are given once."""
-    ids = kept.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.expr("doc_id <=> kept_id"), "left_semi").dropDuplicates()
+def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with a key made of each row's id and text, and the key's name, which no column of docs has."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    text = F.when(F.col(text_col).isNull(), "null").otherwise(F.md5(F.col(text_col).cast("binary")))
+    return docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)), name
+
+
+def _only(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of docs (keyed) whose key is kept, one for each key. kept: key."""
+    # the join and the removal of repeated rows are dealt by the same key, so rows are shuffled once
+    return docs.join(kept.distinct(), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that the rules reject go."""
-    verdict = quality.judged(docs, labels(spark, sf_dir)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(verdict, F.expr("doc_id <=> kept_id"), "left_semi")
+    """Operator 7: documents that the rules reject go, each row by its own verdict."""
+    return quality.kept(docs, labels(spark, sf_dir))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of equal texts the row with the smallest id stays."""
-    return _only(docs, exact_dedup.exact_groups(docs))
+    """Operator 9: of equal texts one row stays, one of the smallest id.
+
+    The verdict is carried by the row's id and text, so rows of one id with different texts, and rows without an id, each
+    follow their own.
+    """
+    rows, key = _keyed(docs)
+    found = exact_dedup.exact_groups(rows, carry=[key]).where("kept")
+    return _only(rows, key, found.groupBy("text_sha256").agg(F.min(key).alias(key)).select(key))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group of near duplicates (five-word shingles, 0.8) stays."""
-    return _only(docs, near_dedup.near_groups(docs, shingle=5))
+    """Operator 10: one row of each group of near duplicates (five-word shingles, 0.8) stays, one of the smallest id.
+    Rows without a word are linked with nothing and all stay."""
+    rows, key = _keyed(docs)
+    found = near_dedup.near_groups(rows, shingle=5, carry=[key]).where("kept")
+    linked = found.where("n_shingles > 0").groupBy("component").agg(F.min(key).alias(key)).select(key)
+    return _only(rows, key, linked.unionByName(found.where("n_shingles = 0").select(key)))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +73,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: MinHash, the permutations of the mix and byte-pair encoding are not expressed in SQL; tests hold each stage against brute force.
+#: Byte-pair encoding and the column generation are not expressed in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
