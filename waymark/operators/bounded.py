@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import jitter
 from .graph import stored
 from .walks import circuit_key
 
 
-def passed(edges: DataFrame, number: int) -> DataFrame:
-    """Edges with the weight of a search pass: length, a factor on climb, one on roads, and a fixed jitter of 0.8 to 1.2."""
+def passed(edges: DataFrame, identities: DataFrame, number: int) -> DataFrame:
+    """Edges with the weight of a search pass: length, a factor on climb, one on roads, and a fixed jitter of 0.8 to 1.2.
+
+    A trail has one weight, the least of its directions. identities: section_id, trail, identity.
+    """
     uphill = (0.0, 2.0, 8.0, 0.0)[number % 4]
     road = 100.0 if number % 4 == 3 else 12.0
-    jitter = F.lit(0.8) + F.pmod(F.crc32(F.concat_ws("/", "section_id", "trail", F.lit(number)).cast("binary")), F.lit(4096)) / 4096 * 0.4
-    return edges.withColumn("weight", (F.col("dist") + uphill * F.col("gain") + F.when(F.col("connector"), road * F.col("dist")).otherwise(0.0)) * jitter)
+    own = F.col("dist") + uphill * F.col("gain") + F.when(F.col("connector"), road * F.col("dist")).otherwise(0.0)
+    least = edges.groupBy("section_id", "trail").agg(F.min(own).alias("least")).join(identities, ["section_id", "trail"])
+    return edges.join(least.select("section_id", "trail", (F.col("least") * jitter("identity", number)).alias("weight")), ["section_id", "trail"])
 
 
 def forest(edges: DataFrame, roots: DataFrame, limit: float, weight: str = "dist") -> DataFrame:

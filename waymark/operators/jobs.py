@@ -36,10 +36,13 @@ def fifo(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'queued'").orderBy("position").limit(1)
 
 
-def queue_positions(jobs: DataFrame, *keys: str) -> DataFrame:
-    """Each queued job's place among the queued ones of its keys."""
-    w = Window.partitionBy(*keys).orderBy("position")
-    return jobs.where("status = 'queued'").withColumn("queue_position", F.row_number().over(w).cast("long"))
+def queue_positions(jobs: DataFrame, width: int = 100_000) -> DataFrame:
+    """Each queued job's place in the one queue: counted within ranges of positions, then over the ranges."""
+    rows = jobs.where("status = 'queued'").withColumn("part", F.floor(F.col("position") / width))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # one row for each range
+    here = F.row_number().over(Window.partitionBy("part").orderBy("position"))
+    return rows.withColumn("here", here).join(parts, "part").withColumn("queue_position", (F.col("before") + F.col("here")).cast("long")).drop("part", "before", "here")
 
 
 def history_page(jobs: DataFrame, before: int | None = None, size: int = 50) -> DataFrame:
@@ -84,3 +87,25 @@ def elapsed(jobs: DataFrame) -> DataFrame:
     """Milliseconds since the visitor's job before."""
     before = F.lag("created_at").over(Window.partitionBy("visitor").orderBy("position"))
     return jobs.withColumn("before", before).withColumn("elapsed_ms", F.expr("timestampdiff(MILLISECOND, before, created_at)")).drop("before")
+
+
+def active(jobs: DataFrame, visitor: int | None = None) -> DataFrame:
+    """Queued and running jobs, of one visitor or of all, newest first."""
+    rows = jobs.where(F.col("status").isin(*ACTIVE))
+    return (rows if visitor is None else rows.where(F.col("visitor") == visitor)).orderBy(F.col("position").desc())
+
+
+def authorized(jobs: DataFrame, visitor: int, change: bool = False) -> DataFrame:
+    """Jobs with outcome: 404 for those a visitor may not see, 403 for those they may not change, else 200."""
+    own = F.col("visitor") == visitor
+    hidden = F.when(~own & (F.col("status") != "completed"), 404)
+    return jobs.withColumn("outcome", (hidden.when(~own, 403) if change else hidden).otherwise(200))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str = "position") -> DataFrame:
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def cancelled(jobs: DataFrame) -> DataFrame:
+    """Jobs with the status after a cancellation: active ones end, what is over stays."""
+    return jobs.withColumn("after", F.when(F.col("status").isin(*ACTIVE), "cancelled").otherwise(F.col("status")))

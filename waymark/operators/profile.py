@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,43 +36,91 @@ def intervals(profile: DataFrame) -> DataFrame:
     return rows.where("d1 > d0")
 
 
-def heights_at(profile: DataFrame, places: DataFrame) -> DataFrame:
-    """section_id, trail, at, height: linear between the samples around each place (section_id, trail, at)."""
-    near = places.join(intervals(profile), ["section_id", "trail"]).where("at >= d0 and (at < d1 or (at = d1))")
-    value = F.col("h0") + (F.col("h1") - F.col("h0")) * (F.col("at") - F.col("d0")) / (F.col("d1") - F.col("d0"))
-    return near.groupBy("section_id", "trail", "at").agg(F.min_by(value, "seq").alias("height"))
+KEY = ("section_id", "trail")
+
+
+def heights_at(profile: DataFrame, places: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """places (key, at and others) with the height there: a sample's, or linear between the two around it, null if one of
+    these is unknown. Samples and places are merged in one sorted stream, so a profile is read once."""
+    others = [c for c in places.columns if c not in (*key, "at")]
+    sample = F.struct(F.col("d").alias("d"), F.col("h").alias("h"))
+    none = [F.lit(None).cast(places.schema[c].dataType).alias(c) for c in others]
+    rows = profile.select(*key, F.col("d").alias("at"), F.col("seq"), F.lit(1).alias("kind"), sample.alias("sample"), *none)
+    rows = rows.unionByName(places.select(*key, "at", F.lit(None).cast(profile.schema["seq"].dataType).alias("seq"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["sample"].dataType).alias("sample"), *others))
+    # a place stands before the samples at its distance: the next one is then the first at or behind it
+    before = F.last("sample", True).over(Window.partitionBy(*key).orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.last("sample", True).over(Window.partitionBy(*key).orderBy(F.col("at").desc(), F.col("kind").desc(), F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("x", before).withColumn("y", behind).where("kind = 0")
+    between = F.col("x.h") + (F.col("y.h") - F.col("x.h")) * (F.col("at") - F.col("x.d")) / F.nullif(F.col("y.d") - F.col("x.d"), F.lit(0.0))
+    return rows.select(*key, "at", *others, F.when(F.col("y.d") == F.col("at"), F.col("y.h")).otherwise(between).alias("height"))
 
 
-def exposure(profile: DataFrame, above: float, window: float = WINDOW) -> DataFrame:
-    """For each trail: metres whose mean grade over the window around them exceeds `above`, and the longest run of them.
+def exposure(profile: DataFrame, above: float, window: float = WINDOW, sign: int = 1, key: Sequence[str] = KEY) -> DataFrame:
+    """For each profile: metres whose mean grade over the window around them exceeds `above` (times `sign`: -1 for descents),
+    and the longest run of them.
 
     The grade over a window, clipped at the ends, is linear between breakpoints (samples shifted by half a window), so each
-    interval has at most one crossing, found exactly. Unknown heights give null.
+    interval has at most one crossing, found exactly. Unknown heights give null. All steps are dealt by the key, once.
     """
-    half = window / 2
-    key = ["section_id", "trail"]
-    ends = profile.groupBy(*key).agg(F.max("d").alias("length"), (F.count("h") == F.count("*")).alias("known"))
-    points = profile.join(ends, key).where("known and length > 0")
-    breaks = points.select(*key, "length", F.explode(F.array(F.lit(0.0), F.col("length"), F.col("d") - half, F.col("d") + half)).alias("at")).where("at >= 0 and at <= length").distinct()
-    span = breaks.withColumn("lo", F.greatest(F.col("at") - half, F.lit(0.0))).withColumn("hi", F.least(F.col("at") + half, F.col("length")))
-    asked = span.select(*key, F.col("lo").alias("at")).unionByName(span.select(*key, F.col("hi").alias("at"))).distinct()
-    h = heights_at(points.select(*key, "seq", "d", "h"), asked)
-    span = span.join(h.withColumnsRenamed({"at": "lo", "height": "h_lo"}), [*key, "lo"]).join(h.withColumnsRenamed({"at": "hi", "height": "h_hi"}), [*key, "hi"])
+    half, key = window / 2, list(key)
+    w = Window.partitionBy(*key)
+    points = profile.withColumn("length", F.max("d").over(w)).withColumn("known", F.count("h").over(w) == F.count("*").over(w))
+    ends = points.groupBy(*key).agg(F.first("length").alias("length"), F.first("known").alias("known"))
+    points = points.where("known and length > 0")
+    breaks = points.select(*key, "length", F.explode(F.array(F.lit(0.0), F.col("length"), F.col("d") - half, F.col("d") + half)).alias("mid")).where("mid >= 0 and mid <= length").distinct()
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.greatest(F.col("mid") - half, F.lit(0.0)).alias("at")), F.struct(F.lit(1).alias("side"), F.least(F.col("mid") + half, F.col("length")).alias("at")))
+    asked = breaks.select(*key, "mid", F.explode(sides).alias("s")).select(*key, "mid", "s.side", "s.at")
+    h = heights_at(points.select(*key, "seq", "d", "h"), asked, key)
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     # the excess: rise less what `above` allows over the window; its sign is the sign of grade - above
-    span = span.withColumn("excess", F.round(F.col("h_hi") - F.col("h_lo") - above * (F.col("hi") - F.col("lo")), 9))
-    w = Window.partitionBy(*key).orderBy("at")
-    part = span.withColumn("next_at", F.lead("at").over(w)).withColumn("next_excess", F.lead("excess").over(w)).where("next_at > at")
-    cross = F.col("at") + (F.col("next_at") - F.col("at")) * F.col("excess") / F.when(F.col("excess") != F.col("next_excess"), F.col("excess") - F.col("next_excess"))
-    start = F.when(F.col("excess") > 0, F.col("at")).when(F.col("next_excess") > 0, cross)
-    stop = F.when(F.col("next_excess") > 0, F.col("next_at")).when(F.col("excess") > 0, cross)
+    span = h.groupBy(*key, "mid").agg((sign * (at(1, "height") - at(0, "height")) - above * (at(1, "at") - at(0, "at"))).alias("excess")).withColumn("excess", F.round("excess", 9))
+    order = Window.partitionBy(*key).orderBy("mid")
+    part = span.withColumn("next_mid", F.lead("mid").over(order)).withColumn("next_excess", F.lead("excess").over(order)).where("next_mid > mid")
+    cross = F.col("mid") + (F.col("next_mid") - F.col("mid")) * F.col("excess") / F.when(F.col("excess") != F.col("next_excess"), F.col("excess") - F.col("next_excess"))
+    start = F.when(F.col("excess") > 0, F.col("mid")).when(F.col("next_excess") > 0, cross)
+    stop = F.when(F.col("next_excess") > 0, F.col("next_mid")).when(F.col("excess") > 0, cross)
     runs = part.withColumn("from", start).withColumn("to", stop).where("from is not null and to > from")
-    w2 = Window.partitionBy(*key).orderBy("from")
-    runs = runs.withColumn("new", F.when(F.col("from") <= F.lag("to").over(w2) + 1e-9, 0).otherwise(1)).withColumn("run", F.sum("new").over(w2))
+    again = Window.partitionBy(*key).orderBy("from")
+    runs = runs.withColumn("new", F.when(F.col("from") <= F.lag("to").over(again) + 1e-9, 0).otherwise(1)).withColumn("run", F.sum("new").over(again))
     per = runs.groupBy(*key, "run").agg(F.sum(F.col("to") - F.col("from")).alias("metres"))
     found = per.groupBy(*key).agg(F.sum("metres").alias("total"), F.max("metres").alias("longest"))
     return ends.join(found, key, "left").select(*key, F.when(F.col("known"), F.coalesce("total", F.lit(0.0))).alias("total"), F.when(F.col("known"), F.coalesce("longest", F.lit(0.0))).alias("longest"))
 
 
+def selection(profile: DataFrame, places: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """key, from, to, distance, gain, loss, grade (per cent) of the part of each profile between two places.
+
+    places: key, one, two (in any order, clipped to the profile). An unknown height in it gives null; an empty part no row.
+    """
+    key = list(key)
+    length = profile.groupBy(*key).agg(F.max("d").alias("length"))
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.col("length"), c))
+    span = places.join(length, key).select(*key, clip(F.least("one", "two")).alias("from"), clip(F.greatest("one", "two")).alias("to")).where("from < to")
+    asked = span.select(*key, "from", "to", F.explode(F.array("from", "to")).alias("at"))
+    ends = heights_at(profile, asked, key).select(*key, "from", "to", "at", F.lit(0).cast("long").alias("seq"), F.col("height").alias("h"))
+    inner = profile.join(span, key).where("d > from and d < to").select(*key, "from", "to", F.col("d").alias("at"), F.col("seq").cast("long").alias("seq"), "h")
+    rows = ends.unionByName(inner)
+    rise = F.col("h") - F.lag("h").over(Window.partitionBy(*key, "from", "to").orderBy("at", "seq"))
+    known = F.count("h") == F.count("*")
+    out = rows.withColumn("rise", rise).groupBy(*key, "from", "to").agg(F.when(known, F.sum(F.greatest("rise", F.lit(0.0)))).alias("gain"), F.when(known, F.sum(F.greatest(-F.col("rise"), F.lit(0.0)))).alias("loss"), F.when(known, F.max_by("h", "at") - F.min_by("h", "at")).alias("net"))
+    size = F.col("to") - F.col("from")
+    return out.select(*key, "from", "to", size.alias("distance"), "gain", "loss", (100 * F.col("net") / size).alias("grade"))
+
+
+def walk_profile(steps: DataFrame, profile: DataFrame, walk: str = "route_id") -> DataFrame:
+    """section_id, walk, seq, d, h of ordered steps (section_id, walk, seq, trail, reverse): their trails one after the other,
+    turned where they are walked back, each join once."""
+    length = profile.groupBy("section_id", "trail").agg(F.max("d").alias("length"), F.max("seq").alias("last"))
+    rows = steps.join(length, ["section_id", "trail"])
+    order = Window.partitionBy("section_id", walk).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0.0))).withColumnRenamed("seq", "step")
+    rows = rows.join(profile, ["section_id", "trail"])
+    place = F.when(F.col("reverse"), F.col("last") - F.col("seq")).otherwise(F.col("seq"))
+    along = F.when(F.col("reverse"), F.col("length") - F.col("d")).otherwise(F.col("d"))
+    rows = rows.withColumn("place", place).where("step = 0 or place > 0")
+    return rows.select("section_id", walk, (F.col("step") * 1_000_000 + F.col("place")).alias("seq"), (F.col("offset") + along).alias("d"), "h")
+
+
 def grades_at(profile: DataFrame, places: DataFrame, window: float = WINDOW) -> DataFrame:
     """section_id, trail, grade (per cent) over the window around each place, clipped at the ends; null with an unknown height in it."""
     key = ["section_id", "trail"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.scalars import xml_escape
+from .graph import components, stored
 
 PAGE = 50
 SORTS = ("distance", "gain", "repetition", "road")
@@ -90,3 +94,66 @@ def gpx(geometry: DataFrame, names: DataFrame) -> DataFrame:
     body = F.array_join(F.transform("points", lambda x: x.p), "")
     head = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="waymark" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'
     return points.join(names, "route_id", "left").select("route_id", F.concat(F.lit(head), xml_escape(F.coalesce("title", F.lit("Walk"))), F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+
+
+def _ends(steps: DataFrame, trails: DataFrame) -> DataFrame:
+    """Steps with the nodes they lead from (f) and to (t)."""
+    rows = steps.join(trails.select("section_id", "trail", "a", "b"), ["section_id", "trail"])
+    return rows.withColumn("f", F.when(F.col("reverse"), F.col("b")).otherwise(F.col("a"))).withColumn("t", F.when(F.col("reverse"), F.col("a")).otherwise(F.col("b"))).drop("a", "b")
+
+
+def gaps(steps: DataFrame, trails: DataFrame, key: Sequence[str] = ("route_id", "variant")) -> DataFrame:
+    """key, seq of steps that do not begin where the one before ended."""
+    before = F.lag("t").over(Window.partitionBy(*key).orderBy("seq"))
+    return _ends(steps, trails).withColumn("before", before).where("before <> f").select(*key, "seq")
+
+
+def verified(steps: DataFrame, trails: DataFrame, key: Sequence[str] = ("route_id", "variant")) -> DataFrame:
+    """key, joined, closed, distinct_trails of each walk."""
+    before = F.lag("t").over(Window.partitionBy(*key).orderBy("seq"))
+    rows = _ends(steps, trails).withColumn("fits", F.coalesce(before == F.col("f"), F.lit(True)))
+    return rows.groupBy(*key).agg(F.bool_and("fits").alias("joined"), (F.min_by("f", "seq") == F.max_by("t", "seq")).alias("closed"), (F.countDistinct("trail") == F.count("*")).alias("distinct_trails"))
+
+
+def first_repeats(steps: DataFrame, trails: DataFrame, key: Sequence[str] = ("route_id", "variant")) -> DataFrame:
+    """key, first_repeat: the step by which each walk comes to a node for the second time."""
+    rows = _ends(steps, trails)
+    visits = rows.where("seq = 0").select(*key, F.lit(-1).cast("long").alias("seq"), F.col("f").alias("node")).unionByName(rows.select(*key, F.col("seq").cast("long").alias("seq"), F.col("t").alias("node")))
+    nth = F.row_number().over(Window.partitionBy(*key, "node").orderBy("seq"))
+    return visits.withColumn("nth", nth).where("nth > 1").groupBy(*key).agg(F.min("seq").alias("first_repeat"))
+
+
+def drawing_groups(steps: DataFrame, trails: DataFrame) -> DataFrame:
+    """route_id, trail, piece (its least trail), name: trails that follow each other under one name are one piece."""
+    rows = stored(steps.join(trails.select("section_id", "trail", "name"), ["section_id", "trail"]))
+    order = Window.partitionBy("route_id").orderBy("seq")
+    after = rows.withColumn("next", F.lead("trail").over(order)).withColumn("next_name", F.lead("name").over(order)).where("name = next_name").select("route_id", F.col("trail").alias("a"), F.col("next").alias("b"))
+    turn = rows.groupBy("route_id").agg(F.max_by("trail", "seq").alias("a"), F.min_by("trail", "seq").alias("b"), F.max_by("name", "seq").alias("x"), F.min_by("name", "seq").alias("y")).where("x = y").select("route_id", "a", "b")
+    found = components(after.unionByName(turn).select(F.col("route_id").alias("section_id"), "a", "b")).toDF("route_id", "trail", "piece")
+    each = rows.select("route_id", "trail", "name").distinct().join(found, ["route_id", "trail"], "left")
+    return each.select("route_id", "trail", F.coalesce("piece", "trail").alias("piece"), F.coalesce("name", F.lit("Unnamed trail")).alias("name"))
+
+
+def trail_identities(trails: DataFrame, nodes: DataFrame) -> DataFrame:
+    """section_id, trail, text, identity: the ends' positions in order, the length, and a rank among twins, hashed."""
+    at = nodes.select("section_id", "node", F.concat_ws(",", scalars.plain_number("lon"), scalars.plain_number("lat")).alias("at"))
+    rows = trails.join(at.toDF("section_id", "a", "at_a"), ["section_id", "a"]).join(at.toDF("section_id", "b", "at_b"), ["section_id", "b"])
+    rows = rows.withColumn("base", F.concat_ws(";", F.least("at_a", "at_b"), F.greatest("at_a", "at_b"), F.floor(F.col("dist") + 0.5)))
+    rank = F.row_number().over(Window.partitionBy("section_id", "base").orderBy("trail")) - 1
+    rows = rows.withColumn("rank", rank).withColumn("text", F.when(F.col("rank") > 0, F.concat_ws("#", "base", "rank")).otherwise(F.col("base")))
+    return rows.select("section_id", "trail", "text", scalars.fnv1a("text").alias("identity"))
+
+
+def store(routes: DataFrame, steps: DataFrame, folder: str) -> None:
+    """Saves a search: its routes, each used trail once, and the counts, which are written last."""
+    routes.write.mode("overwrite").parquet(f"{folder}/routes")
+    steps.select("section_id", "trail").distinct().write.mode("overwrite").parquet(f"{folder}/geometry")
+    spark = routes.sparkSession
+    kept = spark.read.parquet(f"{folder}/routes").groupBy("section_id").agg(F.count("*").alias("routes"), F.sum("distance").alias("metres"))
+    drawn = spark.read.parquet(f"{folder}/geometry").groupBy("section_id").agg(F.count("*").alias("geometries"))
+    kept.join(drawn, "section_id").write.mode("overwrite").parquet(f"{folder}/counts")
+
+
+def stored_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """section_id, routes, geometries, metres as saved."""
+    return spark.read.parquet(f"{folder}/counts").select("section_id", "routes", "geometries", "metres")

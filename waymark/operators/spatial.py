@@ -97,3 +97,22 @@ def ring_errors(rings: DataFrame) -> DataFrame:
     rows = rings.select(F.col("id").alias("area"), "points", F.size("points").alias("n"), F.size(F.array_distinct("points")).alias("u"), signed_area("points").alias("turn")).join(crossed, "area", "left")
     error = F.when(~F.col("n").between(3, 128), "needs 3 to 128 points").when(F.col("u") < F.col("n"), "repeats a point").when(F.col("crossed"), "crosses itself").when(F.abs("turn") <= TOLERANCE, "has no area")
     return rows.select(F.col("area").alias("id"), error.alias("error"))
+
+
+def local_metres(lon: Column, lat: Column, at: Column) -> tuple[Column, Column]:
+    """Differences in degrees as metres on a plane around a latitude."""
+    return lon * 111320 * F.cos(F.radians(at)), lat * 110540
+
+
+def beside(starts: DataFrame, lots: DataFrame, metres: float, cell: float = 0.1) -> DataFrame:
+    """section_id, start_id, lot: other starts within some metres of lots, on the plane around each lot.
+
+    Grid cells of `cell` degrees, which are wider than the distance, are the join key.
+    """
+    grid = lambda df: df.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
+    near = F.sequence(F.lit(-1), F.lit(1))
+    around = grid(lots).select("section_id", F.col("start_id").alias("lot"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.explode(near).alias("i"))
+    around = around.withColumn("j", F.explode(near)).select("section_id", "lot", "x", "y", (F.col("ax") + F.col("i")).alias("cx"), (F.col("ay") + F.col("j")).alias("cy"))
+    dx, dy = local_metres(F.col("x") - F.col("lon"), F.col("y") - F.col("lat"), F.col("y"))
+    hit = grid(starts).join(around, ["section_id", "cx", "cy"]).where((F.col("lot") != F.col("start_id")) & (F.sqrt(dx * dx + dy * dy) <= metres))
+    return hit.select("section_id", "start_id", "lot")

@@ -8,7 +8,7 @@ left, and each round is stored in the shared folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,8 +100,10 @@ def closed_walks(edges: DataFrame, starts: DataFrame, q: Query) -> DataFrame:
     walks = walks.withColumn("road", road("steps", "dist") + road(back, "back_dist")).withColumn("core_trails", F.transform(core, lambda s: s.trail))
     walks = walks.withColumn("trails", F.transform("steps", lambda s: s.trail)).withColumn("uncertain", (F.col("start_access") != "public") | F.exists("steps", lambda s: s.access != "public"))
     walks = walks.withColumn("itinerary", F.array_join(F.transform("steps", lambda s: F.concat(s.trail.cast("string"), F.when(s.reverse, "-").otherwise("+"))), ","))
+    plain = lambda a, flip: F.transform(F.filter(a, lambda s: ~s.connector), lambda s: F.concat(s.trail.cast("string"), F.when(s.reverse != flip, "-").otherwise("+")))
+    walks = walks.withColumn("trail_itinerary", F.array_join(F.concat(plain(F.col("steps"), False), plain(back, True)), ","))
     walks = walks.withColumn("has_path", F.exists("steps", lambda s: ~s.connector)).withColumn("repetition", F.col("stem") / F.col("distance"))
-    return walks.where((F.col("distance") <= q.max_distance) & (F.col("gain") <= q.max_gain)).select("section_id", "start_id", "kind_rank", "stem_steps", "trails", "core_trails", "itinerary", "distance", "gain", "road", "stem", "repetition", "uncertain", "has_path")
+    return walks.where((F.col("distance") <= q.max_distance) & (F.col("gain") <= q.max_gain)).select("section_id", "start_id", "kind_rank", "stem_steps", "trails", "core_trails", "itinerary", "trail_itinerary", "distance", "gain", "road", "stem", "repetition", "uncertain", "has_path")
 
 
 def qualified(walks: DataFrame, q: Query) -> DataFrame:
@@ -118,33 +120,38 @@ def qualified(walks: DataFrame, q: Query) -> DataFrame:
     return walks.where(keep)
 
 
-def itinerary_without_road(walks: DataFrame, roads: DataFrame) -> DataFrame:
-    """The ordered, directed non-road part of each walk's steps. roads: section_id, road_trails (one row a section)."""
-    plain = F.filter(F.split("itinerary", ","), lambda s: ~F.array_contains(F.col("road_trails"), F.regexp_replace(s, "[+-]", "").cast("long")))
-    return walks.join(roads, "section_id", "left").withColumn("road_trails", F.coalesce("road_trails", F.array().cast("array<bigint>"))).withColumn("trail_itinerary", F.array_join(plain, ",")).drop("road_trails")
-
-
 def road_minimal(walks: DataFrame) -> DataFrame:
-    """Walks that no walk of the same start, stem and trail itinerary, as certain, beats with less road.
+    """Walks, and whether one of the same start and the same directed trails in order, the way back included, beats them:
+    less road, and as certain. Give it the walks within the upper limits, so that a substitute is one that may be walked.
 
     Within (section, start, trail itinerary) the least road of certain walks and of all walks decides: an aggregate, not a self-join.
     """
-    w = Window.partitionBy("section_id", "start_id", "stem_trails", "trail_itinerary")
+    w = Window.partitionBy("section_id", "start_id", "trail_itinerary")
     least_certain = F.min(F.when(~F.col("uncertain"), F.col("road"))).over(w)
     least = F.min("road").over(w)
     beaten = F.when(F.col("uncertain"), least < F.col("road")).otherwise(F.coalesce(least_certain < F.col("road"), F.lit(False)))
     return walks.withColumn("dominated", beaten)
 
 
-def circuit_key(core: str | Column) -> Column:
-    """A circuit's trails from the smallest on, in the smaller of both directions, as text."""
+def normalized(walks: DataFrame, q: Query) -> DataFrame:
+    """Qualifying walks that no shorter road substitution beats. A substitute may lie below the lower limits."""
+    upper = qualified(walks, replace(q, min_distance=0.0, min_gain=0.0))
+    return qualified(road_minimal(upper).where("not dominated").drop("dominated"), q)
+
+
+def canonical(core: str | Column) -> Column:
+    """A circuit's trails from the smallest on, in the smaller of both directions."""
     core = F.col(core) if isinstance(core, str) else core
 
     def from_least(a: Column) -> Column:
         i = F.array_position(a, F.array_min(a)).cast("int")
         return F.concat(F.slice(a, i, F.size(a)), F.slice(a, F.lit(1), i - 1))
 
-    return F.array_join(F.least(from_least(core), from_least(F.reverse(core))), ",")
+    return F.when(F.size(core) > 0, F.least(from_least(core), from_least(F.reverse(core)))).otherwise(core)
+
+
+def circuit_key(core: str | Column) -> Column:
+    return F.array_join(canonical(core), ",")
 
 
 def preference(walks: DataFrame) -> list[Column]:
@@ -158,32 +165,54 @@ def best_per(walks: DataFrame, *keys: str) -> DataFrame:
 
 
 def similarity(circuits: DataFrame, lengths: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs of circuits whose shared trails make up `least` of the longer one. An inverted index joins on the trail.
+    """Pairs of circuits whose shared trails make up `least` of the longer one and lie in one cyclic order on both.
 
-    circuits: section_id, circuit, core_trails. lengths: section_id, trail, dist.
+    circuits: section_id, circuit, core_trails. lengths: section_id, trail, dist. A circuit posts its rarest trails only: without
+    them what remains is shorter than `least` of it, so a similar circuit has one of them, and trails that are on many
+    circuits list no pairs.
     """
     posts = circuits.select("section_id", "circuit", F.explode("core_trails").alias("trail")).join(lengths, ["section_id", "trail"])
-    size = posts.groupBy("section_id", "circuit").agg(F.sum("dist").alias("length"))
-    a, b = posts.select("section_id", "trail", F.col("circuit").alias("a"), "dist"), posts.select("section_id", "trail", F.col("circuit").alias("b"))
-    shared = a.join(b, ["section_id", "trail"]).where("a < b").groupBy("section_id", "a", "b").agg(F.sum("dist").alias("shared"))
-    out = shared.join(size.withColumnsRenamed({"circuit": "a", "length": "la"}), ["section_id", "a"]).join(size.withColumnsRenamed({"circuit": "b", "length": "lb"}), ["section_id", "b"])
-    return out.withColumn("similarity", F.col("shared") / F.greatest("la", "lb")).where(F.col("similarity") >= least).select("section_id", "a", "b", "shared", "similarity")
+    often = posts.groupBy("section_id", "trail").agg(F.count("*").alias("often"))
+    common_first = Window.partitionBy("section_id", "circuit").orderBy(F.col("often").desc(), "trail").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("section_id", "circuit")
+    posts = posts.join(often, ["section_id", "trail"]).withColumn("length", F.sum("dist").over(every)).withColumn("upto", F.sum("dist").over(common_first))
+    rare = posts.where(F.col("upto") >= least * F.col("length") - 1e-6).select("section_id", "trail", "circuit")
+    pairs = rare.withColumnRenamed("circuit", "a").join(rare.withColumnRenamed("circuit", "b"), ["section_id", "trail"]).where("a < b").select("section_id", "a", "b").distinct()
+    own = posts.groupBy("section_id", "circuit").agg(F.map_from_entries(F.collect_list(F.struct("trail", "dist"))).alias("dist"), F.first("length").alias("length")).join(circuits.select("section_id", "circuit", "core_trails"), ["section_id", "circuit"])
+    for k in ("a", "b"):
+        pairs = pairs.join(own.select("section_id", F.col("circuit").alias(k), F.col("core_trails").alias(f"core_{k}"), F.col("dist").alias(f"dist_{k}"), F.col("length").alias(f"length_{k}")), ["section_id", k])
+    both = lambda one, other: F.filter(one, lambda t: F.array_contains(other, t))
+    pairs = pairs.withColumn("both_a", both("core_a", F.col("core_b"))).withColumn("both_b", both("core_b", F.col("core_a")))
+    pairs = pairs.withColumn("shared", F.aggregate(F.array_sort("both_a"), F.lit(0.0), lambda x, t: x + F.col("dist_a")[t]))
+    pairs = pairs.withColumn("similarity", F.col("shared") / F.greatest("length_a", "length_b")).where(F.col("similarity") >= least)
+    return pairs.where(canonical("both_a") == canonical("both_b")).select("section_id", "a", "b", "shared", "similarity")
 
 
 def distinct_hikes(circuits: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy groups: in order of preference a circuit joins the first representative it is similar to, or founds a group.
 
-    circuits: section_id, circuit, place (order of preference). One ordered fold for each section, over similar earlier circuits only.
+    circuits: section_id, circuit, place (order of preference). Decided in rounds: a circuit without an undecided one
+    before it that it is similar to founds a group, and those similar to a founder are represented. Rounds are stored and end
+    when all is decided, as in one fold in order, but no section is held by one task.
     """
     order = circuits.select("section_id", "circuit", "place")
-    near = pairs.select("section_id", F.col("a").alias("circuit"), F.col("b").alias("other")).unionByName(pairs.select("section_id", F.col("b").alias("circuit"), F.col("a").alias("other")))
-    near = near.join(order.withColumnsRenamed({"circuit": "other", "place": "other_place"}), ["section_id", "other"]).groupBy("section_id", "circuit").agg(F.array_sort(F.collect_list("other_place")).alias("near"))
-    rows = order.join(near, ["section_id", "circuit"], "left").select("section_id", F.struct("place", F.coalesce("near", F.array().cast("array<int>")).alias("near")).alias("c"))
-    none = F.array().cast("array<int>")
-    heads = rows.groupBy("section_id").agg(F.array_sort(F.collect_list("c")).alias("all"))
-    heads = heads.withColumn("heads", F.aggregate("all", none, lambda kept, c: F.when(F.arrays_overlap(kept, F.filter(c.near, lambda x: x < c.place)), kept).otherwise(F.concat(kept, F.array(c.place)))))
-    out = rows.join(heads.select("section_id", "heads"), "section_id")
-    first = F.element_at(F.filter("heads", lambda h: F.array_contains(F.col("c.near"), h) & (h < F.col("c.place"))), 1)
-    out = out.select("section_id", F.col("c.place").alias("place"), F.when(F.array_contains("heads", F.col("c.place")), F.col("c.place")).otherwise(first).alias("head"))
-    names = circuits.select("section_id", F.col("place").alias("head"), F.col("circuit").alias("group_circuit"))
-    return out.join(names, ["section_id", "head"]).join(order, ["section_id", "place"]).select("section_id", "circuit", "group_circuit")
+    at = lambda k: order.select("section_id", F.col("circuit").alias(k), F.col("place").alias(f"place_{k}"))
+    two = pairs.select("section_id", "a", "b").join(at("a"), ["section_id", "a"]).join(at("b"), ["section_id", "b"])
+    early, late = F.least("place_a", "place_b"), F.greatest("place_a", "place_b")
+    links = stored(two.select("section_id", early.alias("early"), late.alias("late")))
+    left, live, founders = order.select("section_id", "place"), links, None
+    while True:
+        held = live.select("section_id", F.col("late").alias("place")).distinct()
+        now = stored(left.join(held, ["section_id", "place"], "left_anti"))
+        founders = now if founders is None else stored(founders.unionByName(now))
+        if live.isEmpty():
+            break
+        gone = live.join(now.withColumnRenamed("place", "early"), ["section_id", "early"], "left_semi").select("section_id", F.col("late").alias("place")).distinct().unionByName(now)
+        left = stored(left.join(gone, ["section_id", "place"], "left_anti"))
+        still = left.withColumnRenamed("place", "early")
+        live = stored(live.join(still, ["section_id", "early"], "left_semi").join(left.withColumnRenamed("place", "late"), ["section_id", "late"], "left_semi"))
+    first = links.join(founders.withColumnRenamed("place", "early"), ["section_id", "early"], "left_semi").groupBy("section_id", F.col("late").alias("place")).agg(F.min("early").alias("head"))
+    own = founders.withColumn("own", F.lit(True))
+    rows = order.join(own, ["section_id", "place"], "left").join(first, ["section_id", "place"], "left").withColumn("head", F.when(F.col("own"), F.col("place")).otherwise(F.col("head")))
+    names = order.select("section_id", F.col("place").alias("head"), F.col("circuit").alias("group_circuit"))
+    return rows.join(names, ["section_id", "head"]).select("section_id", "circuit", "group_circuit")

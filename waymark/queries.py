@@ -13,15 +13,13 @@ from . import sources, streaming
 from .functions import scalars
 from .operators import bounded, graph, jobs, profile, results, spatial, walks
 from .plans import prepare
+from .registry import QUERIES, SQL, Run, once
 
-Run = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Run] = {}
-SQL: dict[str, str] = {}
 
-#: Limits of the registered searches.
-REACH = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None, max_steps=4)
-#: The same limits without one of steps.
-WHOLE = replace(REACH, max_steps=None)
+#: Limits of the registered searches: length and climb alone end them.
+REACH = WHOLE = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None)
+#: The same without a limit of climb.
+STEEP = replace(REACH, max_gain=10_000.0)
 
 
 def query(sql: str | None = None, cte: str = "") -> Callable[[Run], Run]:
@@ -37,17 +35,18 @@ def query(sql: str | None = None, cte: str = "") -> Callable[[Run], Run]:
 WALK = {
     "eb": "select e.*, r.dist as back_dist, r.gain as back_gain from net_edge e left join net_edge r on e.section_id = r.section_id and e.trail = r.trail and e.reverse <> r.reverse",
     "path": """select section_id, start_id, kind_rank, access <> 'public' as unsure, node as at, cast(node as bigint) as t, [cast(node as bigint)] as nodes, cast([] as bigint[]) as trails, cast([] as varchar[]) as itin,
- cast(0 as double) as d, cast(0 as double) as g, cast(0 as double) as r, cast([] as double[]) as bd, cast([] as double[]) as bg, cast([] as double[]) as br, false as has_path, cast(0 as bigint) as place from net_start
+ cast(0 as double) as d, cast(0 as double) as g, cast(0 as double) as r, cast([] as double[]) as bd, cast([] as double[]) as bg, cast([] as double[]) as br, cast([] as varchar[]) as nr, cast([] as varchar[]) as nb, false as has_path, cast(0 as bigint) as place from net_start
  union all
  select p.section_id, p.start_id, p.kind_rank, p.unsure or e.access <> 'public', e.t, cast(e.t as bigint), list_append(p.nodes, cast(e.t as bigint)), list_append(p.trails, e.trail), list_append(p.itin, cast(e.trail as varchar) || case when e.reverse then '-' else '+' end),
- p.d + e.dist, p.g + e.gain, p.r + case when e.connector then e.dist else 0 end, list_append(p.bd, coalesce(e.back_dist, -1)), list_append(p.bg, coalesce(e.back_gain, 0)), list_append(p.br, case when e.connector then coalesce(e.back_dist, 0) else 0 end), p.has_path or not e.connector,
+ p.d + e.dist, p.g + e.gain, p.r + case when e.connector then e.dist else 0 end, list_append(p.bd, coalesce(e.back_dist, -1)), list_append(p.bg, coalesce(e.back_gain, 0)), list_append(p.br, case when e.connector then coalesce(e.back_dist, 0) else 0 end),
+ list_append(p.nr, case when e.connector then '' else cast(e.trail as varchar) || case when e.reverse then '-' else '+' end end), list_append(p.nb, case when e.connector then '' else cast(e.trail as varchar) || case when e.reverse then '+' else '-' end end), p.has_path or not e.connector,
  cast(coalesce(list_position(p.nodes, cast(e.t as bigint)), 0) as bigint)
  from path p join eb e on e.section_id = p.section_id and e.f = p.at
- where p.place = 0 and len(p.trails) < 4 and not list_contains(p.trails, e.trail) and p.d + e.dist <= 2500 and p.g + e.gain <= 400""",
-    "walk0": """select section_id, start_id, kind_rank, cast(place - 1 as integer) as stem_steps, trails, itin, array_to_string(itin, ',') as itinerary, unsure as uncertain, has_path, r, d, g,
+ where p.place = 0 and not list_contains(p.trails, e.trail) and p.d + e.dist <= 2500 and p.g + e.gain <= 400""",
+    "walk0": """select section_id, start_id, kind_rank, cast(place - 1 as integer) as stem_steps, trails, itin, array_to_string(itin, ',') as itinerary, array_to_string(list_filter(list_concat(nr, list_reverse(list_slice(nb, 1, place - 1))), lambda x: x <> ''), ',') as trail_itinerary, unsure as uncertain, has_path, r, d, g,
  list_slice(trails, place, len(trails)) as core, case when place > 1 then coalesce(list_sum(list_slice(bd, 1, place - 1)), 0) else 0 end as stem, case when place > 1 then coalesce(list_sum(list_slice(bg, 1, place - 1)), 0) else 0 end as sg,
  case when place > 1 then coalesce(list_sum(list_slice(br, 1, place - 1)), 0) else 0 end as sr from path where place > 0 and not (place > 1 and list_contains(list_slice(bd, 1, place - 1), -1))""",
-    "walk": """select section_id, start_id, kind_rank, stem_steps, trails, itin, core, itinerary, cast(d + stem as double) as distance, cast(g + sg as double) as gain, cast(r + sr as double) as road, cast(stem as double) as stem, cast(stem / (d + stem) as double) as repetition, uncertain, has_path
+    "walk": """select section_id, start_id, kind_rank, stem_steps, trails, itin, core, itinerary, trail_itinerary, cast(d + stem as double) as distance, cast(g + sg as double) as gain, cast(r + sr as double) as road, cast(stem as double) as stem, cast(stem / (d + stem) as double) as repetition, uncertain, has_path
  from walk0 where d + stem <= 2500 and g + sg <= 400""",
     "circuit": """select *, array_to_string(least(fwd, bwd), ',') as circuit from (select *, list_concat(list_slice(core, list_position(core, list_min(core)), len(core)), list_slice(core, 1, list_position(core, list_min(core)) - 1)) as fwd,
  list_concat(list_slice(list_reverse(core), list_position(list_reverse(core), list_min(core)), len(core)), list_slice(list_reverse(core), 1, list_position(list_reverse(core), list_min(core)) - 1)) as bwd from walk)""",
@@ -61,7 +60,12 @@ COLUMNS = "section_id, start_id, stem_steps, itinerary, distance, gain, road, re
 
 
 def all_walks(s: SparkSession, d: str, q: walks.Query = REACH) -> DataFrame:
-    return walks.closed_walks(net.edges(s, d), net.starts(s, d), q)
+    """All walks within the limits of q, searched once in an application."""
+    return once(s, d, f"walks {q}", lambda: walks.closed_walks(net.edges(s, d), net.starts(s, d), q))
+
+
+#: The walk entities of SQL without a limit of climb.
+STEEP_WALK = WALK | {k: WALK[k].replace("+ e.gain <= 400", "+ e.gain <= 10000").replace("g + sg <= 400", "g + sg <= 10000") for k in ("path", "walk")}
 
 
 def shown(w: DataFrame) -> DataFrame:
@@ -164,44 +168,26 @@ def network_500m(s, d):
 SQL["network_500m"] = f"with recursive net_trail as ({net.CTE['net_trail']}), net_start as ({net.CTE['net_start']}), {_ROADS}, len as (select t.section_id, component, sum(dist) as metres from net_trail t join comp c on c.section_id = t.section_id and c.node = t.a where t.connector and t.a <> t.b group by all) select s.section_id, s.start_id, s.node from net_start s left join comp c on c.section_id = s.section_id and c.node = s.node left join len l on l.section_id = c.section_id and l.component = c.component where s.kind_rank = 0 or l.metres >= 500"
 
 
-@query()
-def corridor_contraction(s, d):
-    return graph.corridors(net.trails(s, d).where("connector"))
-
-
-@query("")
-def car_reach(s, d):
-    """Nodes that public roads lead to from the trailheads (open), that any road leads to (unknown), and the rest (closed)."""
-    e, at = net.edges(s, d).where("connector"), net.starts(s, d).where("kind_rank = 0").select("section_id", "node")
-    known = graph.reachable(e.where("access = 'public'"), at).withColumn("known", F.lit(True))
-    some = graph.reachable(e, at).withColumn("some", F.lit(True))
-    rows = net.nodes(s, d).select("section_id", "node").join(known, ["section_id", "node"], "left").join(some, ["section_id", "node"], "left")
-    return rows.select("section_id", "node", F.when(F.col("known"), "open").when(F.col("some"), "unknown").otherwise("closed").alias("reach"))
-
-
-SQL["car_reach"] = net.with_cte("net_trail net_edge net_node net_start", "select n.section_id, n.node, case when k.node is not null then 'open' when u.node is not null then 'unknown' else 'closed' end as reach from net_node n left join known k on k.section_id = n.section_id and k.node = n.node left join loose u on u.section_id = n.section_id and u.node = n.node").replace("\nselect n.section_id", """,
-known as (select section_id, node from net_start where kind_rank = 0 union select e.section_id, e.t from known k join net_edge e on e.section_id = k.section_id and e.f = k.node where e.connector and e.access = 'public'),
-loose as (select section_id, node from net_start where kind_rank = 0 union select e.section_id, e.t from loose k join net_edge e on e.section_id = k.section_id and e.f = k.node where e.connector)
-select n.section_id""")
-
-
 # --- searches
 
 
 @query(f"select {COLUMNS} from walk where stem_steps = 0 and distance between 800 and 2500 and gain between 0 and 400 and has_path and road <= 1609.344 and road / distance <= 5e-1", N_WALK)
 def loops_in_range(s, d):
-    q = walks.Query(min_distance=800.0, max_distance=2500.0, max_gain=400.0, max_road_share=0.5, max_steps=4)
+    q = walks.Query(min_distance=800.0, max_distance=2500.0, max_gain=400.0, max_road_share=0.5)
     return shown(walks.qualified(all_walks(s, d).where("stem_steps = 0"), q))
 
 
-@query(f"select {COLUMNS} from walk where stem_steps = 0 and has_path and road <= 500 and road / distance <= 1e-1", N_WALK)
+@query("")
 def loops_road_limit(s, d):
-    return shown(walks.qualified(all_walks(s, d).where("stem_steps = 0"), walks.Query(max_distance=2500.0, max_road=500.0, max_steps=4)))
+    return shown(walks.qualified(all_walks(s, d, STEEP).where("stem_steps = 0"), walks.Query(max_distance=2500.0, max_road=500.0)))
+
+
+SQL["loops_road_limit"] = net.with_cte(N_WALK, f"select {COLUMNS} from walk where stem_steps = 0 and has_path and road <= 500 and road / distance <= 1e-1", STEEP_WALK)
 
 
 @query(f"select {COLUMNS} from walk where stem_steps = 0 and has_path and not uncertain", N_WALK)
 def loops_public(s, d):
-    q = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None, include_unknown=False, max_steps=4)
+    q = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None, include_unknown=False)
     return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
 
 
@@ -220,26 +206,25 @@ def lollipops_stem_pct(s, d):
     return shown(all_walks(s, d).where("has_path and repetition <= 0.2"))
 
 
-def _dominated(s, d):
-    w = all_walks(s, d)
-    roads = net.trails(s, d).where("connector").groupBy("section_id").agg(F.collect_list("trail").alias("road_trails"))
-    w = w.withColumn("stem_trails", F.array_join(F.slice("trails", F.lit(1), F.col("stem_steps")), ","))
-    return walks.road_minimal(walks.itinerary_without_road(w, roads))
+#: A search with limits of length, climb, road and stem.
+HIKES = walks.Query(min_distance=800.0, max_distance=2500.0, min_gain=20.0, max_gain=400.0, max_road=1200.0, max_road_share=0.6, max_repetition=0.5)
+_UPPER = "has_path and road <= 1200 and road / distance <= 6e-1 and repetition <= 5e-1"
+_LOWER = "distance >= 800 and gain >= 20"
+_DOM = f"select * from (select *, case when uncertain then min(road) over p < road else coalesce(min(case when not uncertain then road end) over p < road, false) end as dominated from walk where {_UPPER} window p as (partition by section_id, start_id, trail_itinerary))"
 
 
-_DOM = """select w.section_id, w.start_id, w.itinerary, w.road, w.trail_itinerary from (select *, min(case when not uncertain then road end) over p as lc, min(road) over p as la from (
- select *, array_to_string(case when stem_steps > 0 then list_slice(trails, 1, stem_steps) else cast([] as bigint[]) end, ',') as stem_trails, (select coalesce(string_agg(x.s, ',' order by x.i), '') from (select unnest(walk.itin) as s, unnest(range(0, len(walk.itin))) as i) x where not exists (select 1 from net_trail n where n.connector and n.section_id = walk.section_id and n.trail = cast(replace(replace(x.s, '+', ''), '-', '') as bigint))) as trail_itinerary from walk)
- window p as (partition by section_id, start_id, stem_trails, trail_itinerary)) w where """
+def _upper(s, d):
+    return walks.road_minimal(walks.qualified(all_walks(s, d), replace(HIKES, min_distance=0.0, min_gain=0.0)))
 
 
-@query(_DOM + "case when uncertain then la < road else coalesce(lc < road, false) end", N_WALK)
+@query(f"select section_id, start_id, itinerary, road, trail_itinerary from ({_DOM}) where dominated", N_WALK)
 def road_dominated(s, d):
-    return _dominated(s, d).where("dominated").select("section_id", "start_id", "itinerary", "road", "trail_itinerary")
+    return _upper(s, d).where("dominated").select("section_id", "start_id", "itinerary", "road", "trail_itinerary")
 
 
-@query(_DOM + "not case when uncertain then la < road else coalesce(lc < road, false) end", N_WALK)
+@query(f"select section_id, start_id, itinerary, road, trail_itinerary from ({_DOM}) where not dominated and {_LOWER}", N_WALK)
 def road_minimal_walks(s, d):
-    return _dominated(s, d).where("not dominated").select("section_id", "start_id", "itinerary", "road", "trail_itinerary")
+    return walks.normalized(all_walks(s, d), HIKES).select("section_id", "start_id", "itinerary", "road", "trail_itinerary")
 
 
 @query("select section_id, circuit, count(*) as walks, min(distance) as shortest from circuit group by section_id, circuit", N_WALK + " circuit")
@@ -257,15 +242,31 @@ def best_per_start(s, d):
     return walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit", "start_id").select("circuit", *COLUMNS.split(", "))
 
 
+def _placed(best: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("section_id").orderBy(*walks.preference(best), "circuit"))
+    return graph.stored(best.withColumn("place", place))
+
+
 def _placed_circuits(s, d, q=REACH):
-    best = walks.best_per(with_circuit(all_walks(s, d, q)), "section_id", "circuit")
-    return graph.stored(best.withColumn("place", F.row_number().over(Window.partitionBy("section_id").orderBy(*walks.preference(best), "circuit"))).select("section_id", "circuit", "core_trails", "place"))
+    return once(s, d, f"circuits {q}", lambda: _placed(walks.best_per(with_circuit(all_walks(s, d, q)), "section_id", "circuit")).select("section_id", "circuit", "core_trails", "place"))
 
 
-_PAIRS = """posts as (select section_id, circuit, unnest(core) as trail from best), pd as (select p.*, t.dist from posts p join net_trail t on t.section_id = p.section_id and t.trail = p.trail),
+def _canon(x: str) -> str:
+    rot = lambda y: f"list_concat(list_slice({y}, list_position({y}, list_min({y})), len({y})), list_slice({y}, 1, list_position({y}, list_min({y})) - 1))"
+    return f"least({rot(x)}, {rot(f'list_reverse({x})')})"
+
+
+_PAIRS = f"""posts as (select section_id, circuit, unnest(core) as trail from best), pd as (select p.*, t.dist from posts p join net_trail t on t.section_id = p.section_id and t.trail = p.trail),
 sz as (select section_id, circuit, sum(dist) as length from pd group by all),
-pr as (select x.*, x.shared / greatest(la.length, lb.length) as similarity from (select a.section_id, a.circuit as a, b.circuit as b, sum(a.dist) as shared from pd a join pd b on a.section_id = b.section_id and a.trail = b.trail and a.circuit < b.circuit group by all) x
- join sz la on la.section_id = x.section_id and la.circuit = x.a join sz lb on lb.section_id = x.section_id and lb.circuit = x.b where x.shared / greatest(la.length, lb.length) >= 6e-1)"""
+pr0 as (select x.*, x.shared / greatest(la.length, lb.length) as similarity from (select a.section_id, a.circuit as a, b.circuit as b, sum(a.dist) as shared from pd a join pd b on a.section_id = b.section_id and a.trail = b.trail and a.circuit < b.circuit group by all) x
+ join sz la on la.section_id = x.section_id and la.circuit = x.a join sz lb on lb.section_id = x.section_id and lb.circuit = x.b where x.shared / greatest(la.length, lb.length) >= 6e-1),
+pr1 as (select pr0.*, list_filter(x.core, lambda t: list_contains(y.core, t)) as ca, list_filter(y.core, lambda t: list_contains(x.core, t)) as cb from pr0 join best x on x.section_id = pr0.section_id and x.circuit = pr0.a join best y on y.section_id = pr0.section_id and y.circuit = pr0.b),
+pr as (select section_id, a, b, shared, similarity from pr1 where {_canon('ca')} = {_canon('cb')})"""
+_GROUPS = """placed as (select section_id, circuit, row_number() over (partition by section_id order by kind_rank, uncertain, road, repetition, distance, itinerary, start_id, circuit) as place from best),
+nb as (select pr.section_id, greatest(x.place, y.place) as place, list(least(x.place, y.place)) as es from pr join placed x on x.section_id = pr.section_id and x.circuit = pr.a join placed y on y.section_id = pr.section_id and y.circuit = pr.b group by all),
+rep(section_id, place, reps) as (select distinct section_id, cast(1 as bigint), [cast(1 as bigint)] from placed union all select p.section_id, p.place, case when list_has_any(r.reps, coalesce(nb.es, [])) then r.reps else list_append(r.reps, p.place) end from rep r join placed p on p.section_id = r.section_id and p.place = r.place + 1 left join nb on nb.section_id = p.section_id and nb.place = p.place),
+reps as (select section_id, arg_max(reps, place) as reps from rep group by section_id),
+grp as (select p.section_id, p.circuit, p.place, case when list_contains(reps, p.place) then p.place else list_min(list_intersect(reps, es)) end as head from placed p join reps using (section_id) left join nb on nb.section_id = p.section_id and nb.place = p.place)"""
 
 
 @query("")
@@ -277,46 +278,59 @@ def circuit_similarity(s, d):
 SQL["circuit_similarity"] = net.with_cte(N_WALK + " circuit best", f", {_PAIRS} select section_id, a, b, shared, round(similarity, 9) as similarity from pr", WALK).replace(")\n, posts", "),\nposts")
 
 
-@query()
+@query("")
 def distinct_hikes(s, d):
-    c = _placed_circuits(s, d, WHOLE)
-    pairs = walks.similarity(c, net.trails(s, d).select("section_id", "trail", "dist"))
-    return walks.distinct_hikes(c, pairs)
+    c = _placed_circuits(s, d)
+    return walks.distinct_hikes(c, walks.similarity(c, net.trails(s, d).select("section_id", "trail", "dist")))
+
 
+SQL["distinct_hikes"] = net.with_cte(N_WALK + " circuit best", f", {_PAIRS}, {_GROUPS} select g.section_id, g.circuit, h.circuit as group_circuit from grp g join placed h on h.section_id = g.section_id and h.place = g.head", WALK).replace(")\n, posts", "),\nposts")
 
-@query("select section_id, start_id, itinerary, len(trails) as n_steps, len(list_distinct(trails)) as n_trails, len(trails) = len(list_distinct(trails)) as sound from walk", N_WALK)
-def walk_verifier(s, d):
-    n, u = F.size("trails").cast("long"), F.size(F.array_distinct("trails")).cast("long")
-    return all_walks(s, d).select("section_id", "start_id", "itinerary", n.alias("n_steps"), u.alias("n_trails"), (n == u).alias("sound"))
 
+@query("")
+def search_hikes(s, d):
+    """A whole search: walks within all limits, without those that less road would serve, the best of every circuit, one
+    hike for each group of similar circuits, named by its circuit."""
+    found = walks.normalized(all_walks(s, d), HIKES)
+    best = _placed(walks.best_per(with_circuit(found), "section_id", "circuit"))
+    groups = walks.distinct_hikes(best, walks.similarity(best, net.trails(s, d).select("section_id", "trail", "dist")))
+    shown_ones = groups.where("circuit = group_circuit").select("section_id", "circuit")
+    sizes = groups.groupBy("section_id", F.col("group_circuit").alias("circuit")).agg(F.count("*").alias("circuits"))
+    hikes = best.join(shown_ones, ["section_id", "circuit"], "left_semi").join(sizes, ["section_id", "circuit"])
+    return hikes.select(F.concat(F.lit("family-"), scalars.short_sha(F.concat_ws(":", "section_id", "circuit"))).alias("group_id"), "circuits", *COLUMNS.split(", "))
 
-# --- searches without a limit of steps: length and climb alone end them; they have no SQL, tests hold the expansion against brute force
 
+_HIKES_WALK = WALK | {"circuit": WALK["circuit"].replace("from walk)", f"from (select * from ({_DOM}) where not dominated and {_LOWER}))")}
+SQL["search_hikes"] = net.with_cte(N_WALK + " circuit best", f", {_PAIRS}, {_GROUPS} select 'family-' || substr(sha256(b.section_id || ':' || b.circuit), 1, 32) as group_id, n.circuits, {', '.join('b.' + c for c in COLUMNS.split(', '))} from grp g join best b on b.section_id = g.section_id and b.circuit = g.circuit join (select section_id, head, count(*) as circuits from grp group by all) n on n.section_id = g.section_id and n.head = g.place where g.head = g.place", _HIKES_WALK).replace(")\n, posts", "),\nposts")
 
-@query()
+
+# --- the same searches with limits of their own, which the expansion prunes by
+
+
+@query(SQL["loops_in_range"])
 def loops_in_range_whole(s, d):
     q = walks.Query(min_distance=800.0, max_distance=2500.0, max_gain=400.0, max_road_share=0.5)
     return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
 
 
-@query()
+@query(SQL["loops_road_limit"])
 def loops_road_limit_whole(s, d):
     q = walks.Query(max_distance=2500.0, max_road=500.0)
     return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
 
 
-@query()
+@query(SQL["loops_public"])
 def loops_public_whole(s, d):
     q = replace(WHOLE, include_unknown=False)
     return shown(walks.qualified(all_walks(s, d, q).where("stem_steps = 0"), q))
 
 
-@query()
+@query(SQL["lollipops"])
 def lollipops_whole(s, d):
     return shown(walks.qualified(all_walks(s, d, WHOLE).where("stem_steps > 0"), WHOLE))
 
 
-@query()
+@query(SQL["best_per_circuit"])
 def best_per_circuit_whole(s, d):
     return walks.best_per(with_circuit(all_walks(s, d, WHOLE)), "section_id", "circuit").select("circuit", *COLUMNS.split(", "))
 
@@ -400,11 +414,6 @@ def gpx_export(s, d):
     return results.gpx(results.joined_geometry(st, net.trails(s, d), net.nodes(s, d)), results.display_names(results.name_weights(st, net.trails(s, d))))
 
 
-@query("select route_id from route where false", _R)
-def route_continuity(s, d):
-    return results.broken_steps(_steps(s, d), net.trails(s, d)).select("route_id")
-
-
 # --- profiles
 
 _SAMPLE = """vc as (select section_id, trail, count(*) as n from net_vertex group by all), tb as (select t.*, coalesce(n, 0) as n from net_trail t left join vc using (section_id, trail)),
@@ -446,11 +455,6 @@ def interpolate_at(s, d):
     return profile.heights_at(_samples(s, d), places).select("section_id", "trail", F.round("height", 6).alias("height"))
 
 
-@query()
-def route_grade_exposure(s, d):
-    return profile.exposure(graph.stored(_samples(s, d)), 0.5).select("section_id", "trail", F.round("total", 3).alias("total"), F.round("longest", 3).alias("longest"))
-
-
 @query("""select r.route_id, case when bool_and(p.peak is not null) then max(p.peak) end as peak from rstep r join pk p on p.section_id = r.section_id and p.trail = r.trail group by r.route_id""")
 def route_high_point(s, d):
     peaks = profile.climbs(_samples(s, d)).select("section_id", "trail", "peak")
@@ -605,14 +609,6 @@ def compose_catalog(s, d):
 # --- identity and text
 
 
-@query("select section_id, trail, substr(sha256(section_id || '|' || least(a, b) || '|' || greatest(a, b) || '|' || cast(dist as bigint)), 1, 24) as identity, row_number() over (partition by section_id, least(a, b), greatest(a, b), dist order by trail) - 1 as twin from net_trail", "net_trail")
-def trail_identity(s, d):
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    text = F.concat_ws("|", "section_id", low, high, F.col("dist").cast("long"))
-    w = Window.partitionBy("section_id", low, high, "dist").orderBy("trail")
-    return net.trails(s, d).select("section_id", "trail", scalars.short_sha(text, 24).alias("identity"), (F.row_number().over(w) - 1).cast("long").alias("twin"))
-
-
 @query("""select id, cast(h as bigint) as hash from f where i = length(text)""")
 def fnv1a(s, d):
     return net.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), scalars.fnv1a("n_name").alias("hash"))
@@ -700,11 +696,6 @@ def job_fifo(s, d):
     return jobs.fifo(net.jobs(s, d)).select("position", "visitor", "status")
 
 
-@query("select position, visitor, row_number() over (partition by visitor order by position) as queue_position from job where status = 'queued'", "job")
-def job_queue_position(s, d):
-    return jobs.queue_positions(net.jobs(s, d), "visitor").select("position", "visitor", "queue_position")
-
-
 @query("select position, visitor, status from job where position < 500 order by position desc limit 51", "job")
 def job_history_page(s, d):
     return jobs.history_page(net.jobs(s, d), 500).select("position", "visitor", "status")
@@ -765,18 +756,6 @@ def shortest_path_forest(s, d):
 SQL["shortest_path_forest"] = net.with_cte("net_trail net_edge net_start", f", {_REACHED} select section_id, root, node, min(d) as d from rp group by all").replace(")\n, rp", "),\nrp")
 
 
-@query()
-def fundamental_circuits(s, d):
-    return bounded.fundamental_circuits(net.edges(s, d), _trees(s, d)).drop("core_trails")
-
-
-@query()
-def weighted_forest(s, d):
-    """A pass that shuns climbs and roads."""
-    roots = net.starts(s, d).select("section_id", F.col("start_id").alias("root"), "node")
-    return bounded.forest(bounded.passed(net.edges(s, d), 1), roots, 4000.0, "weight").select("section_id", "root", "node", F.round("d", 6).alias("d"))
-
-
 @query("select section_id, circuit, band, row_number() over (partition by section_id order by turn, band, circuit) as place from (select *, row_number() over (partition by section_id, band order by score, circuit) as turn from (select section_id, circuit, cast(floor(distance / 500) as bigint) as band, abs(distance - 1250) + road as score from best))", N_WALK + " circuit best")
 def proposals_interleaved(s, d):
     best = walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit")
@@ -795,14 +774,6 @@ def local_variants(s, d):
 SQL["local_variants"] = f"with net_trail as ({net.CTE['net_trail']}), {_ENDS} select t.section_id, t.trail, cast(e.trail as varchar) as by, e.dist from net_trail t join ends e on e.section_id = t.section_id and e.u = t.a and e.v = t.b and e.trail <> t.trail union all select t.section_id, t.trail, x.trail || ',' || y.trail, x.dist + y.dist from net_trail t join ends x on x.section_id = t.section_id and x.u = t.a join ends y on y.section_id = t.section_id and y.u = x.v and y.v = t.b where t.a <> t.b and x.trail <> t.trail and y.trail <> t.trail and x.trail <> y.trail and x.v <> t.a and x.v <> t.b"
 
 
-@query()
-def stem_tree(s, d):
-    """Ways out of each start on trails that can be walked back."""
-    both = walks.with_reverse(net.edges(s, d)).where("back_dist is not null")
-    roots = net.starts(s, d).select("section_id", F.col("start_id").alias("root"), "node")
-    return bounded.forest(both, roots, 1500.0).select("section_id", "root", "node", "d", F.array_join(F.col("path").cast("array<string>"), ",").alias("stem"))
-
-
 # --- files
 
 
@@ -843,11 +814,6 @@ def stream_quota(s, d):
     return streaming.settled(streaming.monthly_usage(_job_stream(s, d)), graph.shared_folder(s)).select(F.date_format("month", "yyyy-MM").alias("month"), "used")
 
 
-@query("select visitor, least(sum(case when status in ('queued', 'running') then 1 else 0 end)::bigint, 2) as admitted from job group by visitor", "job")
-def stream_admission(s, d):
-    return streaming.settled(streaming.admitted(_job_stream(s, d)), graph.shared_folder(s))
-
-
 # --- more of profiles, areas and names
 
 
@@ -861,18 +827,6 @@ def grade_at(s, d):
     return profile.grades_at(graph.stored(_samples(s, d)), places).select("section_id", "trail", F.round("grade", 6).alias("grade"))
 
 
-@query(_sample_sql("select section_id, trail, count(*) as samples, case when count(h) = count(*) then max(h) - min(h) end as relief from sample where d between 100 and 300 group by all"))
-def profile_selection(s, d):
-    known = F.count("h") == F.count("*")
-    return _samples(s, d).where("d between 100 and 300").groupBy("section_id", "trail").agg(F.count("*").alias("samples"), F.when(known, F.max("h") - F.min("h")).alias("relief"))
-
-
-@query("select section_id, start_id, itinerary, cast(len(trails) as bigint) as steps, cast(stem_steps as bigint) as first_repeat from walk", N_WALK)
-def first_repeat(s, d):
-    """The place of the node that a walk comes back to first."""
-    return all_walks(s, d).select("section_id", "start_id", "itinerary", F.size("trails").cast("long").alias("steps"), F.col("stem_steps").cast("long").alias("first_repeat"))
-
-
 #: Rings by id: a sound one, one that crosses itself, one with equal points, one of no area, one with too few points.
 RINGS = {
     0: ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)),
@@ -905,11 +859,6 @@ def bytes_text(s, d):
     return net.table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37).alias("bytes"), scalars.bytes_text(F.col("p_partkey") * 37).alias("shown"))
 
 
-@query("select section_id, name, count(*) as segments, sum(dist) as metres from net_trail where name is not null group by all", "net_trail")
-def drawing_groups(s, d):
-    return net.trails(s, d).where("name is not null").groupBy("section_id", "name").agg(F.count("*").alias("segments"), F.sum("dist").alias("metres"))
-
-
 @query("select c_mktsegment as attribution, min(c_custkey) as first_seen from customer group by 1")
 def compose_attribution(s, d):
     """Distinct attributions in the order of first appearance."""
@@ -930,3 +879,6 @@ def changed_inputs(s, d):
     pinned = net.sections(s, d).select("area_id", F.col("name").alias("pinned"))
     now = net.sections(s, d).where("area_id % 5 <> 0").select("area_id", F.when(F.col("area_id") % 7 == 0, F.concat(F.upper("name"), F.lit("!"))).otherwise(F.col("name")).alias("current"))
     return pinned.join(now, "area_id", "full").where("not (pinned <=> current)")
+
+
+from . import catalogs, mapped, profiles  # noqa: E402, F401  they register more queries

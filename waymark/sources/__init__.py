@@ -82,3 +82,30 @@ def way_segments(ways: DataFrame) -> DataFrame:
     """id, seq, u, v: neighbouring nodes of each way."""
     rows = ways.select("id", F.posexplode("nodes").alias("seq", "u"))
     return rows.withColumn("v", F.lead("u").over(Window.partitionBy("id").orderBy("seq"))).where("v is not null").select("id", F.col("seq").cast("long").alias("seq"), "u", "v")
+
+
+def way_locations(lines: DataFrame) -> DataFrame:
+    """id, points (node, lon, lat) of way records whose node references carry places; one without a place fails the query."""
+    form = r"^n(-?\d+)x([^y]+)y(.+)$"
+    rows = lines.where("value rlike '^w'").select(F.substring(F.split("value", " ")[0], 2, 32).cast("long").alias("id"), F.regexp_extract("value", r" N(\S*)", 1).alias("n"))
+    part = lambda x, i: F.regexp_extract(x, form, i)
+    point = lambda x: F.struct(F.when(x.rlike(form), part(x, 1).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no place: "), x)).cast("long")).alias("node"), part(x, 2).cast("double").alias("lon"), part(x, 3).cast("double").alias("lat"))
+    return rows.select("id", F.transform(F.filter(F.split("n", ","), lambda x: x != ""), point).alias("points"))
+
+
+#: The character that begins each text of a GeoJSON sequence.
+SEPARATOR = "\x1e"
+
+
+def write_geojson_sequence(shapes: DataFrame, folder: str) -> None:
+    """shapes (id, coordinates of a polygon) as lines of features."""
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.col("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("id").alias("properties"), geometry.alias("geometry"))
+    shapes.select(F.concat(F.lit(SEPARATOR), F.to_json(feature)).alias("value")).write.mode("overwrite").text(folder)
+
+
+def read_geojson_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """id, coordinates of the polygons in a GeoJSON text sequence; a malformed text fails the scan."""
+    schema = "type string, properties struct<id: bigint>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    lines = spark.read.text(folder).select(F.ltrim(F.regexp_replace("value", SEPARATOR, "")).alias("value")).where("value <> ''")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("f")).select("f.properties.id", "f.geometry.coordinates")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, names: str = "*.parquet") -> DataFrame:
@@ -16,9 +20,59 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("visitor").agg(F.max("position").alias("last_position"), F.count("*").alias("events"))
 
 
-def admitted(events: DataFrame, per_visitor: int = 2) -> DataFrame:
-    """How many of a visitor's active jobs are let in."""
-    return events.groupBy("visitor").agg(F.least(F.count_if(F.col("status").isin("queued", "running")), F.lit(per_visitor)).alias("admitted"))
+def _admit(most: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        active = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values("position")
+        out = []
+        for position, status in zip(rows["position"], rows["status"], strict=True):
+            if status == "queued":
+                out.append((key[0], position, active < most))
+                active += active < most
+            elif status in ENDS:
+                active = max(0, active - 1)
+        state.update((int(active),))
+        yield pd.DataFrame(out, columns=["visitor", "position", "admitted"])
+
+    return run
+
+
+#: What takes a job out of a visitor's active ones.
+ENDS = ("completed", "cancelled", "failed", "interrupted")
+
+
+def admissions(events: DataFrame, per_visitor: int = 2) -> DataFrame:
+    """visitor, position, admitted of each submission: a visitor has so many active jobs at most, and finished ones leave."""
+    rows = events.select("visitor", "position", "status").groupBy("visitor")
+    return rows.applyInPandasWithState(_admit(per_visitor), "visitor long, position long, admitted boolean", "active int", "append", "NoTimeout")
+
+
+def _serve(millis: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        made = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for event, at in zip(rows["event_id"], rows["at"].astype("datetime64[ms]").astype("int64"), strict=True):
+            hit = made is not None and at - made < millis
+            made = made if hit else int(at)
+            out.append((key[0], event, hit))
+        state.update((made,))
+        yield pd.DataFrame(out, columns=["key", "event_id", "hit"])
+
+    return run
+
+
+def cached(requests: DataFrame, minutes: int = 30) -> DataFrame:
+    """key, event_id, hit of requests (key, event_id, at): an answer is kept for some minutes after it was made."""
+    return requests.groupBy("key").applyInPandasWithState(_serve(minutes * 60_000), "key long, event_id long, hit boolean", "made long", "append", "NoTimeout")
+
+
+def latest(events: DataFrame) -> DataFrame:
+    """The newest job of each visitor, whether it is active, and whether any was."""
+    live = F.col("status").isin("queued", "running")
+    newest = F.max_by(F.struct(F.col("position").alias("position"), live.alias("active")), "position")
+    rows = events.groupBy("visitor").agg(newest.alias("x"), F.max(live).alias("was_active"))
+    return rows.select("visitor", "x.position", "x.active", "was_active")
 
 
 def monthly_usage(events: DataFrame, most: int = 4500) -> DataFrame:
@@ -33,10 +87,18 @@ def tumbling(events: DataFrame, width: str = "1 day", late: str = "2 days") -> D
 
 
 def published(batches: DataFrame, target: str, checkpoint: str):
-    """Append each completed batch to a table exactly once: a batch's folder is named by its id and replaced on a retry."""
+    """Append each completed batch to a table exactly once: it is written to a hidden folder and then renamed to one named by
+    its id, which a retry replaces, so a reader never sees half a batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        jvm = batch.sparkSession.sparkContext._jvm
+        path = lambda text: jvm.org.apache.hadoop.fs.Path(text)
+        staging, final = path(f"{target}/_staging-{batch_id}"), path(f"{target}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(str(staging.toString()))
+        files = final.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        files.delete(final, True)
+        if not files.rename(staging, final):
+            raise OSError(f"{final.toString()} was not published")
 
     return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
@@ -49,3 +111,9 @@ def settled(stream: DataFrame, folder: str):
 
     stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/state")
+
+
+def appended(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of rows over all that is there now; its rows as a table."""
+    published(stream, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").select(*stream.columns)
