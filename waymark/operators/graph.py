@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that driver and executors share."""
+    """A new folder below the checkpoint folder that driver and executors share; one of our own only in a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return f"{folder}/waymark-{uuid.uuid4().hex}"
 
 

@@ -34,14 +34,22 @@ def on_edge(x: Column, y: Column) -> Column:
     return (F.abs(cross) <= TOLERANCE) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
 
 
-def points_in_areas(points: DataFrame, rings: DataFrame, *keys: str) -> DataFrame:
+def cells(low: str | Column, high: str | Column, cell: float) -> Column:
+    """Numbers of the grid cells from low to high."""
+    number = lambda x: F.floor((F.col(x) if isinstance(x, str) else x) / cell)
+    return F.sequence(number(low), number(high))
+
+
+def points_in_areas(points: DataFrame, rings: DataFrame, *keys: str, cell: float = 0.1) -> DataFrame:
     """keys, area for points (keys, lon, lat) in an outer ring and not strictly in a hole; edges, also of holes, are inside.
 
-    Points meet only areas whose box holds them; areas are few and drawn by hand (128 points a ring at most).
+    The grid cell is the join key; points then meet only areas whose box holds them.
     """
     edges = ring_edges(rings)
     box = edges.where("not hole").groupBy("area").agg(F.min("x1").alias("w"), F.max("x1").alias("e"), F.min("y1").alias("s"), F.max("y1").alias("n"))
-    near = points.join(box, (F.col("lon").between(F.col("w"), F.col("e"))) & (F.col("lat").between(F.col("s"), F.col("n"))))
+    box = box.withColumn("cx", F.explode(cells("w", "e", cell))).withColumn("cy", F.explode(cells("s", "n", cell)))
+    at = points.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
+    near = at.join(box, ["cx", "cy"]).where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))).drop("cx", "cy")
     x, y = F.col("lon"), F.col("lat")
     held = near.join(edges, "area").groupBy(*keys, "area", "ring", "hole").agg((F.sum(F.when(crossing(x, y), 1).otherwise(0)) % 2 == 1).alias("odd"), F.max(on_edge(x, y)).alias("on"))
     verdict = held.groupBy(*keys, "area").agg(F.max(~F.col("hole") & (F.col("odd") | F.col("on"))).alias("inside"), F.max(F.col("hole") & F.col("odd") & ~F.col("on")).alias("cut"))

@@ -517,9 +517,12 @@ def starts_in_area(s, d):
 @query("select a.area_id as a, b.area_id as b from net_section a join net_section b on a.area_id < b.area_id and a.west <= b.east and b.west <= a.east and a.south <= b.north and b.south <= a.north", "net_section")
 def bbox_overlap(s, d):
     x = net.sections(s, d)
-    a, b = (x.select(F.col("area_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("west", "south", "east", "north"))) for k in "ab")
-    box = lambda k: tuple(F.col(f"{c}_{k}") for c in ("west", "south", "east", "north"))
-    return a.join(b, (F.col("a") < F.col("b")) & spatial.boxes_overlap(box("a"), box("b"))).select("a", "b")
+    sides = ("west", "south", "east", "north")
+    # the grid cell is the join key; a pair that meets in several cells is one
+    held = x.withColumn("cx", F.explode(spatial.cells("west", "east", 0.1))).withColumn("cy", F.explode(spatial.cells("south", "north", 0.1)))
+    a, b = (held.select("cx", "cy", F.col("area_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in sides)) for k in "ab")
+    box = lambda k: tuple(F.col(f"{c}_{k}") for c in sides)
+    return a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & spatial.boxes_overlap(box("a"), box("b"))).select("a", "b").distinct()
 
 
 @query("select area_id, name from net_section where west <= -121.9 and east >= -121.95 and south <= 47.1 and north >= 47.05", "net_section")
