@@ -39,7 +39,7 @@ MU, GAMMA = 8.0, 0.3
 #: Buckets at most.
 BUCKETS = 1 << 16
 #: Bytes of text in a block: the smallest, and the largest that a worker holds at once.
-BLOCK, MOST = 8 << 20, 256 << 20
+BLOCK, MOST = 6 << 20, 256 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,13 +68,13 @@ class Grams:
         inner = np.ones(len(token), bool)
         inner[last] = False
         token[inner] = w.hashes()
-        train_token = np.repeat(train, self.n_tokens)
+        train_token = np.repeat(train.astype(bool), self.n_tokens)
         first = self.at[:-1]
         self.keys, self.where, self.counts, self.pads, self.token_of = [], [], [], [], []
         key = np.zeros(len(token), np.uint64)
         pad = np.zeros(1, np.uint64)
         depth = np.arange(len(token)) - np.repeat(first, self.n_tokens)
-        back = np.arange(len(token))
+        back = np.arange(len(token), dtype=np.int32)
         for k in range(order):
             # the key grows to the left by one word, or by a start sign before the text
             word = np.where(depth >= k, token[np.maximum(back - k, 0)], _START)
@@ -82,15 +82,15 @@ class Grams:
             pad = mix(pad * _K + _START)
             keys = np.append(key, pad) >> np.uint64(64 - (bits if k else 64))
             unique, where = np.unique(keys, return_inverse=True)
-            weight = np.append(train_token, 0).astype(float)
-            counts = np.bincount(where, weights=weight, minlength=len(unique)).astype(np.int64)
-            counts[where[-1]] += int(train.sum())
-            token_of = np.zeros(len(unique), np.int64)
-            token_of[where[:-1]] = back
+            where, pad_at = where[:-1].astype(np.int32), int(where[-1])
+            counts = np.bincount(where[train_token], minlength=len(unique))
+            counts[pad_at] += int(train.sum())
+            token_of = np.zeros(len(unique), np.int32)
+            token_of[where] = back
             self.keys.append(unique)
             self.counts.append(counts)
-            self.where.append(where[:-1])
-            self.pads.append(int(where[-1]))
+            self.where.append(where)
+            self.pads.append(pad_at)
             self.token_of.append(token_of)
 
     def context(self, k: int, tokens: np.ndarray) -> np.ndarray:
@@ -147,8 +147,9 @@ class Automaton:
             targets.append(target[some])
             lower = p
         arcs = np.concatenate(sources) * self.words + np.concatenate(labels)
+        del sources, labels, lower
         by = np.argsort(arcs, kind="stable")
-        self.arcs, self.weights, self.targets = arcs[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.arcs, self.weights, self.targets = arcs[by], np.concatenate(weights)[by], np.concatenate(targets)[by].astype(np.int32)
         self.start = int(base[order - 1] + grams.pads[order - 2]) if order > 1 and totals[order - 2][grams.pads[order - 2]] > 0 else 0
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +241,9 @@ def _scores(buckets: int, order: int, bits: int, mu: float):
         totals = [np.concatenate([from_planes(x, n) for x, n, b in zip(bodies, sizes, bucket, strict=True) if b // buckets == k]).astype(np.int64) for k in range(order)]
         one = np.array(bucket) < buckets
         v, n = (int(answers.column(c).to_numpy()[one].sum()) for c in ("v", "tokens"))
+        del answers, bodies
         grams = Grams(texts.column("text").combine_chunks(), texts.column("train").to_numpy(), order, bits)
+        grams.keys = grams.counts = []  # the totals stand for them
         known, base, score = walk(grams, totals, n, v, mu)
         rows = len(texts)
         mean, gain = score / grams.n_tokens, (score - base) / grams.n_tokens
