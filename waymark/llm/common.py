@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -34,10 +35,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; one of our own only in a local session without it (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
@@ -88,6 +92,23 @@ def in_bloom(sieve: np.ndarray, value: bytes) -> bool:
     return all(sieve[b >> 3] >> (b & 7) & 1 for b in bloom_bits(value, 8 * len(sieve)))
 
 
+def _sift(sieve: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("sift").to_pylist()
+            yield batch.filter(pa.array([x is not None and in_bloom(sieve, x) for x in ids], pa.bool_())).drop_columns(["sift"])
+
+    return run
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs joined with ids (id_col and others). Only rows that a Bloom filter of the ids lets pass are shuffled."""
+    as_bytes = F.col(id_col).cast("string").cast("binary")
+    sieve = bloom(ids.select(as_bytes))
+    near = docs.withColumn("sift", as_bytes).mapInArrow(_sift(sieve), docs.schema)
+    return near.join(ids.hint("merge"), id_col)
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts

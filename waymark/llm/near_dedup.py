@@ -24,7 +24,8 @@ With J >= 0.8 a pair has 25.6 collisions of 32 on average; fewer than 15 has a c
 
 Null text, and text without words, has an empty set and is linked with nothing. With fewer words than
 a shingle has, the whole sequence is its one shingle. Rows with a null id are compared like others;
-component_id is the smallest id reachable, null if there is none. Repeated rows are of one class. Ids are integers, texts
+component_id is the smallest id reachable, null if there is none. Repeated rows are of one class; rows of one id with
+different texts are compared like those of different ids. Ids are integers, texts
 are of any length, an empty table gives no rows, and other columns, whatever their names, are not looked at; those named in
 `carry` are given back. A Bloom filter, sized by the number of sets to compare, sifts texts before the second pass is shuffled.
 """
@@ -150,9 +151,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     rows = stored(docs.mapInArrow(_signed(shingle, ["doc_id", *carried]), f"{schema}, n long, set_id binary, sig array<long>"), "signatures")
     classes = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    node = F.coalesce("head", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_id"), 2))
     step = F.log(F.lit(100 / similar))
-    classes = stored(classes.select("set_id", node.alias("node"), "n", F.floor(F.log(F.col("n")) / step).cast("int").alias("size"), "sig"), "classes")
+    classes = stored(classes.select("set_id", "head", "n", F.floor(F.log(F.col("n")) / step).cast("int").alias("size"), "sig"), "classes")
+    # an id that stands on rows with different sets names no class; these classes are numbered like those without an id
+    many = stored(classes.where("head is not null").groupBy("head").agg(F.count("*").alias("c")).where("c > 1").select("head", F.lit(True).alias("many")), "repeated")
+    repeated = not many.isEmpty()
+    number = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_id"), 2)
+    if repeated:
+        classes = stored(classes.join(many, "head", "left").withColumn("node", F.when(F.col("many"), number).otherwise(F.coalesce("head", number))).drop("many"), "classes")
+    else:
+        classes = classes.withColumn("node", F.coalesce("head", number))
 
     # postings of each node, rarest first, cut to the prefix
     posts = classes.select("node", "n", "size", F.explode("sig").alias("key"))
@@ -223,9 +231,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, similar: int = SIMILAR, id_co
     more = stored(confirmed(cross.join(stars, ["a", "b"], "left_anti")), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = classes.select("set_id", "node").join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    named = classes.select("set_id", "head", "node").join(found, "node", "left").select("set_id", "head", F.coalesce("component", "node").alias("component"))
+    if repeated:
+        least = named.groupBy("component").agg(F.min("head").alias("component_id"))
+        named = named.drop("head").join(least, "component")
+    else:
+        named = named.drop("head").withColumn("component_id", F.when(F.col("component") < NO_ID, F.col("component")))
     rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id", *carried)
-    linked = rows.where("n_shingles > 0").join(named, "set_id").drop("set_id").withColumn("component_id", F.when(F.col("component") < NO_ID, F.col("component")))
+    linked = rows.where("n_shingles > 0").join(named, "set_id").drop("set_id")
     alone = rows.where("n_shingles = 0").drop("set_id").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
-    every = linked.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
+    every = linked.select(*alone.columns).unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
     return every.select("doc_id", "n_shingles", "component_id", "kept", "component", *(F.col(f"own_{c}").alias(c) for c in carry))

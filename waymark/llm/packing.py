@@ -19,6 +19,7 @@ Null text is empty and packs as its end id alone. Repeated rows and null ids are
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -82,6 +83,11 @@ def pieces(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return low, start, np.minimum(np.append(start[1:], len(d)), w.end[word]), whole[word]
 
 
+#: The normaliser and the split that `pieces` does by itself. Of any other tokenizer whole texts are encoded.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
 class WordIds:
     """ids of Arrow texts: each unique piece of a batch's words is merged once, and remembered."""
 
@@ -91,6 +97,8 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.merge = self.tokenizer.model.tokenize
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_pieces = spec["normalizer"] == _NORMAL and (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] == _SPLIT
 
     def piece(self, body: bytes, whole: bool) -> bytes:
         """ids of a piece, as unsigned 32-bit numbers."""
@@ -104,6 +112,8 @@ class WordIds:
         return found
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        if not self.by_pieces:
+            return [np.array([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, END], "<u4") for t in texts.to_pylist()]
         w = words(texts)
         low, start, end, whole = pieces(w)
         _, first, where = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
