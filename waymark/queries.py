@@ -448,7 +448,7 @@ def trail_high_point(s, d):
     return profile.climbs(_samples(s, d)).select("section_id", "trail", "peak")
 
 
-@query(_sample_sql("""select section_id, trail, round(h0 + (h1 - h0) * (mid - d0) / (d1 - d0), 6) as height from (select *, row_number() over (partition by section_id, trail order by seq) as pl from
+@query(_sample_sql("""select section_id, trail, round(case when mid = d1 then h1 else h0 + (h1 - h0) * (mid - d0) / (d1 - d0) end, 6) as height from (select *, row_number() over (partition by section_id, trail order by seq) as pl from
  (select x.*, t.dist / 2 as mid from (select section_id, trail, seq, lag(d) over w as d0, lag(h) over w as h0, d as d1, h as h1 from sample window w as (partition by section_id, trail order by seq)) x join net_trail t using (section_id, trail)) where d1 > d0 and mid >= d0 and mid <= d1) where pl = 1"""))
 def interpolate_at(s, d):
     places = net.trails(s, d).select("section_id", "trail", (F.col("dist") / 2).alias("at"))
