@@ -6,10 +6,11 @@ the mean, over its trigrams, of log(target / raw): length-normalised. One thresh
 applied first. The log ratios are whole numbers of 2^-20, so a score does not depend on the texts beside it.
 
 Labelled rows fall into two halves by crc32 of the id: all trusted rows of one half make the target, all labelled rows
-of the other half set the threshold, from a histogram of their scores. Labels meet documents in a join on the id.
+of the other half set the threshold, from a histogram of their scores. Labels meet documents in a join
+on the id, behind a Bloom filter of the ids, so that only labelled texts are shuffled.
 
-Null text has no words and fails the base rules, so it is not kept. Without trusted rows the score is 0
-and the base rules alone decide. Repeated labels count once, a row with both labels as untrusted; labels with
+Null text has no words and fails the base rules, so it is not kept. Without trusted rows the score is 0, and without
+trusted and untrusted rows in the other half there is no threshold: then the base rules alone decide. Repeated labels count once, a row with both labels as untrusted; labels with
 null in id or quality are left out. Null ids are scored like others but never trusted. Repeated rows are judged one by one,
 a text of any length in one piece; an empty table gives no rows. Other columns are not looked at, whatever their names.
 """
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fold, small_batches, stored
+from .common import by_bytes, fold, small_batches, stored, with_ids
 from .tokens import SPACE, flat, mix, windows, words
 
-BUCKETS, BINS, UNIT = 1 << 15, 2000, 1 << 20
+BUCKETS, ROW, BINS, UNIT = 1 << 15, 512, 2000, 1 << 20
 #: What rejecting a trusted document costs, as a multiple of keeping an untrusted one.
 COST = 20
 #: The rules that are applied first.
@@ -55,15 +56,18 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Counts of a task's trigrams, a row for each `ROW` buckets."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in by_bytes(batches):
-        data, at = flat(batch.column("text"))
-        bucket, within = grams(data, at)
-        raw += np.bincount(bucket[within], minlength=BUCKETS)
-        chosen = np.repeat(batch.column("target").to_numpy(zero_copy_only=False), np.diff(at))[: len(bucket)]
-        target += np.bincount(bucket[within & chosen], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
+        bucket, within = grams(*flat(batch.column("text")))
+        total += np.bincount(bucket[within], minlength=BUCKETS)
+    some = np.flatnonzero(total.reshape(-1, ROW).any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total.reshape(-1, ROW)[some]), pa.list_(pa.int64()))], ["row", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    counts = sum(np.asarray(chunk.flatten()).reshape(-1, ROW).sum(0) for chunk in table.column("counts").chunks if len(chunk))
+    return pa.table({"row": table.column("row")[:1], "counts": pa.array([counts], pa.list_(pa.int64()))})
 
 
 def dup_lines(text: bytes) -> int:
@@ -116,19 +120,26 @@ def _scored(ratio: np.ndarray | None, names: list[str], text_col: str, floor: fl
     return run
 
 
-def marked(docs: DataFrame, labels: DataFrame, how: str) -> DataFrame:
-    """docs (doc_id, text) with good (quality 1 and no other label) and half (0 sets the target, 1 the threshold)."""
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id, good (quality 1 and no other label), half (0 sets the target, 1 the threshold)."""
     by_id = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    return docs.join(by_id.withColumn("half", fold("doc_id", 2)), "doc_id", how)
+    return stored(by_id.withColumn("half", fold("doc_id", 2)), "marks")
+
+
+def trigrams(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in a column of texts."""
+    schema = "row int, counts array<long>"
+    found = texts.toDF("text").mapInArrow(_counted, schema).groupBy("row").applyInArrow(_summed, schema).collect()  # BUCKETS / ROW rows at most
+    out = np.zeros((BUCKETS // ROW, ROW))
+    for r in found:
+        out[r.row] = r.counts
+    return out.reshape(-1)
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
+def log_ratio(docs: DataFrame, marks: DataFrame) -> np.ndarray | None:
     """log(target / raw) of each bucket in units of 1 / UNIT; None without trusted documents."""
-    rows = marked(docs, labels, "left").select("text", F.coalesce(F.col("good") & (F.col("half") == 0), F.lit(False)).alias("target"))
-    counts = rows.mapInArrow(_counted, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts:
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+    raw = trigrams(docs.select("text"))
+    target = trigrams(with_ids(docs, marks.where("good and half = 0").select("doc_id")).select("text"))
     if not target.sum():
         return None
     smooth = 1.0
@@ -136,9 +147,9 @@ def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     return np.round(ratio * UNIT).astype(np.int64)
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray) -> float:
+def threshold(docs: DataFrame, marks: DataFrame, ratio: np.ndarray) -> float:
     """The score below which documents go: the one of least cost on the labelled rows that pass the base rules."""
-    rows = marked(docs, labels, "inner").where("half = 1").select("text", "good")
+    rows = with_ids(docs, marks.where("half = 1").select("doc_id", "good")).select("text", "good")
     rows = stored(rows.mapInArrow(_scored(ratio, ["good"], "text"), f"good boolean, {_RULE}").where(f"not ({BASE})").select("good", "score"), "scores")
     spread = rows.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
     if spread.low is None or spread.low == spread.high:
@@ -147,6 +158,8 @@ def threshold(docs: DataFrame, labels: DataFrame, ratio: np.ndarray) -> float:
     table = np.zeros((2, BINS + 1))
     for r in rows.groupBy("good", F.floor((F.col("score") - spread.low) / width).alias("bin")).count().collect():  # 2 * BINS rows at most
         table[int(r.good), min(r.bin, BINS)] += r["count"]
+    if not table[0].sum() or not table[1].sum():
+        return -np.inf  # nothing to tell apart
     lost = np.concatenate([[0], np.cumsum(table[1])]) / max(1, table[1].sum())
     stay = 1 - np.concatenate([[0], np.cumsum(table[0])]) / max(1, table[0].sum())
     cost = COST * lost + stay
@@ -158,8 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple
     """The log ratios and the threshold."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ratio = log_ratio(own, labels)
-    return ratio, -np.inf if ratio is None else threshold(own, labels, ratio)
+    marks = marked(labels)
+    ratio = log_ratio(own, marks)
+    return ratio, -np.inf if ratio is None else threshold(own, marks, ratio)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
