@@ -193,7 +193,8 @@ def _ctes() -> dict[str, str]:
 
 
 def sql(names: str, body: str) -> str:
-    return "with recursive " + ",\n".join(_ctes()[n] for n in names.split()) + "\n" + body
+    ctes = ",\n".join(_ctes()[n].replace(f"{n} as (", f"{n} as materialized (") for n in names.split())
+    return "with recursive " + ctes + "\n" + body
 
 
 _SEG = "way nd rule gate pr cut keyed seg"
@@ -306,10 +307,12 @@ def corridors_with_anchors(s, d):
     return _corridors(s, d)[1]
 
 
-@query(sql(f"{_CHAIN} tip", """, tot as (select c.section_id, c.corridor, sum(s.metres) as metres, bool_or(s.connector) as connector from chain c join seg s on s.section_id = c.section_id and s.a = c.a and s.b = c.b group by all),
-ids as (select section_id, key, dense_rank() over (partition by section_id order by key) - 1 as id from (select section_id, one as key from tip union select section_id, two from tip)),
-e as (select section_id, corridor, one as f, two as t, false as reverse, out as access from tip where out < 2 union all select section_id, corridor, two, one, true, back from tip where back < 2)
-select e.section_id, e.corridor, x.id as f, y.id as t, reverse, access, round(metres, 3) as metres, connector from e join tot using (section_id, corridor) join ids x on x.section_id = e.section_id and x.key = e.f join ids y on y.section_id = e.section_id and y.key = e.t"""))
+@query(sql(f"{_CHAIN} tip", """, tot as materialized (select c.section_id, c.corridor, sum(s.metres) as metres, bool_or(s.connector) as connector from chain c join seg s on s.section_id = c.section_id and s.a = c.a and s.b = c.b group by all),
+ids as materialized (select section_id, key, dense_rank() over (partition by section_id order by key) - 1 as id from (select section_id, one as key from tip union select section_id, two from tip)),
+e as materialized (select section_id, corridor, one as f, two as t, false as reverse, out as access from tip where out < 2 union all select section_id, corridor, two, one, true, back from tip where back < 2),
+ex as materialized (select e.*, x.id as fid from e join ids x on x.section_id = e.section_id and x.key = e.f),
+ey as materialized (select ex.*, y.id as tid from ex join ids y on y.section_id = ex.section_id and y.key = ex.t)
+select section_id, corridor, fid as f, tid as t, reverse, access, round(metres, 3) as metres, connector from ey join tot using (section_id, corridor)"""))
 def assembled_edges(s, d):
     """Dense node ids by section, and an edge for each direction of a corridor that may be walked."""
     stops, chains = _corridors(s, d)
