@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, lm, mixing, near_dedup, packing, pii, quality, sharding, toxicity
+from . import centroids, exact_dedup, filter_audit, language, lm, mixing, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
 from .common import documents, labels
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), shingle=4)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_scoring, op2_toxicity, op3_packing, op4_sharding, op5_language, op6_mixing, op7_quality, op8_pii, op9_exact_dedup, op10_near_dedup, pipeline)
+    found = (op1_lm_scoring, op2_toxicity, op3_packing, op4_sharding, op5_language, op6_mixing, op7_quality, op8_pii, op9_exact_dedup, op10_near_dedup, op11_filter_audit, op12_centroids, op13_token_counts, pipeline)
     return {f.__name__: f for f in found}
 
 
@@ -116,7 +128,44 @@ union all select doc_id, size, source_size, target, cast(0 as bigint), null from
 """
 
 
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select row, vec_id, v, arg_min(cluster, (d, cluster)) as cluster, min(d) as distance from (select row, vec_id, v, cluster, {far} as d from kept, c{r}) group by all)")
+        if r < rounds:
+            steps.append(
+                f"s{r} as (select cluster, i, sum(x) as s, count(*) as n from (select cluster, unnest(v) as x, unnest(range(1, 65)) as i from a{r}) group by all), "
+                f"m{r} as (select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from s{r} group by cluster), "
+                f"c{r + 1} as materialized (select cluster, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (cluster))"
+            )
+    return f"""
+with sound as (select row_number() over () as row, vec_id, embedding from embeddings where len(embedding) = 64
+ and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x) or abs(cast(x as double) * 1024) >= 134217728)) = 0),
+kept as materialized (select row, vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as v from sound),
+c0 as materialized (select cast(row_number() over (order by sha256('3:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as integer) as cluster, v as c from kept qualify cluster < {k}),
+{", ".join(steps)},
+t as (select cluster, cast(sum(distance) as bigint) as cluster_inertia from a{rounds} group by cluster)
+select vec_id, cluster, cast(distance as bigint) as distance, cluster_inertia, (select cast(sum(cluster_inertia) as bigint) from t) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join t using (cluster) join c{rounds} using (cluster)
+"""
+
+
 SQL = {
+    "op11_filter_audit": r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+f as (select t.doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text), regexp_matches(text, '[#$%&*|]'),
+ coalesce(t.doc_id > min(t.doc_id) over (partition by text), false)] as fails, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as bad
+ from t left join labels using (doc_id)),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, instr('ABCDE', filter_order[step]) as here, [instr('ABCDE', filter_order[i]) for i in range(1, step)] as earlier from o, (select cast(unnest(range(1, 6)) as integer) as step)),
+r as (select part, filter_order, step, here, fails, good, bad, fails[here] as failing, len([i for i in earlier if fails[i]]) > 0 as gone from f, s),
+n as (select part, filter_order, step, here, count(*) filter (not failing and not gone) as kept, count(*) filter (failing and not gone) as removed, count(*) filter (failing and gone) as redundant,
+ count(*) filter (failing and len([y for y in fails if y]) = 1) as unique_fails, count(*) filter (failing and not gone and good) as good_lost, count(*) filter (failing and not gone and bad) as toxic_lost from r group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, here) as bigint) as shapley from n
+""",
+    "op12_centroids": _centroid_sql(),
     "op9_exact_dedup": r"""
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by text_sha256)
