@@ -53,7 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(documents(spark, sf_dir), shingle=4)
+    return near_dedup.near_groups(documents(spark, sf_dir), shingle=4).drop("component")
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
