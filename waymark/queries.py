@@ -821,8 +821,8 @@ def stream_quota(s, d):
 
 
 @query(_sample_sql("""select t.section_id, t.trail, round(100 * (h_hi - h_lo) / (hi - lo), 6) + case when exists (select 1 from sample x where x.section_id = t.section_id and x.trail = t.trail and x.h is null and x.d between t.lo and t.hi) then null else 0 end as grade from (select section_id, trail, dist, greatest(dist / 2 - 50, 0) as lo, least(dist / 2 + 50, dist) as hi from net_trail) t
- join lateral (select h0 + (h1 - h0) * (t.lo - d0) / (d1 - d0) as h_lo from iv where iv.section_id = t.section_id and iv.trail = t.trail and t.lo between d0 and d1 order by seq limit 1) a on true
- join lateral (select h0 + (h1 - h0) * (t.hi - d0) / (d1 - d0) as h_hi from iv where iv.section_id = t.section_id and iv.trail = t.trail and t.hi between d0 and d1 order by seq limit 1) b on true""").replace("select t.section_id, t.trail, round(100", ", iv as (select * from (select section_id, trail, seq, lag(d) over w as d0, lag(h) over w as h0, d as d1, h as h1 from sample window w as (partition by section_id, trail order by seq)) where d1 > d0) select t.section_id, t.trail, round(100"))
+ join lateral (select case when t.lo = d1 then h1 when t.lo = d0 then h0 else h0 + (h1 - h0) * (t.lo - d0) / (d1 - d0) end as h_lo from iv where iv.section_id = t.section_id and iv.trail = t.trail and t.lo between d0 and d1 order by seq limit 1) a on true
+ join lateral (select case when t.hi = d1 then h1 when t.hi = d0 then h0 else h0 + (h1 - h0) * (t.hi - d0) / (d1 - d0) end as h_hi from iv where iv.section_id = t.section_id and iv.trail = t.trail and t.hi between d0 and d1 order by seq limit 1) b on true""").replace("select t.section_id, t.trail, round(100", ", iv as (select * from (select section_id, trail, seq, lag(d) over w as d0, lag(h) over w as h0, d as d1, h as h1 from sample window w as (partition by section_id, trail order by seq)) where d1 > d0) select t.section_id, t.trail, round(100"))
 def grade_at(s, d):
     """Per cent over 100 m around the middle of each trail, clipped at its ends; null with an unknown height."""
     t = net.trails(s, d)
