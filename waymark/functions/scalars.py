@@ -29,14 +29,15 @@ def times32(a: Column, b: int) -> Column:
     return (F.floor(a / low) * b % low * low + a % low * b) % F.lit(1 << 32)
 
 
-def jitter(identity: str | Column, number: int) -> Column:
-    """A fixed factor of 0.8 to 1.2 for a trail in a search pass; 1 in pass 0."""
-    if number == 0:
-        return F.lit(1.0)
+def jitter(identity: str | Column, number: int | Column) -> Column:
+    """A fixed factor of 0.8 to 1.2 for a trail in a search pass (a number, or a column of them); 1 in pass 0."""
     identity = F.col(identity) if isinstance(identity, str) else identity
-    value = times32(identity.bitwiseXOR(F.lit(number * 0x9E3779B9 % (1 << 32)).cast("long")), 0x85EBCA6B)
+    number = F.lit(number) if isinstance(number, int) else number
+    key = times32(number.cast("long"), 0x9E3779B9)
+    value = times32(identity.bitwiseXOR(key), 0x85EBCA6B)
     value = times32(value.bitwiseXOR(F.floor(value / 65536)), 0xC2B2AE35)
-    return F.lit(0.8) + value.bitwiseXOR(F.floor(value / 65536)) / F.lit(float(1 << 32)) * F.lit(0.4)
+    spread = F.lit(0.8) + value.bitwiseXOR(F.floor(value / 65536)) / F.lit(float(1 << 32)) * F.lit(0.4)
+    return F.when(number == 0, F.lit(1.0)).otherwise(spread)
 
 
 def plain_number(x: str | Column) -> Column:

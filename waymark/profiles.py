@@ -216,3 +216,6 @@ def job_queue_position(s, d):
 
 
 SQL["job_queue_position"] = net.with_cte("job", SQL["job_queue_position"])
+
+
+from . import discovered  # noqa: E402, F401  it registers more queries
