@@ -147,6 +147,8 @@ def test_corridors_end_at_anchors_and_rings_have_none(spark):
     found = {(r.a, r.b): (r.corridor, r.ring) for r in topology.corridors(segs, stops).collect()}
     assert found["n1", "n2"] == found["n2", "n3"] == ("n1|n2", False) and found["n3", "n4"][0] != found["n3", "n5"][0]
     assert {found[k] for k in (("n7", "n8"), ("n8", "n9"), ("n7", "n9"))} == {("n7|n8", True)}
+    edges = {(r.corridor, r.f, r.t, r.reverse, r.metres) for r in topology.assembled(segs, stops, topology.corridors(segs, stops)).collect()}
+    assert {e for e in edges if e[0] == "n7|n8"} == {("n7|n8", 4, 4, False, 3.0), ("n7|n8", 4, 4, True, 3.0)} and len(edges) == 8
 
 
 def _profile(spark, points):

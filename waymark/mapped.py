@@ -7,8 +7,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import network as net
+from .operators import walks
+from .plans import compiled
 from .plans import tags as rules
 from .plans import topology
+from .queries import WALK as _walks_sql
 from .registry import once, query
 
 #: The footprint of every section, a convex ring that some ways cross.
@@ -111,27 +115,27 @@ def _is(value: str, names: tuple[str, ...]) -> str:
     return f"coalesce({value} in ({', '.join(map(repr, names))}), false)"
 
 
-def _permission(pick: dict, side: str | None = None, modes: tuple[str, ...] = ("foot", "access")) -> str:
-    keys = [k for m in modes for k in ((f"{m}:{side}", m) if side else (m,))]
-    arms = []
-    for i, k in enumerate(keys):
-        conditional = " or ".join(f"{_tag(pick, c + ':conditional')} is not null" for c in keys[: i + 1])
-        v = _tag(pick, k)
-        arms.append(f"when {v} is not null then case when {_is(v, rules.DENIED)} then 2 when {_is(v, rules.PUBLIC)} and not ({conditional}) then 0 else 1 end")
-    return f"case {' '.join(arms)} else 1 end"
+def _permission(pick: dict, side: str | None = None, who: dict = rules.WALKER) -> str:
+    values = ", ".join(_tag(pick, k) for k in who[side])
+    doubts = ", ".join(f"{_tag(pick, f'{k}:conditional')} is not null" for k in who[side])
+    first = f"list_position(list_transform([{values}], lambda v: v is not null), true)"
+    value = f"coalesce({values})"
+    return f"(case when {_is(value, rules.DENIED)} then 2 when {_is(value, rules.PUBLIC)} and not list_contains(list_slice([{doubts}], 1, {first}), true) then 0 else 1 end)"
 
 
 def _direction(side: str) -> str:
     t = lambda k: _tag(_PICK, k)
-    banned = ("-1",) if side == "forward" else ("yes", "1")
-    state = f"case when ({_is(t('highway'), ('motorway', 'motorway_link'))} or {_is(t('motorroad'), ('yes',))}) and not {_is(f'coalesce({t("foot:" + side)}, {t("foot")})', rules.PUBLIC)} then 2 when {_is(t('oneway:foot'), banned)} then 2 else {_permission(_PICK, side)} end"
-    unsure = f"({_is(t('oneway:foot'), ('reversible', 'alternating'))} or ({_is(t('highway'), rules.PATHS)} and {t('oneway:foot')} is null and {_is(t('oneway'), ('reversible', 'alternating', *banned))}))"
-    return f"(case when {unsure} and ({state}) = 0 then 1 else {state} end)"
+    motor = f"({_is(t('highway'), ('motorway', 'motorway_link'))} or {_is(t('motorroad'), ('yes',))})"
+    invited = f"coalesce({t('foot:' + side)}, {t('foot')})"
+    shut = f"({motor} and not {_is(invited, rules.PUBLIC)}) or {_is(t('oneway:foot'), rules.OPPOSED[side])}"
+    general = _is(t("oneway"), rules.CHANGING + rules.OPPOSED[side])
+    doubted = f"{_is(t('oneway:foot'), rules.CHANGING)} or ({general} and {t('oneway:foot')} is null and {_is(t('highway'), rules.PATHS)})"
+    return f"greatest({_permission(_PICK, side)}, case when {shut} then 2 when {doubted} then 1 else 0 end)"
 
 
 _ROUTABLE = f"(not {_is(_tag(_PICK, 'disused'), ('yes', '1', 'true'))} and not {_is(_tag(_PICK, 'area'), ('yes',))} and {_is(_tag(_PICK, 'highway'), rules.PATHS + rules.ROADS)})"
 _CONNECTOR = f"({_is(_tag(_PICK, 'highway'), rules.ROADS)} or {_is(_tag(_PICK, 'footway'), ('sidewalk', 'crossing'))})"
-_DRIVABLE = f"({_is(_tag(_PICK, 'highway'), rules.ROADS)} and {_ROUTABLE} and least({_permission(_PICK, 'forward', rules.VEHICLES)}, {_permission(_PICK, 'backward', rules.VEHICLES)}) < 2)"
+_DRIVABLE = f"({_is(_tag(_PICK, 'highway'), rules.ROADS)} and {_ROUTABLE} and least({_permission(_PICK, 'forward', rules.DRIVER)}, {_permission(_PICK, 'backward', rules.DRIVER)}) < 2)"
 _N = lambda k: _tag(_NODE_PICK, k)
 _CROSSING = f"case when {_N('barrier')} is null and ({_is(_N('amenity'), ('parking',))} or {_is(_N('tourism'), ('information',))} or ({_N('foot')} is null and {_N('access')} is null)) then 0 when {_is(_N('barrier'), rules.SOLID)} and ({_permission(_NODE_PICK)}) <> 0 then 2 else {_permission(_NODE_PICK)} end"
 _EXPLICIT = f"coalesce({', '.join(_N(k) for k in rules.VEHICLES)})"
@@ -167,7 +171,7 @@ def _ctes() -> dict[str, str]:
         "way": f"way as (select *, case when odd = 0 then [s, s + 1, s + 2, s + 3, s + 4, s + 5, s + 6, s + 7, s + 8] else [s + 1, s, s + 40, s + 80] end as nodes from ({_BASE}))",
         "nd": f"nd as (select *, {_AT}, {_NODE_COLUMNS} from (select section_id, unnest(range(0, {NODES})) as node from (select distinct cast(floor(p_partkey / 1000) as bigint) as section_id from part)))",
         "rule": f"rule as (select section_id, id, nodes, {_ROUTABLE} as routable, {_direction('forward')} as along, {_direction('backward')} as against, {_CONNECTOR} as connector, {_DRIVABLE} as drivable, {_is('t_highway', public)} as public, t_name as name, not {_is('t_surface', rules.PAVED)} as bare, {_is('t_highway', ('track',))} as track, t_highway as highway from way)",
-        "gate": f"gate as (select section_id, node, lon, lat, {_CROSSING} as pass, {_STOPS} as stops, {_KIND} as kind, t_barrier as barrier, {_permission(_NODE_PICK)} as walk, {_permission(_NODE_PICK, None, rules.VEHICLES)} as drive, t_name as name, not ({_covers_sql('lon', 'lat')}) as outside from nd)",
+        "gate": f"gate as (select section_id, node, lon, lat, {_CROSSING} as pass, {_STOPS} as stops, {_KIND} as kind, t_barrier as barrier, {_permission(_NODE_PICK)} as walk, {_permission(_NODE_PICK, None, rules.DRIVER)} as drive, t_name as name, not ({_covers_sql('lon', 'lat')}) as outside from nd)",
         "pr": "pr as (select *, nodes[i] as l, nodes[i + 1] as r, least(nodes[i], nodes[i + 1]) as u, greatest(nodes[i], nodes[i + 1]) as v from (select *, unnest(range(1, len(nodes))) as i from rule))",
         "cut": f"cut as (select *, {low} as low, {high} as high from (select p.*, x.lon as ux, x.lat as uy, x.pass as upass, y.lon as vx, y.lat as vy, y.pass as vpass from pr p join gate x on x.section_id = p.section_id and x.node = u join gate y on y.section_id = p.section_id and y.node = v where routable and u <> v))",
         "keyed": f"keyed as (select *, case when low = 0 then 'n' || u else 'frontier:n' || u || ':n' || v || ':' || cast(floor(low * 1e9 + 0.5) as bigint) end as ku, case when high = 1 then 'n' || v else 'frontier:n' || u || ':n' || v || ':' || cast(floor(high * 1e9 + 0.5) as bigint) end as kv, {hav(part('x', 'low'), part('y', 'low'), part('x', 'high'), part('y', 'high'))} as metres, greatest(case when low = 0 then upass else 0 end, case when high = 1 then vpass else 0 end) as gated from cut where low < high)",
@@ -188,7 +192,8 @@ def _ctes() -> dict[str, str]:
         "side": "side as (select section_id, a as key, a, b, forward as out, backward as back, connector, a || '|' || b as text from seg union all select section_id, b, a, b, backward, forward, connector, a || '|' || b from seg)",
         "anchor": "anchor as (select q.section_id, q.key from (select section_id, key, count(*) as n, count(distinct connector) as roads, min(out * 3 + back) as x, max(out * 3 + back) as y from side group by all) q where n <> 2 or roads > 1 or x // 3 <> y % 3 or x % 3 <> y // 3 or key like 'frontier%' or exists (select 1 from gate g where g.section_id = q.section_id and 'n' || g.node = q.key and g.barrier is not null) or exists (select 1 from entrance e where e.section_id = q.section_id and 'n' || e.node = q.key))",
         "chain": "thru as (select s.section_id, min(text) as x, max(text) as y from side s left join anchor n on n.section_id = s.section_id and n.key = s.key where n.key is null group by s.section_id, s.key having min(text) <> max(text)), lab(section_id, text, c) as (select section_id, x, x from thru union select section_id, y, x from thru union select t.section_id, case when t.x = l.text then t.y else t.x end, l.c from lab l join thru t on t.section_id = l.section_id and (t.x = l.text or t.y = l.text)), chain as (select s.section_id, s.a, s.b, s.a || '|' || s.b as text, coalesce(l.c, s.a || '|' || s.b) as corridor from seg s left join (select section_id, text, min(c) as c from lab group by all) l on l.section_id = s.section_id and l.text = s.a || '|' || s.b)",
-        "tip": "tip as (select s.section_id, c.corridor, min(s.key) as one, max(s.key) as two, min_by(s.out, s.key || '|' || s.text) as out, min_by(s.back, s.key || '|' || s.text) as back from side s join anchor n on n.section_id = s.section_id and n.key = s.key join chain c on c.section_id = s.section_id and c.text = s.text group by all)",
+        "stop": "stop as (select section_id, key from anchor union all select section_id, min(key) from (select c.section_id, c.corridor, unnest([c.a, c.b]) as key from chain c where not exists (select 1 from chain x join anchor n on n.section_id = x.section_id and (n.key = x.a or n.key = x.b) where x.section_id = c.section_id and x.corridor = c.corridor)) group by section_id, corridor)",
+        "tip": "tip as (select s.section_id, c.corridor, min(s.key) as one, max(s.key) as two, min_by(s.out, s.key || '|' || s.text) as out, min_by(s.back, s.key || '|' || s.text) as back from side s join stop n on n.section_id = s.section_id and n.key = s.key join chain c on c.section_id = s.section_id and c.text = s.text group by all)",
     }
 
 
@@ -307,7 +312,7 @@ def corridors_with_anchors(s, d):
     return _corridors(s, d)[1]
 
 
-@query(sql(f"{_CHAIN} tip", """, tot as materialized (select c.section_id, c.corridor, sum(s.metres) as metres, bool_or(s.connector) as connector from chain c join seg s on s.section_id = c.section_id and s.a = c.a and s.b = c.b group by all),
+@query(sql(f"{_CHAIN} stop tip", """, tot as materialized (select c.section_id, c.corridor, sum(s.metres) as metres, bool_or(s.connector) as connector from chain c join seg s on s.section_id = c.section_id and s.a = c.a and s.b = c.b group by all),
 ids as materialized (select section_id, key, dense_rank() over (partition by section_id order by key) - 1 as id from (select section_id, one as key from tip union select section_id, two from tip)),
 e as materialized (select section_id, corridor, one as f, two as t, false as reverse, out as access from tip where out < 2 union all select section_id, corridor, two, one, true, back from tip where back < 2),
 ex as materialized (select e.*, x.id as fid from e join ids x on x.section_id = e.section_id and x.key = e.f),
@@ -348,3 +353,74 @@ def developed_walkways(s, d):
     """Walkways mostly inside developed land count as road."""
     rows = topology.developed(ways(s, d), nodes(s, d), _boxes(s, d))
     return rows.select("section_id", "id", F.round("inside", 9).alias("inside"), F.round("length", 9).alias("length"), "developed")
+
+
+# --- compiled sections
+
+
+_GRID = 225.0
+
+
+def _compiled(s, d):
+    def make():
+        segs = _segments(s, d)
+        stops, chains = _corridors(s, d)
+        order = compiled.traversed(segs, compiled.every_stop(stops, chains), chains)
+        ends = segs.select("section_id", F.explode(F.array("a", "b")).alias("key")).distinct()
+        points = compiled.densified(segs, compiled.places(ends, nodes(s, d)))
+        up = compiled.climbs(points, net.pixels(s, d), (F.col("lat") - F.lit(47.0)) * _GRID, (F.col("lon") + F.lit(122.0)) * _GRID)
+        return compiled.trails(segs, order, up)
+
+    return once(s, d, "compiled", make)
+
+
+_COMPILED = {
+    "hop": """hop(section_id, corridor, pos, text, a, b, turned, head) as (
+ select section_id, corridor, cast(0 as bigint), text, a, b, key <> a, case when key = a then b else a end from (select s.section_id, c.corridor, s.key, s.text, s.a, s.b, row_number() over (partition by s.section_id, c.corridor order by s.key, s.a, s.b, s.key <> s.a) as nth from side s join stop n on n.section_id = s.section_id and n.key = s.key join chain c on c.section_id = s.section_id and c.text = s.text) where nth = 1
+ union all select h.section_id, h.corridor, h.pos + 1, s.text, s.a, s.b, s.key <> s.a, case when s.key = s.a then s.b else s.a end from hop h join side s on s.section_id = h.section_id and s.key = h.head and s.text <> h.text join chain c on c.section_id = s.section_id and c.text = s.text and c.corridor = h.corridor where not exists (select 1 from stop n where n.section_id = h.section_id and n.key = h.head))""",
+    "spot": """spot as (select k.section_id, k.key, x.lon + (y.lon - x.lon) * f as lon, x.lat + (y.lat - x.lat) * f as lat from (select section_id, key, cast(substr(case when key like 'frontier%' then split_part(key, ':', 2) else key end, 2) as bigint) as u, cast(substr(case when key like 'frontier%' then split_part(key, ':', 3) else key end, 2) as bigint) as v, case when key like 'frontier%' then cast(split_part(key, ':', 4) as double) / 1e9 else 0e0 end as f from (select distinct section_id, key from side)) k join nd x on x.section_id = k.section_id and x.node = u join nd y on y.section_id = k.section_id and y.node = v)""",
+    "dot": f"""dot as (select section_id, a, b, i, (alat + (blat - alat) * (i / n) - 47) * {_GRID} as r, (alon + (blon - alon) * (i / n) + 122) * {_GRID} as c from (select *, unnest(range(0, cast(n as bigint) + 1)) as i from (select s.section_id, s.a, s.b, x.lon as alon, x.lat as alat, y.lon as blon, y.lat as blat, greatest(1, ceil(s.metres / 25)) as n from seg s join spot x on x.section_id = s.section_id and x.key = s.a join spot y on y.section_id = s.section_id and y.key = s.b)))""",
+    "high": """high as (select section_id, a, b, i, sum(w * value) as h from (select d.*, value, (case when p.row = floor(r) then 1 - (r - floor(r)) else r - floor(r) end) * (case when p.col = floor(c) then 1 - (c - floor(c)) else c - floor(c) end) as w from dot d join pixel p on p.row in (floor(r), floor(r) + 1) and p.col in (floor(c), floor(c) + 1)) where w > 1e-12 group by all)""",
+    "climb": """climb as (select section_id, a, b, coalesce(sum(greatest(rise, 0)), 0) as up, coalesce(sum(greatest(-rise, 0)), 0) as down from (select *, h - lag(h) over (partition by section_id, a, b order by i) as rise from high) group by all)""",
+    "ctrail": """ctrail as (select *, row_number() over (partition by section_id order by corridor_id, corridor) - 1 as trail from (select h.section_id, h.corridor, arg_min(case when turned then h.b else h.a end, pos) as one, arg_max(head, pos) as two, arg_min(case when turned then backward else forward end, pos) as out, arg_min(case when turned then forward else backward end, pos) as back, round(sum(metres), 3) as dist, round(sum(case when turned then down else up end), 3) as gain_out, round(sum(case when turned then up else down end), 3) as gain_back, bool_or(connector) as connector, count(*) as pieces, substr(sha256(arg_min(case when turned then h.b else h.a end, pos) || '|' || string_agg(head, '|' order by pos)), 1, 24) as corridor_id from hop h join seg s on s.section_id = h.section_id and s.a = h.a and s.b = h.b join climb c on c.section_id = h.section_id and c.a = h.a and c.b = h.b group by h.section_id, h.corridor))""",
+    "cend": """cend as (select section_id, key, row_number() over (partition by section_id order by key) - 1 as id from (select section_id, one as key from ctrail union select section_id, two from ctrail))""",
+    "cedge": """cedge as (select e.section_id, trail, x.id as f, y.id as t, reverse, dist, gain, case rank when 0 then 'public' else 'unknown' end as access, connector from (select section_id, trail, one as kf, two as kt, false as reverse, dist, gain_out as gain, out as rank, connector from ctrail union all select section_id, trail, two, one, true, dist, gain_back, back, connector from ctrail) e join cend x on x.section_id = e.section_id and x.key = kf join cend y on y.section_id = e.section_id and y.key = kt where rank < 2)""",
+    "cstart": """cstart as (select e.section_id, e.node as start_id, c.id as node, case e.access when 0 then 'public' else 'unknown' end as access, 2 - e.rank as kind_rank from entrance e join cend c on c.section_id = e.section_id and c.key = 'n' || e.node where e.access < 2)""",
+    "pixel": f"pixel as ({net.CTE['pixel']})",
+}
+
+
+def _compiled_sql(body: str, more: str = "") -> str:
+    base = sql(f"{_CHAIN} stop", "").rstrip()
+    return base + ",\n" + ",\n".join(_COMPILED[k] for k in ("hop", "spot", "pixel", "dot", "high", "climb", "ctrail", "cend", "cedge", "cstart")) + more + "\n" + body
+
+
+@query(_compiled_sql("select section_id, corridor_id, trail, one, two, dist, gain_out, gain_back, connector, pieces from ctrail"))
+def compiled_trails(s, d):
+    """Corridors of every section in order, named by their places, with lengths and climbs from heights every 25 m."""
+    return _compiled(s, d).select("section_id", "corridor_id", "trail", "one", "two", "dist", "gain_out", "gain_back", "connector", "pieces")
+
+
+@query(_compiled_sql("select * from cedge"))
+def compiled_section(s, d):
+    """Every section as the directed graph that a search reads."""
+    return compiled.edges(_compiled(s, d))
+
+
+@query(_compiled_sql("""select t.*, coalesce(n.starts, 0) as starts from (select section_id, count(*) as trails, count(*) filter (connector) as roads, cast(sum(pieces) as bigint) as segments, round(sum(dist), 3) as metres, round(sum(gain_out + gain_back), 3) as climb, count(*) filter (one = two) as rings,
+ cast(sum(cast(one like 'frontier%' as int) + cast(two like 'frontier%' as int)) as bigint) as cuts, substr(sha256(string_agg(corridor_id, ',' order by corridor_id)), 1, 24) as content_id from ctrail group by section_id) t left join (select section_id, count(*) as starts from cstart group by section_id) n using (section_id)"""))
+def section_audit(s, d):
+    """What each compiled section holds, and an id of its content."""
+    return compiled.audit(_compiled(s, d), _entrances(s, d))
+
+
+_ON_MAP = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None)
+
+
+@query(_compiled_sql("select section_id, start_id, circuit, array_to_string(list_concat(itin, list_transform(list_reverse(list_slice(itin, 1, stem_steps)), lambda x: translate(x, '+-', '-+'))), ',') as whole, round(distance, 3) as distance, round(gain, 3) as gain, round(road, 3) as road, uncertain from best", ",\nnet_edge as (select * from cedge),\nnet_start as (select * from cstart)" + "".join(f",\n{k} as ({_walks_sql[k]})" for k in ("eb", "path", "walk0", "walk", "circuit", "best"))))
+def hikes_of_compiled_section(s, d):
+    """The best walk of every circuit of the compiled sections."""
+    found = compiled.edges(_compiled(s, d))
+    every = walks.closed_walks(found, compiled.starts(_compiled(s, d), _entrances(s, d)), _ON_MAP)
+    best = walks.best_per(every.withColumn("circuit", walks.circuit_key("core_trails")), "section_id", "circuit")
+    return best.select("section_id", "start_id", "circuit", walks.whole().alias("whole"), *(F.round(c, 3).alias(c) for c in ("distance", "gain", "road")), "uncertain")

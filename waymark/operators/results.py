@@ -40,23 +40,31 @@ def steps(routes: DataFrame) -> DataFrame:
     return rows.select("section_id", "route_id", F.col("seq").cast("long").alias("seq"), F.regexp_replace("s", "[+-]", "").cast("long").alias("trail"), F.col("s").endswith("-").alias("reverse"))
 
 
-def name_weights(route_steps: DataFrame, trails: DataFrame) -> DataFrame:
-    """Metres of each trail name in each route, and its place: longest first, ties by first appearance."""
-    rows = route_steps.join(trails.select("section_id", "trail", "name", "dist"), ["section_id", "trail"]).where("name is not null")
-    sums = rows.groupBy("route_id", "name").agg(F.sum("dist").alias("metres"), F.min("seq").alias("first_seq"))
+def name_weights(route_steps: DataFrame, trails: DataFrame, routes: DataFrame) -> DataFrame:
+    """Metres of each path name on each route's circuit, and its place: longest first, ties by first appearance.
+
+    A name that is on the stem only has no metres. routes: section_id, route_id, stem_steps, itinerary (the way back included).
+    """
+    span = routes.select("section_id", "route_id", F.col("stem_steps").alias("first"), (F.size(F.split("itinerary", ",")) - F.col("stem_steps")).alias("end"))
+    rows = route_steps.join(trails.where("name is not null and not connector").select("section_id", "trail", "name", "dist"), ["section_id", "trail"]).join(span, ["section_id", "route_id"])
+    core = F.when((F.col("seq") >= F.col("first")) & (F.col("seq") < F.col("end")), F.col("dist")).otherwise(0.0)
+    sums = rows.groupBy("route_id", "name").agg(F.sum(core).alias("metres"), F.min("seq").alias("first_seq"))
     return sums.withColumn("place", F.row_number().over(Window.partitionBy("route_id").orderBy(F.col("metres").desc(), "first_seq")).cast("long"))
 
 
-def display_names(weights: DataFrame) -> DataFrame:
-    """The first two names of each route."""
+def display_names(weights: DataFrame, routes: DataFrame, starts: DataFrame) -> DataFrame:
+    """route_id, title: the first two names of each route, else that of its start."""
     two = F.array_sort(F.collect_list(F.struct("place", "name")))
-    return weights.where("place <= 2").groupBy("route_id").agg(F.array_join(F.transform(two, lambda x: x["name"]), " / ").alias("title"))
+    named = weights.where("place <= 2").groupBy("route_id").agg(F.array_join(F.transform(two, lambda x: x["name"]), " / ").alias("title"))
+    begun = routes.select("section_id", "route_id", "start_id").join(starts.select("section_id", "start_id", F.col("name").alias("start")), ["section_id", "start_id"], "left")
+    return begun.join(named, "route_id", "left").select("route_id", F.coalesce("title", "start", F.lit("Unnamed trails")).alias("title"))
 
 
 def shared_paths(route_steps: DataFrame, routes: DataFrame) -> DataFrame:
-    """section_id, trail and how many routes use it, the nearest (shortest) one first."""
+    """section_id, trail, place, route_id: the routes that use each trail, each once, the shortest first."""
     rows = route_steps.select("section_id", "trail", "route_id").distinct().join(routes.select("route_id", "distance"), "route_id")
-    return rows.groupBy("section_id", "trail").agg(F.count("*").alias("routes"), F.min(F.struct("distance", "route_id")).alias("b")).select("section_id", "trail", "routes", F.col("b.route_id").alias("shortest_route"))
+    place = F.row_number().over(Window.partitionBy("section_id", "trail").orderBy("distance", "route_id"))
+    return rows.select("section_id", "trail", place.cast("long").alias("place"), "route_id")
 
 
 def extents(route_steps: DataFrame, trails: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -131,7 +139,7 @@ def drawing_groups(steps: DataFrame, trails: DataFrame) -> DataFrame:
     turn = rows.groupBy("route_id").agg(F.max_by("trail", "seq").alias("a"), F.min_by("trail", "seq").alias("b"), F.max_by("name", "seq").alias("x"), F.min_by("name", "seq").alias("y")).where("x = y").select("route_id", "a", "b")
     found = components(after.unionByName(turn).select(F.col("route_id").alias("section_id"), "a", "b")).toDF("route_id", "trail", "piece")
     each = rows.select("route_id", "trail", "name").distinct().join(found, ["route_id", "trail"], "left")
-    return each.select("route_id", "trail", F.coalesce("piece", "trail").alias("piece"), F.coalesce("name", F.lit("Unnamed trail")).alias("name"))
+    return each.select("route_id", "trail", F.coalesce("piece", "trail").alias("piece"), F.when(F.col("name").isNull(), "Trail name unavailable").when(F.col("name") == "", "Unnamed trail").otherwise(F.col("name")).alias("name"))
 
 
 def trail_identities(trails: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -106,6 +106,18 @@ def closed_walks(edges: DataFrame, starts: DataFrame, q: Query) -> DataFrame:
     return walks.where((F.col("distance") <= q.max_distance) & (F.col("gain") <= q.max_gain)).select("section_id", "start_id", "kind_rank", "stem_steps", "trails", "core_trails", "itinerary", "trail_itinerary", "distance", "gain", "road", "stem", "repetition", "uncertain", "has_path")
 
 
+def whole(itinerary: str | Column = "itinerary", stem_steps: str | Column = "stem_steps") -> Column:
+    """All directed trails of a walk, its stem's way back included: the stem turned, from its last trail to its first."""
+    steps = F.split(itinerary, ",")
+    turned = F.transform(F.reverse(F.slice(steps, F.lit(1), F.col(stem_steps) if isinstance(stem_steps, str) else stem_steps)), lambda x: F.translate(x, "+-", "-+"))
+    return F.array_join(F.concat(steps, turned), ",")
+
+
+def direction() -> Column:
+    """The way round that a walk takes its circuit: whether its least trail is walked backwards."""
+    return F.array_contains(F.split("itinerary", ","), F.concat(F.array_min("core_trails").cast("string"), F.lit("-")))
+
+
 def qualified(walks: DataFrame, q: Query) -> DataFrame:
     """Walks that satisfy every limit."""
     keep = F.col("distance").between(q.min_distance, q.max_distance) & F.col("gain").between(q.min_gain, q.max_gain) & F.col("has_path")

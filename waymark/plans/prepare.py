@@ -1,56 +1,10 @@
-"""Preparation of a network: permissions from tags, merged segments, counts by area."""
+"""Preparation of a network: combined permissions, merged segments, counts by area."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes of ways that may be walked, and states in which none may be.
-WALKABLE = ("path", "footway", "track", "bridleway", "steps", "pedestrian", "service", "residential", "unclassified")
-ROADS = ("service", "residential", "unclassified")
-CLOSED = ("no", "private")
-OPEN = ("yes", "designated", "permissive")
-
-
-def tagged_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways with tags, made from the part table."""
-    k = F.col("p_partkey")
-    pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
-    pairs = F.array(F.struct(F.lit("highway").alias("k"), pick(WALKABLE + ("motorway",), 10).alias("v")), F.struct(F.lit("foot").alias("k"), pick((None, "yes", "no", "permissive", "designated"), 5).alias("v")), F.struct(F.lit("access").alias("k"), pick((None, None, "private", "yes"), 4).alias("v")), F.struct(F.lit("motor_vehicle").alias("k"), pick((None, "no", "yes"), 3).alias("v")))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("id"), F.map_from_entries(F.filter(pairs, lambda p: p.v.isNotNull())).alias("tags"))
-
-
-TAGS_SQL = (
-    "select p_partkey as id, (['path', 'footway', 'track', 'bridleway', 'steps', 'pedestrian', 'service', 'residential', 'unclassified', 'motorway'])[p_partkey % 10 + 1] as highway, "
-    "([null, 'yes', 'no', 'permissive', 'designated'])[p_partkey % 5 + 1] as foot, ([null, null, 'private', 'yes'])[p_partkey % 4 + 1] as access, ([null, 'no', 'yes'])[p_partkey % 3 + 1] as motor_vehicle from part"
-)
-_WALK_SQL = "highway in ('path', 'footway', 'track', 'bridleway', 'steps', 'pedestrian', 'service', 'residential', 'unclassified')"
-PEDESTRIAN_SQL = f"case when not {_WALK_SQL} then 'prohibited' when coalesce(foot, access) in ('no', 'private') then 'prohibited' when coalesce(foot, access) in ('yes', 'designated', 'permissive') then 'public' when coalesce(foot, access) is null then 'public' else 'unknown' end"
-VEHICLE_SQL = "case when highway not in ('service', 'residential', 'unclassified') then 'prohibited' when coalesce(motor_vehicle, access) in ('no', 'private') then 'prohibited' else 'public' end"
-ROLE_SQL = f"case when {PEDESTRIAN_SQL} = 'prohibited' then null when highway in ('service', 'residential', 'unclassified') then 'connector' else 'trail' end"
-
-
-def tag(tags: str | Column, *names: str) -> Column:
-    """The first of these tags that is present, the most specific first."""
-    tags = F.col(tags) if isinstance(tags, str) else tags
-    return F.coalesce(*(tags[n] for n in names))
-
-
-def pedestrian(tags: str | Column) -> Column:
-    """public, unknown or prohibited for walkers."""
-    v = tag(tags, "foot", "access")
-    return F.when(~F.coalesce(tag(tags, "highway").isin(*WALKABLE), F.lit(False)), "prohibited").when(v.isin(*CLOSED), "prohibited").when(v.isin(*OPEN) | v.isNull(), "public").otherwise("unknown")
-
-
-def vehicle(tags: str | Column) -> Column:
-    v = tag(tags, "motor_vehicle", "access")
-    return F.when(~F.coalesce(tag(tags, "highway").isin(*ROADS), F.lit(False)), "prohibited").when(v.isin(*CLOSED), "prohibited").otherwise("public")
-
-
-def role(tags: str | Column) -> Column:
-    """trail, connector (a road) or null where one may not walk."""
-    return F.when(pedestrian(tags) == "prohibited", None).when(tag(tags, "highway").isin(*ROADS), "connector").otherwise("trail")
-
 
 def combined(access: str | Column) -> Column:
     """The strictest of several permissions, as a rank: public 0, unknown 1, prohibited 2."""

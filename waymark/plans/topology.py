@@ -75,7 +75,7 @@ def segments(ways: DataFrame, nodes: DataFrame, ring: Ring) -> DataFrame:
     return out.where("forward < 2 or backward < 2")
 
 
-def _labelled(links: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+def labelled(links: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """section_id, node, component of links (section_id, a, b), whose nodes are text."""
     ends = links.select("section_id", F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = stored(ends.withColumn("k", F.xxhash64("section_id", "node")))
@@ -154,7 +154,7 @@ def supporting(segs: DataFrame) -> DataFrame:
 def network_lengths(some: DataFrame) -> DataFrame:
     """section_id, key, metres of the counting segments in the component of each end. some: section_id, a, b, metres, counts."""
     some = stored(some.select("section_id", "a", "b", "metres", "counts"))
-    found = stored(_labelled(some))
+    found = stored(labelled(some))
     total = some.join(found.withColumnRenamed("node", "a"), ["section_id", "a"]).groupBy("section_id", "component").agg(F.sum(F.when(F.col("counts"), F.col("metres")).otherwise(0.0)).alias("metres"))
     return found.join(total, ["section_id", "component"]).select("section_id", F.col("node").alias("key"), "metres")
 
@@ -177,7 +177,7 @@ def poi_starts(nodes: DataFrame, segs: DataFrame) -> DataFrame:
     """
     t = F.col("tags")
     kind = rules.poi_kind(t)
-    access = F.greatest(rules.permission(t), F.when(kind == "parking", rules.permission(t, None, rules.VEHICLES)).otherwise(0))
+    access = F.greatest(rules.permission(t), F.when(kind == "parking", rules.permission(t, None, rules.DRIVER)).otherwise(0))
     pois = nodes.where(kind.isNotNull()).select("section_id", "node", kind.alias("kind"), access.alias("access"), t["name"].alias("name"))
     every = segs.select("section_id", F.explode(F.array("a", "b")).alias("key")).distinct().where("key like 'n%'").select("section_id", F.substring("key", 2, 32).cast("long").alias("node"), F.lit(True).alias("any"))
     met = trail_nodes(segs).withColumn("trail", F.lit(True))
@@ -231,9 +231,17 @@ def corridors(segs: DataFrame, stops: DataFrame) -> DataFrame:
     return named.select("section_id", "a", "b", "component").join(each, ["section_id", "component"]).select("section_id", "a", "b", "corridor", "ring")
 
 
+def ring_anchors(chains: DataFrame) -> DataFrame:
+    """section_id, key: the place where a ring without an anchor begins and ends, its least one."""
+    keys = chains.where("ring").select("section_id", "corridor", F.explode(F.array("a", "b")).alias("key"))
+    return keys.groupBy("section_id", "corridor").agg(F.min("key").alias("key")).select("section_id", "key")
+
+
 def assembled(segs: DataFrame, stops: DataFrame, chains: DataFrame) -> DataFrame:
     """section_id, corridor, f, t (dense ids of ends), reverse, access, metres, connector: an edge for each direction that
-    may be walked. Within a corridor permissions do not change, so those at its first end hold for all of it."""
+    may be walked. Within a corridor permissions do not change, so those at its first end hold for all of it. A ring without an
+    anchor leads from one of its places back to it."""
+    stops = stops.select("section_id", "key").unionByName(ring_anchors(chains))
     text = F.concat_ws("|", "a", "b")
     side = lambda end, out, back: F.struct(F.col(end).alias("key"), F.col(out).alias("out"), F.col(back).alias("back"))
     rows = segs.join(chains.select("section_id", "a", "b", "corridor"), ["section_id", "a", "b"])

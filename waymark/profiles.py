@@ -201,7 +201,7 @@ lk as (select route_id, trail as x, after as y from (select *, lead(trail) over
 gp(route_id, trail, c) as (select route_id, trail, trail from nm union select g.route_id, case when l.x = g.trail then l.y else l.x end, g.c from gp g join lk l on l.route_id = g.route_id and (l.x = g.trail or l.y = g.trail))"""
 
 
-@query(_plain(q._RS, _NAMED, "select n.route_id, n.trail, m.c as piece, coalesce(n.name, 'Unnamed trail') as name from (select distinct route_id, trail, name from nm) n join (select route_id, trail, min(c) as c from gp group by all) m using (route_id, trail)"))
+@query(_plain(q._RS, _NAMED, "select n.route_id, n.trail, m.c as piece, case when n.name is null then 'Trail name unavailable' when n.name = '' then 'Unnamed trail' else n.name end as name from (select distinct route_id, trail, name from nm) n join (select route_id, trail, min(c) as c from gp group by all) m using (route_id, trail)"))
 def drawing_groups(s, d):
     """Trails of a walk that follow each other under one name are drawn as one piece, also over its start."""
     return results.drawing_groups(_steps(s, d), net.trails(s, d))

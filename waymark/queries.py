@@ -51,7 +51,8 @@ WALK = {
     "circuit": """select *, array_to_string(least(fwd, bwd), ',') as circuit from (select *, list_concat(list_slice(core, list_position(core, list_min(core)), len(core)), list_slice(core, 1, list_position(core, list_min(core)) - 1)) as fwd,
  list_concat(list_slice(list_reverse(core), list_position(list_reverse(core), list_min(core)), len(core)), list_slice(list_reverse(core), 1, list_position(list_reverse(core), list_min(core)) - 1)) as bwd from walk)""",
     "best": """select * from (select *, row_number() over (partition by section_id, circuit order by kind_rank, uncertain, road, repetition, distance, itinerary, start_id) as pl from circuit) where pl = 1""",
-    "route": """select section_id, substr(sha256(section_id || ':' || start_id || ':' || itinerary), 1, 32) as route_id, itinerary, itin, distance, gain, road, repetition, uncertain from best where stem_steps = 0""",
+    "route": """select section_id, substr(sha256(section_id || ':' || start_id || ':' || array_to_string(whole, ',')), 1, 32) as route_id, start_id, stem_steps, array_to_string(whole, ',') as itinerary, whole as itin, distance, gain, road, repetition, uncertain
+ from (select *, list_concat(itin, list_transform(list_reverse(list_slice(itin, 1, stem_steps)), lambda x: translate(x, '+-', '-+'))) as whole from best)""",
     "rstep": """select section_id, route_id, i as seq, cast(replace(replace(itin[i + 1], '+', ''), '-', '') as bigint) as trail, itin[i + 1] like '%-' as reverse from (select *, unnest(range(0, len(itin))) as i from route)""",
 }
 N_WALK = "net_trail net_edge net_start eb path walk0 walk"
@@ -77,8 +78,9 @@ def with_circuit(w: DataFrame) -> DataFrame:
 
 
 def routes(s: SparkSession, d: str) -> DataFrame:
-    best = walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit").where("stem_steps = 0")
-    return best.select("section_id", scalars.short_sha(F.concat_ws(":", "section_id", "start_id", "itinerary")).alias("route_id"), "itinerary", "distance", "gain", "road", "repetition", "uncertain")
+    """The best walk of every circuit, with all its steps: those of a stem out and back."""
+    best = walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit").withColumn("itinerary", walks.whole())
+    return best.select("section_id", scalars.short_sha(F.concat_ws(":", "section_id", "start_id", "itinerary")).alias("route_id"), "start_id", "stem_steps", "itinerary", "distance", "gain", "road", "repetition", "uncertain")
 
 
 # --- the network itself
@@ -237,9 +239,11 @@ def best_per_circuit(s, d):
     return walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit").select("circuit", *COLUMNS.split(", "))
 
 
-@query(f"select circuit, {COLUMNS} from (select *, row_number() over (partition by section_id, circuit, start_id order by kind_rank, uncertain, road, repetition, distance, itinerary, start_id) as pl from circuit) where pl = 1", N_WALK + " circuit")
+@query(f"select circuit, {COLUMNS} from (select *, row_number() over (partition by section_id, circuit, start_id, list_contains(itin, list_min(core) || '-') order by kind_rank, uncertain, road, repetition, distance, itinerary, start_id) as pl from circuit) where pl = 1", N_WALK + " circuit")
 def best_per_start(s, d):
-    return walks.best_per(with_circuit(all_walks(s, d)), "section_id", "circuit", "start_id").select("circuit", *COLUMNS.split(", "))
+    """The best walk of each circuit from each start, either way round."""
+    found = with_circuit(all_walks(s, d)).withColumn("direction", walks.direction())
+    return walks.best_per(found, "section_id", "circuit", "start_id", "direction").select("circuit", *COLUMNS.split(", "))
 
 
 def _placed(best: DataFrame) -> DataFrame:
@@ -372,17 +376,22 @@ def route_segments(s, d):
     return _steps(s, d)
 
 
-_NAMES = "select route_id, name, metres, row_number() over (partition by route_id order by metres desc, first_seq) as place from (select route_id, name, sum(dist) as metres, min(seq) as first_seq from rstep r join net_trail t on t.section_id = r.section_id and t.trail = r.trail where name is not null group by all)"
+_NAMES = "select route_id, name, metres, row_number() over (partition by route_id order by metres desc, first_seq) as place from (select r.route_id, t.name, coalesce(sum(t.dist) filter (r.seq >= w.stem_steps and r.seq < len(w.itin) - w.stem_steps), 0) as metres, min(r.seq) as first_seq from rstep r join route w on w.section_id = r.section_id and w.route_id = r.route_id join net_trail t on t.section_id = r.section_id and t.trail = r.trail where t.name is not null and not t.connector group by r.route_id, t.name)"
 
 
 @query(_NAMES, _RS)
 def route_name_weights(s, d):
-    return results.name_weights(_steps(s, d), net.trails(s, d)).drop("first_seq")
+    r = graph.stored(routes(s, d))
+    return results.name_weights(results.steps(r), net.trails(s, d), r).drop("first_seq")
+
 
+def _titles(s, d, r):
+    return results.display_names(results.name_weights(results.steps(r), net.trails(s, d), r), r, net.starts(s, d))
 
-@query(f"select route_id, string_agg(name, ' / ' order by place) as title from ({_NAMES}) where place <= 2 group by route_id", _RS)
+
+@query(f"select w.route_id, coalesce(n.title, b.name, 'Unnamed trails') as title from route w left join (select route_id, string_agg(name, ' / ' order by place) as title from ({_NAMES}) where place <= 2 group by route_id) n on n.route_id = w.route_id left join net_start b on b.section_id = w.section_id and b.start_id = w.start_id", _RS)
 def route_names(s, d):
-    return results.display_names(results.name_weights(_steps(s, d), net.trails(s, d)))
+    return _titles(s, d, graph.stored(routes(s, d)))
 
 
 @query("select route_id, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north, max(ele) as peak from (select distinct r.route_id, n.node, lon, lat, ele from rstep r join net_trail t on t.section_id = r.section_id and t.trail = r.trail join net_node n on n.section_id = r.section_id and (n.node = t.a or n.node = t.b)) group by route_id", _RS.replace("net_trail", "net_trail net_node", 1))
@@ -390,7 +399,7 @@ def route_locations(s, d):
     return results.extents(_steps(s, d), net.trails(s, d), net.nodes(s, d))
 
 
-@query("select section_id, trail, count(*) as routes, min_by(route_id, (distance, route_id)) as shortest_route from (select distinct s.section_id, s.trail, s.route_id, r.distance from rstep s join route r on r.route_id = s.route_id) group by all", _RS)
+@query("select section_id, trail, row_number() over (partition by section_id, trail order by distance, route_id) as place, route_id from (select distinct s.section_id, s.trail, s.route_id, r.distance from rstep s join route r on r.route_id = s.route_id)", _RS)
 def route_paths(s, d):
     r = graph.stored(routes(s, d))
     return results.shared_paths(results.steps(r), r)
@@ -410,8 +419,8 @@ SQL["gpx_points"] = net.with_cte("net_node " + _RS, f", {_GEO} select g.route_id
 
 @query()
 def gpx_export(s, d):
-    st = graph.stored(_steps(s, d))
-    return results.gpx(results.joined_geometry(st, net.trails(s, d), net.nodes(s, d)), results.display_names(results.name_weights(st, net.trails(s, d))))
+    r = graph.stored(routes(s, d))
+    return results.gpx(results.joined_geometry(results.steps(r), net.trails(s, d), net.nodes(s, d)), _titles(s, d, r))
 
 
 # --- profiles
@@ -631,9 +640,9 @@ def xml_escape(s, d):
     return net.table(s, d, "part").select("p_partkey", scalars.xml_escape(text).alias("safe"))
 
 
-@query("select doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents where lang = 'en'")
+@query("select doc_id, regexp_replace(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 150), '-+$', '') as slug from documents")
 def slug(s, d):
-    return net.table(s, d, "documents").where("lang = 'en'").select("doc_id", scalars.slug(F.substring("text", 1, 40)).alias("slug"))
+    return net.table(s, d, "documents").select("doc_id", scalars.slug("text").alias("slug"))
 
 
 @query()
@@ -667,15 +676,6 @@ def elapsed_text(s, d):
 
 # --- preparation
 
-_TAGS = prepare.TAGS_SQL
-
-
-@query(f"select id, {prepare.PEDESTRIAN_SQL} as pedestrian, {prepare.VEHICLE_SQL} as vehicle, {prepare.ROLE_SQL} as role from ({_TAGS})")
-def way_permissions(s, d):
-    w = prepare.tagged_ways(s, d)
-    return w.select("id", prepare.pedestrian("tags").alias("pedestrian"), prepare.vehicle("tags").alias("vehicle"), prepare.role("tags").alias("role"))
-
-
 @query("select section_id, least(a, b) as u, greatest(a, b) as v, max(case access when 'public' then 0 else 1 end) as access_rank, bool_or(connector) as connector, min(dist) as dist, count(*) as copies from net_trail group by 1, 2, 3", "net_trail")
 def segment_dedup(s, d):
     return prepare.merged_segments(net.trails(s, d))
@@ -884,4 +884,4 @@ def changed_inputs(s, d):
     return pinned.join(now, "area_id", "full").where("not (pinned <=> current)")
 
 
-from . import catalogs, mapped, profiles  # noqa: E402, F401  they register more queries
+from . import catalogs, mapped, planned, profiles  # noqa: E402, F401  they register more queries
