@@ -11,7 +11,7 @@ from .operators.graph import stored
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 SQL: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple, DataFrame] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Run], Run]:
@@ -26,9 +26,17 @@ def query(sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
+def state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder, by the file system that Spark reads it with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries start from (walks, segments): made and stored by the first of them in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table that several queries start from (walks, segments): made and stored by the first of them in an application, and
+    anew if the tables in the folder are others than then."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), name)
     if key not in _STORED:
         _STORED[key] = stored(make())
     return _STORED[key]
