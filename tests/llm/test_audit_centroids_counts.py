@@ -18,8 +18,12 @@ CLASH = "n long, digest string, part string, step int, first string, v string, c
 SAME = (7, "d", "p", 3, "f", "v", "c", "k", "r")
 
 
+def brief(v):
+    return float(f"{v:.9g}") if isinstance(v, float) else v
+
+
 def rows_of(found):
-    return collections.Counter(tuple(r[c] for c in sorted(found.columns)) for r in found.collect())
+    return collections.Counter(tuple(brief(r[c]) for c in sorted(found.columns)) for r in found.collect())
 
 
 @pytest.fixture(scope="module")
@@ -226,7 +230,7 @@ def test_other_tokenizers_and_no_documents(spark, none):
 # --- queries
 
 
-@pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n.startswith(("op11_", "op12_"))))
+@pytest.mark.parametrize("name", sorted(n for n in oracle_sql() if n.startswith("op")))
 def test_query_matches_its_sql(spark, name):
     import duckdb
 
@@ -239,4 +243,4 @@ def test_query_matches_its_sql(spark, name):
     cols = [c[0] for c in want.description]
     assert sorted(cols) == sorted(found.columns)
     order = [cols.index(c) for c in sorted(cols)]
-    assert rows_of(found) == collections.Counter(tuple(r[k] for k in order) for r in want.fetchall())
+    assert rows_of(found) == collections.Counter(tuple(brief(r[k]) for k in order) for r in want.fetchall())
