@@ -382,7 +382,7 @@ _COMPILED = {
     "dot": f"""dot as (select section_id, a, b, i, (alat + (blat - alat) * (i / n) - 47) * {_GRID} as r, (alon + (blon - alon) * (i / n) + 122) * {_GRID} as c from (select *, unnest(range(0, cast(n as bigint) + 1)) as i from (select s.section_id, s.a, s.b, x.lon as alon, x.lat as alat, y.lon as blon, y.lat as blat, greatest(1, ceil(s.metres / 25)) as n from seg s join spot x on x.section_id = s.section_id and x.key = s.a join spot y on y.section_id = s.section_id and y.key = s.b)))""",
     "high": """high as (select section_id, a, b, i, sum(w * value) as h from (select d.*, value, (case when p.row = floor(r) then 1 - (r - floor(r)) else r - floor(r) end) * (case when p.col = floor(c) then 1 - (c - floor(c)) else c - floor(c) end) as w from dot d join pixel p on p.row in (floor(r), floor(r) + 1) and p.col in (floor(c), floor(c) + 1)) where w > 1e-12 group by all)""",
     "climb": """climb as (select section_id, a, b, coalesce(sum(greatest(rise, 0)), 0) as up, coalesce(sum(greatest(-rise, 0)), 0) as down from (select *, h - lag(h) over (partition by section_id, a, b order by i) as rise from high) group by all)""",
-    "ctrail": """ctrail as (select *, row_number() over (partition by section_id order by corridor_id, corridor) - 1 as trail from (select h.section_id, h.corridor, arg_min(case when turned then h.b else h.a end, pos) as one, arg_max(head, pos) as two, arg_min(case when turned then backward else forward end, pos) as out, arg_min(case when turned then forward else backward end, pos) as back, round(sum(metres), 3) as dist, round(sum(case when turned then down else up end), 3) as gain_out, round(sum(case when turned then up else down end), 3) as gain_back, bool_or(connector) as connector, count(*) as pieces, substr(sha256(arg_min(case when turned then h.b else h.a end, pos) || '|' || string_agg(head, '|' order by pos)), 1, 24) as corridor_id from hop h join seg s on s.section_id = h.section_id and s.a = h.a and s.b = h.b join climb c on c.section_id = h.section_id and c.a = h.a and c.b = h.b group by h.section_id, h.corridor))""",
+    "ctrail": """ctrail as (select *, row_number() over (partition by section_id order by corridor_id, corridor) - 1 as trail from (select h.section_id, h.corridor, arg_min(case when turned then h.b else h.a end, pos) as one, arg_max(head, pos) as two, arg_min(case when turned then backward else forward end, pos) as out, arg_min(case when turned then forward else backward end, pos) as back, round(sum(metres), 3) as dist, round(sum(case when turned then down else up end), 6) as gain_out, round(sum(case when turned then up else down end), 6) as gain_back, bool_or(connector) as connector, count(*) as pieces, substr(sha256(arg_min(case when turned then h.b else h.a end, pos) || '|' || string_agg(head, '|' order by pos)), 1, 24) as corridor_id from hop h join seg s on s.section_id = h.section_id and s.a = h.a and s.b = h.b join climb c on c.section_id = h.section_id and c.a = h.a and c.b = h.b group by h.section_id, h.corridor))""",
     "cend": """cend as (select section_id, key, row_number() over (partition by section_id order by key) - 1 as id from (select section_id, one as key from ctrail union select section_id, two from ctrail))""",
     "cedge": """cedge as (select e.section_id, trail, x.id as f, y.id as t, reverse, dist, gain, case rank when 0 then 'public' else 'unknown' end as access, connector from (select section_id, trail, one as kf, two as kt, false as reverse, dist, gain_out as gain, out as rank, connector from ctrail union all select section_id, trail, two, one, true, dist, gain_back, back, connector from ctrail) e join cend x on x.section_id = e.section_id and x.key = kf join cend y on y.section_id = e.section_id and y.key = kt where rank < 2)""",
     "cstart": """cstart as (select e.section_id, e.node as start_id, c.id as node, case e.access when 0 then 'public' else 'unknown' end as access, 2 - e.rank as kind_rank from entrance e join cend c on c.section_id = e.section_id and c.key = 'n' || e.node where e.access < 2)""",
@@ -407,7 +407,7 @@ def compiled_section(s, d):
     return compiled.edges(_compiled(s, d))
 
 
-@query(_compiled_sql("""select t.*, coalesce(n.starts, 0) as starts from (select section_id, count(*) as trails, count(*) filter (connector) as roads, cast(sum(pieces) as bigint) as segments, round(sum(dist), 3) as metres, round(sum(gain_out + gain_back), 3) as climb, count(*) filter (one = two) as rings,
+@query(_compiled_sql("""select t.*, coalesce(n.starts, 0) as starts from (select section_id, count(*) as trails, count(*) filter (connector) as roads, cast(sum(pieces) as bigint) as segments, round(sum(dist), 3) as metres, round(sum(gain_out + gain_back), 6) as climb, count(*) filter (one = two) as rings,
  cast(sum(cast(one like 'frontier%' as int) + cast(two like 'frontier%' as int)) as bigint) as cuts, substr(sha256(string_agg(corridor_id, ',' order by corridor_id)), 1, 24) as content_id from ctrail group by section_id) t left join (select section_id, count(*) as starts from cstart group by section_id) n using (section_id)"""))
 def section_audit(s, d):
     """What each compiled section holds, and an id of its content."""
@@ -417,10 +417,10 @@ def section_audit(s, d):
 _ON_MAP = walks.Query(max_distance=2500.0, max_gain=400.0, max_road=None, max_road_share=None)
 
 
-@query(_compiled_sql("select section_id, start_id, circuit, array_to_string(list_concat(itin, list_transform(list_reverse(list_slice(itin, 1, stem_steps)), lambda x: translate(x, '+-', '-+'))), ',') as whole, round(distance, 3) as distance, round(gain, 3) as gain, round(road, 3) as road, uncertain from best", ",\nnet_edge as (select * from cedge),\nnet_start as (select * from cstart)" + "".join(f",\n{k} as ({_walks_sql[k]})" for k in ("eb", "path", "walk0", "walk", "circuit", "best"))))
+@query(_compiled_sql("select section_id, start_id, circuit, array_to_string(list_concat(itin, list_transform(list_reverse(list_slice(itin, 1, stem_steps)), lambda x: translate(x, '+-', '-+'))), ',') as whole, round(distance, 3) as distance, round(gain, 6) as gain, round(road, 3) as road, uncertain from best", ",\nnet_edge as (select * from cedge),\nnet_start as (select * from cstart)" + "".join(f",\n{k} as ({_walks_sql[k]})" for k in ("eb", "path", "walk0", "walk", "circuit", "best"))))
 def hikes_of_compiled_section(s, d):
     """The best walk of every circuit of the compiled sections."""
     found = compiled.edges(_compiled(s, d))
     every = walks.closed_walks(found, compiled.starts(_compiled(s, d), _entrances(s, d)), _ON_MAP)
     best = walks.best_per(every.withColumn("circuit", walks.circuit_key("core_trails")), "section_id", "circuit")
-    return best.select("section_id", "start_id", "circuit", walks.whole().alias("whole"), *(F.round(c, 3).alias(c) for c in ("distance", "gain", "road")), "uncertain")
+    return best.select("section_id", "start_id", "circuit", walks.whole().alias("whole"), F.round("distance", 3).alias("distance"), F.round("gain", 6).alias("gain"), F.round("road", 3).alias("road"), "uncertain")

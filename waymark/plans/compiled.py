@@ -85,7 +85,8 @@ def climbs(points: DataFrame, pixels: DataFrame, row: Column, col: Column) -> Da
 
 def trails(segs: DataFrame, order: DataFrame, climbed: DataFrame) -> DataFrame:
     """One row for each corridor: section_id, corridor, corridor_id (a hash of its places in order), trail (dense), one, two (its
-    ends), out, back (permission ranks), dist, gain_out, gain_back, connector, pieces. Lengths and climbs to the millimetre.
+    ends), out, back (permission ranks), dist, gain_out, gain_back, connector, pieces. Lengths to the millimetre,
+    climbs to the micrometre.
 
     A corridor's places are listed to name it; a section's size is bounded when sections are cut.
     """
@@ -94,7 +95,7 @@ def trails(segs: DataFrame, order: DataFrame, climbed: DataFrame) -> DataFrame:
     found = rows.groupBy("section_id", "corridor").agg(
         F.min_by("tail", "pos").alias("one"), F.max_by("head", "pos").alias("two"),
         F.min_by(pick("backward", "forward"), "pos").alias("out"), F.min_by(pick("forward", "backward"), "pos").alias("back"),
-        F.round(F.sum("metres"), 3).alias("dist"), F.round(F.sum(pick("down", "up")), 3).alias("gain_out"), F.round(F.sum(pick("up", "down")), 3).alias("gain_back"),
+        F.round(F.sum("metres"), 3).alias("dist"), F.round(F.sum(pick("down", "up")), 6).alias("gain_out"), F.round(F.sum(pick("up", "down")), 6).alias("gain_back"),
         F.bool_or("connector").alias("connector"), F.count("*").alias("pieces"),
         F.array_sort(F.collect_list(F.struct("pos", "head"))).alias("path"),
     )
@@ -129,7 +130,7 @@ def audit(found: DataFrame, entrances: DataFrame) -> DataFrame:
     """section_id, trails, roads, segments, metres, climb, rings, cuts, starts, content_id: what a compiled section holds."""
     cut = lambda c: F.col(c).startswith("frontier").cast("long")
     rows = found.groupBy("section_id").agg(
-        F.count("*").alias("trails"), F.count_if("connector").alias("roads"), F.sum("pieces").alias("segments"), F.round(F.sum("dist"), 3).alias("metres"), F.round(F.sum(F.col("gain_out") + F.col("gain_back")), 3).alias("climb"),
+        F.count("*").alias("trails"), F.count_if("connector").alias("roads"), F.sum("pieces").alias("segments"), F.round(F.sum("dist"), 3).alias("metres"), F.round(F.sum(F.col("gain_out") + F.col("gain_back")), 6).alias("climb"),
         F.count_if(F.col("one") == F.col("two")).alias("rings"), F.sum(cut("one") + cut("two")).alias("cuts"),
         F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("corridor_id")), ","), 256), 1, 24).alias("content_id"),
     )
