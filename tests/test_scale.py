@@ -57,3 +57,10 @@ def test_a_path_that_cannot_come_home_ends(spark, monkeypatch):
     assert [r.itinerary for r in found] == ["50+"]
     longest = max(df.agg(F.max(F.size("nodes"))).first()[0] or 0 for df in kept if "nodes" in df.columns)
     assert longest <= 10  # half of 2000 m, not all of the line
+
+
+def test_kilobytes_stay_kilobytes(spark, tmp_path):
+    from waymark.queries import QUERIES
+
+    spark.range(100_000, 100_002).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.shown for r in QUERIES["bytes_text"](spark, str(tmp_path)).collect()} == {"3700 kB"}
