@@ -73,3 +73,19 @@ def test_a_catalog_of_no_sections_has_no_id(spark):
     infos = spark.createDataFrame([(0, "2025-01-01", ["a"], ["b"])], "catalog long, source_date string, attributions array<string>, limitations array<string>")
     (row,) = catalog.composed(sections, infos).collect()
     assert row.id is None and row.sections == 0 and row.attributions == "a"
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_events_in_files_that_follow_no_time(spark, tmp_path, files):
+    from waymark.queries import QUERIES
+
+    d = str(tmp_path)
+    at = lambda m: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, {m})")
+    events = spark.range(60).select(F.col("id").alias("event_id"), at("cast(id * 7 % 60 * 10 as int)").alias("ts"), F.lit(7).cast("long").alias("user_id"))
+    for k in range(files):
+        events.where(F.col("event_id") % files == k).coalesce(1).write.mode("append").parquet(f"{d}/events.parquet")
+    made, want = None, {}
+    for minute, event in sorted((e * 7 % 60 * 10, e) for e in range(60)):
+        want[event] = made is not None and minute - made < 30
+        made = made if want[event] else minute
+    assert {r.event_id: r.hit for r in QUERIES["stream_cache"](spark, d).collect()} == want

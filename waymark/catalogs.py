@@ -295,8 +295,7 @@ def result_store(s, d):
 
 
 def _stream(s, d):
-    schema = net.table(s, d, "events").schema
-    return net.job_rows(streaming.event_stream(s, d, schema, names="events.parquet"))
+    return net.job_rows(streaming.table_stream(s, d, "events"))
 
 
 @query(net.with_cte("job", """, num as (select *, row_number() over (partition by visitor order by position) as i from job),
@@ -313,8 +312,7 @@ fold(key, i, event_id, made, hit) as (select key, i, event_id, x0, false from nu
 select key, event_id, hit from fold""")
 def stream_cache(s, d):
     """Requests that a kept answer of the last 30 minutes serves."""
-    schema = net.table(s, d, "events").schema
-    rows = streaming.event_stream(s, d, schema, names="events.parquet").select((F.col("user_id") % 50).alias("key"), "event_id", F.col("ts").alias("at"))
+    rows = streaming.table_stream(s, d, "events").select((F.col("user_id") % 50).alias("key"), "event_id", F.col("ts").alias("at"))
     return streaming.appended(streaming.cached(rows), graph.shared_folder(s))
 
 

@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 
-def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1, names: str = "*.parquet") -> DataFrame:
-    """Rows of Parquet files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", names).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = 1, names: str = "*.parquet") -> DataFrame:
+    """Rows of Parquet files as they arrive in a folder; without a number of files, all that are there at once."""
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", names)
+    return (rows if files_per_trigger is None else rows.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Rows of a table, one file or a folder of files, in one batch: files follow neither times nor ids."""
+    file = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    schema = spark.read.parquet(file).schema
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return event_stream(spark, file, schema, None)
+    return event_stream(spark, sf_dir, schema, None, f"{name}.parquet")
 
 
 def progress(events: DataFrame) -> DataFrame:
