@@ -28,6 +28,8 @@ from .common import by_bytes, fold, small_batches, stored, with_ids
 from .tokens import SPACE, flat, mix, windows, words
 
 BUCKETS, ROW, BINS, UNIT = 1 << 15, 512, 2000, 1 << 20
+#: Bytes of text that a task judges at once; the arrays of a batch take some fifty times as much.
+BYTES = 2 << 20
 #: What rejecting a trusted document costs, as a multiple of keeping an untrusted one.
 COST = 20
 #: The rules that are applied first.
@@ -58,7 +60,7 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's trigrams, a row for each `ROW` buckets."""
     total = np.zeros(BUCKETS, np.int64)
-    for batch in by_bytes(batches):
+    for batch in by_bytes(batches, limit=BYTES):
         bucket, within = grams(*flat(batch.column("text")))
         total += np.bincount(bucket[within], minlength=BUCKETS)
     some = np.flatnonzero(total.reshape(-1, ROW).any(1))
@@ -108,7 +110,7 @@ def _scored(ratio: np.ndarray | None, names: list[str], text_col: str, floor: fl
     """Batches with the rules' columns beside those named; with a floor, only the columns named, of the rows that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, text_col):
+        for batch in by_bytes(batches, text_col, BYTES):
             found = rules(batch.column(text_col), ratio)
             if floor is not None:
                 n, repeats, score = found[0], found[4], found[5]
