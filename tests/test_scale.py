@@ -89,3 +89,13 @@ def test_events_in_files_that_follow_no_time(spark, tmp_path, files):
         want[event] = made is not None and minute - made < 30
         made = made if want[event] else minute
     assert {r.event_id: r.hit for r in QUERIES["stream_cache"](spark, d).collect()} == want
+
+
+def test_components_send_no_links_through_the_driver(spark, monkeypatch):
+    from waymark.operators import graph
+
+    plans, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    links = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 7, 8)], "section_id long, a long, b long")
+    assert {(r.node, r.component) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
