@@ -48,6 +48,15 @@ def test_too_many_lesser_roads_fail(spark):
         planning.subsets(lines).collect()
 
 
+def test_subsets_are_applied_without_sorting_cells(spark, region):
+    """A task holds rows, not all cells of all subsets: no window, and one row for each subset of a region."""
+    counted, lines = region
+    applied = planning.cut(counted, planning.subsets(lines), ORDER, 30)
+    assert "Window" not in applied._jdf.queryExecution().executedPlan().toString()
+    found = {(r.k, tuple(sorted(s["size"] for s in r.sections))) for r in applied.collect()}
+    assert found == {(0, (50, 50)), (1, (20, 30, 50)), (2, (25, 25, 25, 25)), (3, (20, 25, 25, 30))}
+
+
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
 HOLE = [(1.0, 1.0), (1.0, 3.0), (3.0, 3.0), (3.0, 1.0)]
 APART = [(6.0, 0.0), (8.0, 0.0), (8.0, 4.0), (6.0, 4.0)]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from . import network as net
 from .operators import polygons
-from .operators.graph import stored
 from .plans import planning
 from .registry import once, query
 
@@ -66,8 +65,7 @@ def road_dividers(s, d):
 @query(net.with_cte("net_trail net_node", f", {_LINES}, {_CELLS}, {_PLAN} select s.region, s.k, cast(sum(greatest(size - {CAP}, 0)) as bigint) as excess, count(*) as sections from sec s group by s.region, s.k").replace(")\n, rp", "),\nrp"))
 def section_cuts(s, d):
     """What every subset of the lesser roads leaves too large, and in how many sections."""
-    per = _applied(s, d).groupBy("region", "k", "label").agg(F.first("size").alias("size"))
-    return per.groupBy("region", "k").agg(F.sum(F.greatest(F.col("size") - CAP, F.lit(0))).alias("excess"), F.count("*").alias("sections"))
+    return _applied(s, d).select("region", "k", planning.excess(CAP).alias("excess"), F.size("sections").cast("long").alias("sections"))
 
 
 def _applied(s, d):
@@ -81,7 +79,7 @@ nm as (select region, label, string_agg({_word('part')} || ' of ' || substr(part
 @query(net.with_cte("net_trail net_node", f", {_LINES}, {_CELLS}, {_PLAN}, {_NAME} select s.region, substr(sha256(s.region || ':' || coalesce(name, 'whole region')), 1, 24) as section_id, coalesce(name, 'whole region') as name, size as segments, case when size <= {CAP} then 'ready' else 'unresolved' end as status, array_to_string(used, ',') as roads from sec s join pick k on k.region = s.region and k.k = s.k left join nm on nm.region = s.region and nm.label = s.label").replace(")\n, rp", "),\nrp"))
 def planned_sections(s, d):
     """Each region cut by its freeway and the fewest lesser roads that bring its sections below the cap."""
-    plan = planning.planned(stored(_applied(s, d)), CAP, list(ROADS))
+    plan = planning.planned(_applied(s, d), CAP, list(ROADS))
     return planning.named(plan, _lines(s, d), CAP)
 
 

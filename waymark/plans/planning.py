@@ -1,14 +1,14 @@
 """Plans of sections: which roads cut a region whose network is too large, with as few lesser roads as possible.
 
 A region's segments are counted once by cell: the side of every candidate road on which they lie. All subsets of the lesser roads
-(at most `LESSER`) are then tried at once, as a table of (region, subset, cell): one road after the other, in order, cuts every
-section that is still too large and lies on both of its sides. The best subset is the least by (excess, lesser roads used, roads
-used in order). The table has 2^LESSER rows for each cell at most, whatever the number of segments.
+(at most `LESSER`) are then tried at once, as a table of (region, subset) with the region's cells: one road after the other, in order, cuts every section that
+is still too large and lies on both of its sides. The best subset is the least by (excess, lesser roads used, roads used in order).
+The table has 2^LESSER rows for each region at most, whatever the number of segments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LESSER = 12
@@ -27,13 +27,16 @@ def dividers(road_points: DataFrame) -> DataFrame:
 
 
 def cells(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """region, cell (refs with the side, 0 left of the road, 1 right of it or on it), n: segments by the sides on which they begin.
+    """region, refs (of all its roads, in order), sides (bit i: 0 left of refs[i], 1 right of it or on it), n: segments by the sides
+    on which they begin.
 
-    points: region, x, y. A region has a bounded number of candidate roads, so its cells are few and are counted before the shuffle.
+    points: region, x, y. A region has a bounded number of candidate roads, so its cells are few and are counted before the shuffle;
+    what is counted is a number for each cell, so that a task holds little of it.
     """
     roads = lines.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("ref", "x1", "y1", "x2", "y2"))).alias("roads"))
-    side = F.transform("roads", lambda r: F.struct(r.ref.alias("ref"), F.when((r.x2 - r.x1) * (F.col("y") - r.y1) - (r.y2 - r.y1) * (F.col("x") - r.x1) > 0, 0).otherwise(1).alias("side")))
-    return points.join(roads, "region").select("region", side.alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("n"))
+    right = F.transform("roads", lambda r, i: F.when((r.x2 - r.x1) * (F.col("y") - r.y1) - (r.y2 - r.y1) * (F.col("x") - r.x1) > 0, F.lit(0)).otherwise(F.pow(F.lit(2), i)).cast("long"))
+    counted = points.join(roads, "region").select("region", F.aggregate(right, F.lit(0).cast("long"), lambda a, x: a + x).alias("sides")).groupBy("region", "sides").agg(F.count("*").alias("n"))
+    return counted.join(roads.select("region", F.transform("roads", lambda r: r.ref).alias("refs")), "region").select("region", "refs", "sides", "n")
 
 
 def subsets(lines: DataFrame, freeway: str = "^I") -> DataFrame:
@@ -46,29 +49,51 @@ def subsets(lines: DataFrame, freeway: str = "^I") -> DataFrame:
 
 
 def cut(counted: DataFrame, chosen: DataFrame, order: list[str], cap: int) -> DataFrame:
-    """region, k, cell, n, label (cuts in order: ref and side), size (of the section that holds the cell): every subset applied.
+    """region, k, sections (of each: label, the cuts in order as ref and side, and size): every subset applied.
 
     order: all refs of all regions, freeways first. A road cuts what it was chosen for, is too large, and lies on both its sides.
+    A region's few cells are one row, which is cut by itself: nothing is sorted or shuffled for a road, and no task holds more
+    than the rows that it passes on. Rows are dealt by number: they are small at first, and would meet in one task.
     """
-    rows = counted.join(chosen.select("region", "k", F.concat("first", "lesser").alias("roads")), "region")
-    rows = rows.withColumn("label", F.array().cast("array<struct<ref:string,side:int>>"))
-    section = Window.partitionBy("region", "k", "label")  # cells of one section
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = counted.groupBy("region").agg(F.first("refs").alias("refs"), F.collect_list(F.struct("sides", "n")).alias("cells"))
+    rows = chosen.select("region", "k", F.concat("first", "lesser").alias("roads")).repartition(parts, "region").join(held.hint("merge"), "region")
+    whole = F.struct(F.array().cast("array<struct<ref:string,side:int>>").alias("label"), F.col("cells").alias("cells"))
+    rows = rows.select("region", "k", "roads", "refs", F.array(whole).alias("sections"))
     for ref in order:
-        rows = rows.withColumn("side", F.when(F.array_contains("roads", ref), F.try_element_at(F.map_from_entries("cell"), F.lit(ref))))
-        cuts = (F.sum("n").over(section) > cap) & (F.min("side").over(section) < F.max("side").over(section))
-        rows = rows.withColumn("cuts", F.coalesce(cuts, F.lit(False)))
-        rows = rows.withColumn("label", F.when(F.col("cuts"), F.concat("label", F.array(F.struct(F.lit(ref).alias("ref"), F.col("side").cast("int").alias("side"))))).otherwise(F.col("label"))).drop("side", "cuts")
-    return rows.withColumn("size", F.sum("n").over(section))
+        rows = rows.withColumn("sections", F.flatten(F.transform("sections", lambda s: _parted(s, ref, cap))))  # noqa: B023
+    return rows.select("region", "k", F.transform("sections", lambda s: F.struct(s.label.alias("label"), _held(s.cells).alias("size"))).alias("sections"))
+
+
+def _held(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c.n)
+
+
+def _parted(section: Column, ref: str, cap: int) -> Column:
+    """A section's two parts beside a road, or itself alone."""
+    bit = F.pow(F.lit(2), F.array_position("refs", ref) - 1).cast("long")
+    side = lambda c: F.floor(c.sides / bit).cast("int") % 2
+    label = lambda k: F.concat(section.label, F.array(F.struct(F.lit(ref).alias("ref"), F.lit(k).alias("side"))))
+    part = lambda k: F.struct(label(k).alias("label"), F.filter(section.cells, lambda c: side(c) == k).alias("cells"))
+    cuts = F.array_contains("roads", ref) & F.array_contains("refs", ref) & (_held(section.cells) > cap)
+    cuts &= F.exists(section.cells, lambda c: side(c) == 0) & F.exists(section.cells, lambda c: side(c) == 1)
+    return F.when(cuts, F.array(part(0), part(1))).otherwise(F.array(section))
+
+
+def excess(cap: int) -> Column:
+    """Segments beyond the cap in all `sections`."""
+    return F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + F.greatest(s["size"] - cap, F.lit(0)))
 
 
 def planned(applied: DataFrame, cap: int, order: list[str], freeway: str = "^I") -> DataFrame:
-    """The best subset's sections: region, k, label, size, excess, lesser_used, used."""
-    per = applied.groupBy("region", "k", "label").agg(F.first("size").alias("size"), F.first("roads").alias("roads"))
-    score = per.groupBy("region", "k").agg(F.sum(F.greatest(F.col("size") - cap, F.lit(0))).alias("excess"), F.flatten(F.collect_list(F.transform("label", lambda c: c.ref))).alias("refs"))
+    """The best subset's sections: region, k, label, size, excess, lesser_used, used. applied: as cut() gives it."""
+    refs = F.flatten(F.transform("sections", lambda s: F.transform(s.label, lambda c: c.ref)))
+    score = applied.select("region", "k", excess(cap).alias("excess"), refs.alias("refs"))
     score = score.withColumn("used", F.filter(F.array(*map(F.lit, order)), lambda r: F.array_contains("refs", r)))
     score = score.withColumn("lesser_used", F.size(F.filter("used", lambda r: ~r.rlike(freeway))))
     best = score.groupBy("region").agg(F.min(F.struct("excess", "lesser_used", "used", "k")).alias("m"))
-    return per.join(best.select("region", "m.*"), ["region", "k"]).select("region", "k", "label", "size", "excess", "lesser_used", "used")
+    rows = applied.join(best.select("region", "m.*"), ["region", "k"]).withColumn("s", F.explode("sections"))
+    return rows.select("region", "k", "s.label", "s.size", "excess", "lesser_used", "used")
 
 
 def named(plan: DataFrame, lines: DataFrame, cap: int) -> DataFrame:
