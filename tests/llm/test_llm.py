@@ -843,3 +843,16 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, labels, tmp_path):
         if k == 1:
             assert now.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")).distinct().count() == counts[1]
     assert counts[0] < own.count() and counts[1] < counts[0] and counts[2] < counts[1] and counts[4] > 0
+
+
+def test_segments_of_all_long_texts_run_in_step(monkeypatch):
+    model = language.train(["the cat sat on the mat", "der hund lag auf dem sofa"], ["en", "de"], rounds=2)
+    texts = [" ".join(["the cat", "der hund auf"][k % 2] for k in range(n)) for n in (40, 3, 90, 61)]
+    monkeypatch.setattr(language, "SEGMENT", 16)
+    calls, transfers = [], language.transfers
+    monkeypatch.setattr(language, "transfers", lambda *a: calls.append(1) or transfers(*a))
+    langs, score = language.predict(pa.array(texts), model)
+    assert len(calls) == 1
+    for text, lang, s in zip(texts, langs, score, strict=True):
+        one, own = language.predict(pa.array([text]), model)
+        assert one == [lang] and own[0] == pytest.approx(s, abs=1e-6)

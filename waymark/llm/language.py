@@ -112,8 +112,8 @@ def transfers(word: np.ndarray, begin: np.ndarray, size: np.ndarray, strength: n
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
     state = np.tile(np.eye(k, dtype=np.float32) / k, (len(begin), 1, 1))
-    for t in range(int(size[0]) if len(size) else 0):
-        n = int(np.searchsorted(-size, -t, "left"))
+    live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # segments with more than t words
+    for t, n in enumerate(live.tolist()):
         now = (state[:n] @ move) * strength[word[begin[:n] + t]][:, None, :]
         state[:n] = now / now.sum((1, 2), keepdims=True)
     out = np.empty_like(state)
@@ -140,10 +140,14 @@ def forward_backward(c: Chains, emit: np.ndarray, moves: np.ndarray, first: np.n
     into = np.zeros((len(begin), k), np.float32)  # message before a segment; unused for first ones
     after = np.ones((len(begin), k), np.float32)  # message behind its last word
     opens = place == 0
+    long = np.repeat(pieces > 1, pieces)
+    skip = opens[long].astype(np.int64)  # the first word has its own message
+    matrices = transfers(c.word, begin[long] + skip, size[long] - skip, strength, move)  # of all long texts in step
+    done = 0
     for i in np.flatnonzero(pieces > 1).tolist():
         a, b = head[i], head[i + 1]
-        skip = (place[a:b] == 0).astype(np.int64)  # the first word has its own message
-        matrix = transfers(c.word, begin[a:b] + skip, size[a:b] - skip, strength, move)
+        matrix = matrices[done : done + b - a]
+        done += b - a
         message = start * strength[c.word[begin[a]]]
         for j in range(a, b - 1):
             message = message @ matrix[j - a]
