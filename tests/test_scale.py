@@ -99,3 +99,16 @@ def test_components_send_no_links_through_the_driver(spark, monkeypatch):
     links = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 7, 8)], "section_id long, a long, b long")
     assert {(r.node, r.component) for r in graph.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
     assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_the_map_is_joined_without_the_driver(spark, monkeypatch):
+    from waymark.operators import graph
+    from waymark.plans import topology
+
+    plans, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    some = spark.createDataFrame([(0, "n1", "n2", 5.0, True), (0, "n2", "n3", 7.0, False), (0, "n8", "n9", 2.0, True)], "section_id long, a string, b string, metres double, counts boolean")
+    found = topology.network_lengths(some)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r.metres) for r in found.collect()} == {("n1", 5.0), ("n2", 5.0), ("n3", 5.0), ("n8", 2.0), ("n9", 2.0)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import spatial
-from ..operators.graph import stored
+from ..operators.graph import merging as stored
 from .topology import ring_anchors
 
 #: Points of a profile lie at most so many metres apart.
