@@ -112,3 +112,13 @@ def test_the_map_is_joined_without_the_driver(spark, monkeypatch):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.key, r.metres) for r in found.collect()} == {("n1", 5.0), ("n2", 5.0), ("n3", 5.0), ("n8", 2.0), ("n9", 2.0)}
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_first_repeats_shuffle_each_step_once(spark):
+    from waymark.operators import results
+
+    trails = spark.createDataFrame([(0, k, k, (k + 1) % 3) for k in range(3)], "section_id long, trail long, a long, b long")
+    steps = [("loop", k, 0, k, False) for k in range(3)] + [("line", 0, 0, 0, False), ("line", 1, 0, 1, False), ("back", 0, 0, 1, False), ("back", 1, 0, 1, True)]
+    found = results.first_repeats(spark.createDataFrame(steps, "route_id string, seq int, section_id long, trail long, reverse boolean"), trails, ["route_id"])
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.route_id: r.first_repeat for r in found.collect()} == {"loop": 2, "back": 1}
