@@ -122,3 +122,12 @@ def test_first_repeats_shuffle_each_step_once(spark):
     found = results.first_repeats(spark.createDataFrame(steps, "route_id string, seq int, section_id long, trail long, reverse boolean"), trails, ["route_id"])
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.route_id: r.first_repeat for r in found.collect()} == {"loop": 2, "back": 1}
+
+
+def test_labels_are_held_against_each_other_without_a_join(spark):
+    from waymark.operators import discovery
+
+    rows = [(1, 2.0, 1.0, 0.0, 1.0, True, "a"), (1, 2.0, 1.0, 0.0, 1.0, True, "b"), (1, 1.0, 9.0, 0.0, 1.0, False, "c"), (1, 3.0, 1.0, 0.0, 1.0, True, "d"), (2, 3.0, 1.0, 0.0, 1.0, True, "d")]
+    kept = discovery._undominated(spark.createDataFrame(rows, "node long, twice double, gain double, road double, back double, sure boolean, stem string"), ["node"])
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert {(r.node, r.stem) for r in kept.collect()} == {(1, "a"), (1, "c"), (2, "d")}
