@@ -1,8 +1,11 @@
 """What a task holds at once."""
 
+import numpy as np
 import pyarrow as pa
+from tokenizers import Tokenizer
 
-from waymark.llm import quality
+from waymark.llm import packing, quality
+from waymark.llm.queries import tokenizer_path
 
 
 def test_quality_judges_few_bytes_at_once(monkeypatch):
@@ -13,3 +16,24 @@ def test_quality_judges_few_bytes_at_once(monkeypatch):
     sizes.clear()
     found = [n for x in quality._scored(None, [], "text")(iter([batch])) for n in x.column("n_words").to_pylist()]
     assert found == [*whole] * 7 and max(sizes) <= 2 << 20
+
+
+def test_packing_encodes_few_bytes_at_once(monkeypatch):
+    sizes, encode = [], packing.WordIds.__call__
+    monkeypatch.setattr(packing.WordIds, "__call__", lambda self, texts: sizes.append(sum(map(len, texts.to_pylist()))) or encode(self, texts))
+    text = "one two three " * 50_000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": [text] * 5})
+    want = len(Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids) + 1
+    for run in (packing._measured, packing._tails):
+        assert [n for x in run(tokenizer_path())(iter([batch])) for n in x.column("total").to_pylist()] == [want] * 5
+    assert max(sizes) <= 1 << 20
+
+
+def test_packing_remembers_pieces_in_little_memory(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBER", 3000)
+    found, plain = packing.WordIds(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for k in (0, 1, 0, 2, 3):  # words met again, words that are new, and more than are remembered
+        texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 + k)}" for i in range(n)) for n in (1200, 3, 0)] + ["it's \u00e9t\u00e9 <|endoftext|> \x00", None]
+        assert [x.tolist() for x in found(pa.array(texts))] == [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
+    held = sum(x.nbytes for x in vars(found).values() if isinstance(x, np.ndarray))
+    assert 1200 <= len(found.hashes) <= 3000 and held <= 40 * len(found.hashes)

@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +39,8 @@ SPACE, END, GRAIN, WASTE, PARTS, BITS = 2048, 1, 16, 1, 1024, 1 << 16
 PIVOTS = 2500
 #: The program stops when its dual bound shows it within this share of the optimum.
 GAP = 0.003
-#: Pieces of words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Pieces of words whose ids a worker remembers, and bytes of text that it encodes at once.
+REMEMBER, AT_ONCE = 400_000, 1 << 20
 
 
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,46 +88,60 @@ _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}
 
 
 class WordIds:
-    """ids of Arrow texts: each unique piece of a batch's words is merged once, and remembered."""
+    """ids of Arrow texts: each unique piece of a batch's words is merged once, and remembered.
+
+    What is remembered are arrays in the order of the pieces' hashes (about 30 bytes a piece), as a worker has little memory.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
         self.merge = self.tokenizer.model.tokenize
-        spec = json.loads(self.tokenizer.to_str())
-        self.by_pieces = spec["normalizer"] == _NORMAL and (spec["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] == _SPLIT
+        said = lambda part: json.loads(part.__getstate__()) if part else {}  # noqa: E731  (not the whole tokenizer as text, with its vocabulary)
+        self.by_pieces = said(self.tokenizer.normalizer) == _NORMAL and said(self.tokenizer.pre_tokenizer).get("pretokenizers", [None])[0] == _SPLIT
 
-    def piece(self, body: bytes, whole: bool) -> bytes:
-        """ids of a piece, as unsigned 32-bit numbers."""
+    def forget(self) -> None:
+        self.hashes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def piece(self, body: bytes, whole: bool) -> list[int]:
         if whole:
-            ids = self.tokenizer.encode(body.decode(), add_special_tokens=False).ids
-        else:
-            ids = [t.id for t in self.merge(body.decode() if body.isascii() else "".join(_ALPHABET[b] for b in body))]
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        found = self.known[body] = array("I", ids).tobytes()
-        return found
+            return self.tokenizer.encode(body.decode(), add_special_tokens=False).ids
+        return [t.id for t in self.merge(body.decode() if body.isascii() else "".join(_ALPHABET[b] for b in body))]
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes (ascending) are not remembered."""
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return self.hashes[place] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+
+    def learn(self, hashes: np.ndarray, bodies: list[bytes], whole: list[bool]) -> None:
+        ids = [self.piece(x, o) for x, o in zip(bodies, whole, strict=True)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        place = np.searchsorted(self.hashes, hashes)
+        self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(size, dtype=np.int64) - size)
+        self.size, self.hashes = np.insert(self.size, place, size), np.insert(self.hashes, place, hashes)
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         if not self.by_pieces:
             return [np.array([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, END], "<u4") for t in texts.to_pylist()]
         w = words(texts)
         low, start, end, whole = pieces(w)
-        _, first, where = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
-        data, known = low.tobytes(), self.known
-        spans = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        ids = [known.get(x) or self.piece(x, o) for x, o in zip(spans, whole[first].tolist(), strict=True)]
-        size = np.array([len(x) for x in ids], np.int64) // 4
-        body = np.frombuffer(b"".join(ids), np.uint32)
-        at = np.concatenate([[0], np.cumsum(size)])
-        size = size[where]
-        out = np.concatenate([[0], np.cumsum(size)])
-        shift = np.repeat(at[:-1][where] - out[:-1], size)
+        hashes, first, where = np.unique(hash_spans(low, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) + self.new(hashes).sum() > REMEMBER:
+            self.forget()
+        if (new := self.new(hashes)).any():
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            self.learn(hashes[new], [low[a:b].tobytes() for a, b in spans], whole[first[new]].tolist())
+        known = np.searchsorted(self.hashes, hashes)[where]
+        size = self.size[known]
+        out = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        shift = np.repeat(self.at[known] - out[:-1], size)
         shift += np.arange(out[-1])
         text_at = out[np.searchsorted(start, w.text_at)]
-        every = np.insert(body[shift], text_at[1:], np.uint32(END)).astype("<u4")
+        every = np.insert(self.ids[shift], text_at[1:], np.uint32(END)).astype("<u4", copy=False)
         bounds = (text_at + np.arange(len(text_at))).tolist()
         return [every[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -148,7 +161,7 @@ def checksum(ids: np.ndarray) -> int:
 
 def _measured(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=AT_ONCE):
             ids = loaded(path)(batch.column("text"))
             sums = [[checksum(x[i : i + SPACE]) for i in range(0, len(x), SPACE)] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "total", "sums"])
@@ -158,7 +171,7 @@ def _measured(path: str):
 
 def _tails(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=AT_ONCE):
             ids = loaded(path)(batch.column("text"))
             tail = [x[len(x) // SPACE * SPACE :] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([checksum(x) for x in tail], pa.int64()), pa.array([x.tobytes() for x in tail], pa.binary())], ["doc_id", "total", "tail_sum", "tail_ids"])
