@@ -131,3 +131,25 @@ def test_labels_are_held_against_each_other_without_a_join(spark):
     kept = discovery._undominated(spark.createDataFrame(rows, "node long, twice double, gain double, road double, back double, sure boolean, stem string"), ["node"])
     assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
     assert {(r.node, r.stem) for r in kept.collect()} == {(1, "a"), (1, "c"), (2, "d")}
+
+
+def test_ways_home_and_parts_take_no_rounds(spark, monkeypatch):
+    """A long line once took a round of stored joins for each step of a way home, and several for its components."""
+    from waymark.operators import graph
+    from waymark.plans import topology
+
+    made, stored = [], graph.stored
+    for module in (graph, walks):
+        monkeypatch.setattr(module, "stored", lambda df: made.append(df) or stored(df))
+    edges = [(s, i, *((i, i + 1) if not r else (i + 1, i)), r, 100.0 + r, 0.0, "public", False) for s in (0, 1) for i in range(40) for r in (False, True)]
+    starts = spark.createDataFrame([(0, 5, 0, "x", "public", 0), (0, 5, 30, "x", "public", 1), (1, 5, 40, "x", "public", 0), (2, 9, 3, "x", "public", 0)], START)
+    found = walks.homeward(spark.createDataFrame(edges, EDGE), starts, 1010.0).collect()
+    line = {(0, 5, n): min(101.0 * n, 101.0 * (n - 30) if n >= 30 else 100.0 * (30 - n)) for n in range(41)} | {(1, 5, n): 100.0 * (40 - n) for n in range(41)}
+    assert {(r.section_id, r.start_id, r.node): r.home for r in found} == {k: x for k, x in (line | {(2, 9, 3): 0.0}).items() if x <= 1010.0}
+    assert len(found) == len({(r.section_id, r.start_id, r.node) for r in found}) and not made
+    links = spark.createDataFrame([(s, f"n{i}", f"n{i + 1}") for s in (0, 1) for i in range(40) if (s, i) != (1, 20)], "section_id long, a string, b string")
+    parts = {}
+    for r in topology.labelled(links).collect():
+        parts.setdefault((r.section_id, r.component), set()).add(int(r.node[1:]))
+    assert sorted((s, min(x), max(x), len(x)) for (s, _), x in parts.items()) == [(0, 0, 40, 41), (1, 0, 20, 21), (1, 21, 40, 20)]
+    assert len(made) <= 1
