@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from waymark.llm import packing, quality
+from waymark.llm import exact_dedup, near_dedup, packing, quality
 from waymark.llm.queries import tokenizer_path
 
 
@@ -37,3 +37,19 @@ def test_packing_remembers_pieces_in_little_memory(monkeypatch):
         assert [x.tolist() for x in found(pa.array(texts))] == [[*plain.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
     held = sum(x.nbytes for x in vars(found).values() if isinstance(x, np.ndarray))
     assert 1200 <= len(found.hashes) <= 3000 and held <= 40 * len(found.hashes)
+
+
+def test_dedups_take_few_bytes_at_once(monkeypatch):
+    sizes, given, sets = [], [], near_dedup.shingle_sets
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda texts, n: sizes.append(sum(map(len, texts.to_pylist()))) or sets(texts, n))
+    by_bytes = exact_dedup.by_bytes
+    monkeypatch.setattr(exact_dedup, "by_bytes", lambda *a, **k: (sizes.append(x.column("text").nbytes) or x for x in by_bytes(*a, **k)))
+    for module in (near_dedup, exact_dedup, packing, quality):
+        monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": [f"{i} " + "one two three " * 30_000 for i in range(7)]})
+    every, alone = np.full(1 << 10, 255, np.uint8), [sets(batch.column("text").slice(i, 1), 5)[0] for i in range(7)]
+    assert [r for x in near_dedup._signed(5, ["doc_id"])(iter([batch])) for r in x.column("set_id").to_pylist()] == [near_dedup.digest(x) for x in alone]
+    assert sum(x.num_rows for x in near_dedup._sets(5, every)(iter([batch]))) == 7
+    assert len({r for x in exact_dedup._narrow(["doc_id"])(iter([batch])) for r in x.column("sha").to_pylist()}) == 7
+    assert len({r for x in exact_dedup._chunked(every)(iter([batch])) for r in x.column("doc_id").to_pylist()}) == 7
+    assert max(sizes) <= (1 << 20) + 64 and len(given) == 4  # each task gives back what it no longer uses

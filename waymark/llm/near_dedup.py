@@ -41,12 +41,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bloom, by_bytes, in_bloom, small_batches, stored
+from .common import bloom, by_bytes, give_back, in_bloom, small_batches, stored
 from .tokens import mix, windows, words
 
 COORDS, MATCHES, SIMILAR, LEADERS, RARE, GROUPS = 32, 15, 80, 4, 16, 32
 #: Nodes of a list that one task holds against the whole list.
 SHARE = 512
+#: Bytes of text whose shingles are made at once: their arrays take about 20 times as much.
+AT_ONCE = 1 << 20
 #: Nodes without an id get numbers from here up.
 NO_ID = 1 << 62
 _RNG = np.random.default_rng(20240229)
@@ -90,7 +92,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 def _signed(n: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=AT_ONCE):
             sets = shingle_sets(batch.column("text"), n)
             full = [i for i, x in enumerate(sets) if len(x)]
             sig = [np.zeros(0, np.uint64)] * len(sets)
@@ -100,13 +102,14 @@ def _signed(n: int, names: list[str]):
             ids = [digest(x) if len(x) else None for x in sets]
             columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()), _lists(sig)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "n", "set_id", "sig"])
+        give_back()
 
     return run
 
 
 def _sets(n: int, sieve: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=AT_ONCE):
             seen = {}
             for x in shingle_sets(batch.column("text"), n):
                 if len(x):
@@ -115,6 +118,7 @@ def _sets(n: int, sieve: np.ndarray):
                         seen[set_id] = x
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), _lists(list(seen.values()))], ["set_id", "shingles"])
+        give_back()
 
     return run
 

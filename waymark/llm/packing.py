@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, small_batches, stored
+from .common import by_bytes, give_back, small_batches, stored
 from .tokens import LOWER, Words, hash_spans, words
 from .tokens import SPACE as SPACES
 
@@ -165,6 +165,7 @@ def _measured(path: str):
             ids = loaded(path)(batch.column("text"))
             sums = [[checksum(x[i : i + SPACE]) for i in range(0, len(x), SPACE)] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "total", "sums"])
+        give_back()
 
     return run
 
@@ -175,6 +176,7 @@ def _tails(path: str):
             ids = loaded(path)(batch.column("text"))
             tail = [x[len(x) // SPACE * SPACE :] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([checksum(x) for x in tail], pa.int64()), pa.array([x.tobytes() for x in tail], pa.binary())], ["doc_id", "total", "tail_sum", "tail_ids"])
+        give_back()
 
     return run
 

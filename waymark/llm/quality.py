@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fold, small_batches, stored, with_ids
+from .common import by_bytes, fold, give_back, small_batches, stored, with_ids
 from .tokens import SPACE, flat, mix, windows, words
 
 BUCKETS, ROW, BINS, UNIT = 1 << 15, 512, 2000, 1 << 20
@@ -65,6 +65,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total += np.bincount(bucket[within], minlength=BUCKETS)
     some = np.flatnonzero(total.reshape(-1, ROW).any(1))
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(total.reshape(-1, ROW)[some]), pa.list_(pa.int64()))], ["row", "counts"])
+    give_back()
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -118,6 +119,7 @@ def _scored(ratio: np.ndarray | None, names: list[str], text_col: str, floor: fl
             else:
                 own = [x.split()[0] for x in _RULE.split(", ")]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(np.asarray(x)) for x in found)], [*names, *own])
+        give_back()
 
     return run
 
