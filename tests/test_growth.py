@@ -26,3 +26,15 @@ def test_cached_requests_without_a_time_or_in_an_hour_that_comes_twice(spark, tm
         assert {r.event_id: r.hit for r in QUERIES["stream_cache"](spark, d).collect()} == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_sizes_take_the_unit_they_need(spark, tmp_path):
+    from waymark.queries import QUERIES, SQL
+
+    duckdb = pytest.importorskip("duckdb")
+    keys = {0: "0 KB", 1: "0 KB", 2: "0.1 KB", 27: "1 KB", 50: "1.9 KB", 27_027: "1,000 KB", 27_028: "1 MB", 100_000: "3.7 MB", 27_027_027: "1,000 MB", 27_027_028: "1 GB", 50_000_000: "1.9 GB", 40_000_000_000: "1,480 GB"}
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["bytes_text"](spark, str(tmp_path))
+    assert {r.id: r.text for r in found.collect()} == keys
+    duckdb.sql(f"create or replace view part as from '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(duckdb.sql(SQL["bytes_text"]).fetchall())
