@@ -38,3 +38,31 @@ def test_sizes_take_the_unit_they_need(spark, tmp_path):
     assert {r.id: r.text for r in found.collect()} == keys
     duckdb.sql(f"create or replace view part as from '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(map(tuple, found.collect())) == sorted(duckdb.sql(SQL["bytes_text"]).fetchall())
+
+
+def test_local_circuits_store_and_deal_no_branches(spark, monkeypatch):
+    """Branches were stored, joined to every place of every circuit, and each step of each variant was shuffled: over 100 times the input."""
+    from waymark.operators import discovery, walks
+
+    two = lambda trail, a, b, dist, road=False: [(0, trail, a, b, False, dist, 0.0, "public", road), (0, trail, b, a, True, dist, 0.0, "public", road)]
+    rows = [*two(1, 0, 1, 500.0), *two(2, 1, 2, 500.0), *two(3, 2, 3, 500.0), *two(4, 3, 0, 500.0), *two(6, 1, 4, 600.0), *two(7, 4, 3, 600.0, road=True), *two(8, 2, 2, 5.0)]
+    rows += [(0, 5, 0, 2, False, 450.0, 0.0, "public", False), (0, 9, 3, 1, False, 10.0, 5000.0, "public", False), *two(10, 4, 5, 1.0), *two(11, 5, 6, 1.0), *two(12, 6, 0, 1.0)]
+    edges = spark.createDataFrame(rows, "section_id long, trail long, f long, t long, reverse boolean, dist double, gain double, access string, connector boolean")
+    circuits = spark.createDataFrame([(0, "1,2,3,4", [1, 2, 3, 4], [0, 1, 2, 3])], "section_id long, circuit string, trails array<long>, nodes array<long>")
+    q = walks.Query(min_distance=1600.0, max_distance=4000.0, max_gain=1000.0)
+    trails = discovery.physical(edges)
+    calls, kept = [], discovery.stored
+    monkeypatch.setattr(discovery, "stored", lambda df: calls.append(1) or kept(df))
+    found = discovery.local_circuits(circuits, trails, q, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    best = {(r.circuit, tuple(r.trails), tuple(r.nodes), round(r.score, 9), r.place) for r in found.collect()}
+    assert not calls and plan.count("Exchange hashpartitioning") == 3  # physical trails; circuits and trails by section
+    road = round(600.0 / 2200.0 * 1e-3, 9)
+    assert best == {
+        ("1,4,7,6", (1, 6, 7, 4), (0, 1, 4, 3), road, 1), ("2,3,7,6", (2, 3, 7, 6), (1, 2, 3, 4), road, 2),
+        ("1,2,5", (1, 2, 5), (0, 1, 2), 0.0375, 3), ("3,4,5", (5, 3, 4), (0, 2, 3), 0.0375, 4),
+    }
+    assert found.select("section_id", "origin").distinct().collect() == [(0, "1,2,3,4")]
+    every = {r.circuit: round(r.score, 9) for r in discovery.local_circuits(circuits, trails, q, 4, best=99).collect()}
+    assert every["1,4,9"] == every["2,3,9"] == round(590.0 / 4000.0 + 4.0, 9) and "1,6,10,11,12" in every
+    assert "1,6,10,11,12" not in {r.circuit for r in discovery.local_circuits(circuits, trails, q, 3, best=99).collect()}
