@@ -66,3 +66,26 @@ def test_local_circuits_store_and_deal_no_branches(spark, monkeypatch):
     every = {r.circuit: round(r.score, 9) for r in discovery.local_circuits(circuits, trails, q, 4, best=99).collect()}
     assert every["1,4,9"] == every["2,3,9"] == round(590.0 / 4000.0 + 4.0, 9) and "1,6,10,11,12" in every
     assert "1,6,10,11,12" not in {r.circuit for r in discovery.local_circuits(circuits, trails, q, 3, best=99).collect()}
+
+
+def test_approaches_and_trials_take_no_rounds(spark, monkeypatch):
+    """A stem of 20 trails once took 20 rounds of stored labels, and each full pass a round of stored proposals."""
+    from waymark.operators import discovery, walks
+
+    two = lambda trail, a, b, dist, gain=0.0, access="public": [(0, trail, a, b, False, dist, gain, access, False), (0, trail, b, a, True, dist, gain, access, False)]
+    rows = [*two(1, 0, 1, 50.0), *two(2, 1, 0, 60.0)] + [x for n in range(1, 21) for x in two(10 + n, n, n + 1, 10.0)]
+    rows += [*two(50, 5, 6, 9.0, gain=3.0), *two(51, 5, 6, 9.0, gain=3.0), *two(52, 5, 6, 9.5, gain=3.0, access="unknown"), *two(60, 7, 70, 1.0)]
+    edges = spark.createDataFrame(rows, "section_id long, trail long, f long, t long, reverse boolean, dist double, gain double, access string, connector boolean")
+    circuit = spark.createDataFrame([(0, "1,2", [0, 1], 110.0, 0.0, 0.0), (3, "9", [0], 1.0, 0.0, 0.0)], "section_id long, circuit string, nodes array<long>, dist double, gain double, road double")
+    trails, goals = discovery.physical(edges), spark.createDataFrame([(0, 21)], "section_id long, node long")
+    calls, kept = [], discovery.stored
+    monkeypatch.setattr(discovery, "stored", lambda df: calls.append(1) or kept(df))
+    q = walks.Query(max_distance=1000.0, max_stem=200.0)
+    found = discovery.approaches(circuit, trails, q, goals).collect()
+    assert not any(r.node in (0, 1, 70) for r in found) and {r.node for r in found} == set(range(2, 22))
+    ends = discovery.approaches(circuit, trails, q, goals, arrived=True).collect()
+    assert {(r.node, r.contact, r.twice, r.gain, r.back, r.sure, 50 in [s.trail for s in r.stem]) for r in ends} == {(21, 1, 400.0, 0.0, 200.0, True, False), (21, 1, 398.0, 6.0, 199.0, True, True)}
+    assert all(len(r.stem) == 20 for r in ends) and len(discovery.approaches(circuit, trails, walks.Query(max_distance=1000.0, max_stem=199.0), goals, arrived=True).collect()) == 1
+    proposals = spark.createDataFrame([(0, f"c{i}", p, i) for i in range(12) for p in range(6)], "section_id long, circuit string, pass int, place long")
+    assert {(r.circuit, r[2]) for r in discovery.taken(proposals, 2).collect()} == {(f"c{i}", i // 2) for i in range(12)}
+    assert not calls
