@@ -89,3 +89,26 @@ def test_approaches_and_trials_take_no_rounds(spark, monkeypatch):
     proposals = spark.createDataFrame([(0, f"c{i}", p, i) for i in range(12) for p in range(6)], "section_id long, circuit string, pass int, place long")
     assert {(r.circuit, r[2]) for r in discovery.taken(proposals, 2).collect()} == {(f"c{i}", i // 2) for i in range(12)}
     assert not calls
+
+
+def test_walks_take_no_rounds_and_store_no_open_paths(spark, monkeypatch):
+    """A circuit of 30 trails at the end of a stem once took a round of stored joins over all paths for each of its steps."""
+    from waymark.operators import walks
+
+    trail = lambda n, a, b, road=False: [(s, n, *((a, b) if not r else (b, a)), r, 10.0 + r, 1.0, "public", road) for s in (0, 1) for r in (False, True)]
+    rows = [x for n in range(30) for x in trail(n, n, (n + 1) % 30)] + [*trail(40, 99, 0, True), (0, 41, 99, 5, False, 1.0, 0.0, "unknown", False), (0, 42, 7, 7, False, 2.0, 0.0, "public", False)]
+    edges = spark.createDataFrame(rows, "section_id long, trail long, f long, t long, reverse boolean, dist double, gain double, access string, connector boolean")
+    starts = spark.createDataFrame([(0, 5, 99, "x", "public", 0), (1, 6, 99, "x", "public", 1), (1, 6, 3, "x", "unknown", 1), (2, 7, 1, "x", "public", 0)], "section_id long, start_id long, node long, name string, access string, kind_rank long")
+    calls, kept = [], walks.stored
+    monkeypatch.setattr(walks, "stored", lambda df: calls.append(1) or kept(df))
+    found = walks.closed_walks(edges, starts, walks.Query(max_distance=351.0, max_gain=400.0)).collect()
+    assert len(calls) == 1
+    forth, back = ",".join(f"{n}+" for n in range(30)), ",".join(f"{n}-" for n in range(29, -1, -1))
+    turned = lambda k: ",".join(f"{n}+" for n in [*range(k, 30), *range(k)])
+    rings = {(1, 6, f"40+,{forth}", 321.0, 11.0, 21.0, False), (1, 6, f"40+,{back}", 351.0, 11.0, 21.0, False), (1, 6, turned(3), 300.0, 0.0, 0.0, True)}
+    got = {(r.section_id, r.start_id, r.itinerary, r.distance, r.stem, r.road, r.uncertain) for r in found}
+    assert rings <= got and (0, 5, f"40+,{forth}", 321.0, 11.0, 21.0, False) in got and not any(s == 2 for s, *_ in got)
+    around = ",".join(f"{n}+" for n in range(7))
+    assert (0, 5, f"40+,{around},42+", 10.0 + 70.0 + 2.0 + 88.0, 88.0, 21.0, False) in got  # out, round the ring at 7, and home
+    few = walks.closed_walks(edges, starts, walks.Query(max_distance=1000.0, max_steps=9))
+    assert {r.itinerary for r in few.collect()} >= {f"40+,{around},42+"} and all(len(r.trails) <= 9 for r in few.collect())
